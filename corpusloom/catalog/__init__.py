@@ -1 +1,17 @@
 """Registered queries and the SQL each of them is checked against."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from corpusloom.catalog import retrieval
+
+MODULES = (retrieval,)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+for module in MODULES:
+    QUERIES.update(module.QUERIES)
+    SQL.update(module.SQL)

@@ -7,12 +7,13 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The characters str.strip() removes.
 WHITESPACE = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 "
-    "           "
-    "    　"
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0"
+    "\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 # Characters whose case folding differs from lower-casing and yields ASCII letters.
 FOLDS_TO_ASCII = {
@@ -47,7 +48,7 @@ def fold(text: Column) -> Column:
     return F.when(low.rlike("[" + "".join(FOLDS_TO_ASCII) + "]"), folded).otherwise(low)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _compatibility_fold(values: pd.Series) -> pd.Series:
     return values.map(
         lambda v: None if v is None else unicodedata.normalize("NFKC", v).casefold()
@@ -156,13 +157,13 @@ def safe_filename(name: Column) -> Column:
 def file_suffix(name: Column) -> Column:
     """Lower-cased extension of the last path segment, empty when there is none."""
     base = F.element_at(F.split(name, "/"), -1)
-    return F.lower(F.regexp_extract(base, r"^.*[^./].*?(\.[^.]+)$", 1))
+    return F.lower(F.regexp_extract(base, r"(?s)^.+(\.[^.]+)$", 1))
 
 
 def title_of(name: Column) -> Column:
     """File stem as title, `Untitled` when it is blank."""
     base = F.element_at(F.split(name, "/"), -1)
-    stem = F.regexp_replace(base, r"^(.*[^./].*?)\.[^.]+$", "$1")
+    stem = F.regexp_replace(base, r"(?s)^(.+)\.[^.]+$", "$1")
     return F.coalesce(F.nullif(strip(stem), F.lit("")), F.lit("Untitled"))
 
 
