@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.catalog import retrieval
+from corpusloom.catalog import ingestion, retrieval
 
-MODULES = (retrieval,)
+MODULES = (retrieval, ingestion)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}

@@ -50,11 +50,20 @@ def term_statistics(chunks: DataFrame) -> DataFrame:
     )
 
 
-def document_frequency(chunks: DataFrame, query_terms: DataFrame) -> DataFrame:
-    """(term, df) of the query terms only; counted map-side, one partial row per term and task."""
-    distinct = with_terms(chunks).select(F.explode(F.array_distinct("terms")).alias("term"))
-    return distinct.join(query_terms.select("term").distinct(), "term").groupBy("term").agg(
-        F.count(F.lit(1)).alias("df")
+def query_statistics(chunks: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(term, df, length) of the vocabulary in one pass, counted map-side.
+
+    Every chunk also counts for the empty term, so that row carries the number of chunks and their
+    total length.
+    """
+    marked = with_terms(chunks).select(
+        "length",
+        F.explode(F.concat(F.array(F.lit("")), F.array_distinct("terms"))).alias("term"),
+    )
+    return (
+        marked.join(vocabulary, "term")
+        .groupBy("term")
+        .agg(F.count(F.lit(1)).alias("df"), F.sum("length").alias("length"))
     )
 
 
@@ -116,21 +125,18 @@ def keyword_search(
     Statistics cover the whole index, as the index keeps them; `bases` (kb_id) and a query's
     optional `scope` (list of base ids) limit the candidates only.
     """
-    stats = corpus_statistics(chunks).first()
-    if not stats["n_chunks"]:
-        empty = f"query_id {dict(queries.dtypes)['query_id']}, chunk_id string, score double, position int"
-        return queries.sparkSession.createDataFrame([], empty)
     asked = queries.withColumn("terms", T.token_set(F.col("text"))).drop("text")
 
     def kernel_of(block: list[Row]) -> scan.Kernel:
         words = sorted({term for row in block for term in row["terms"]})
         if len(words) > MAX_BLOCK_TERMS:
             raise ValueError("query block holds too many terms; lower max_block_queries")
-        spark = chunks.sparkSession
-        vocabulary = spark.createDataFrame([(word,) for word in words], "term string")
-        counted = document_frequency(chunks, vocabulary).collect()
-        df = {row["term"]: row["df"] for row in counted}
-        return keyword_kernel(stats["n_chunks"], stats["avg_length"], df, block)
+        vocabulary = chunks.sparkSession.createDataFrame([("",), *((w,) for w in words)], "term string")
+        counted = {row["term"]: row for row in query_statistics(chunks, vocabulary).collect()}
+        total = counted.pop("", None)
+        n, length = (total["df"], total["length"]) if total else (0, 0)
+        df = {term: row["df"] for term, row in counted.items()}
+        return keyword_kernel(n, length / n if length else 1.0, df, block)
 
     admitted = chunks if bases is None else chunks.join(bases, "kb_id", "left_semi")
     return scan.scan_top_k(with_terms(admitted), asked, kernel_of, k)

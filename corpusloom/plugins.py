@@ -17,6 +17,7 @@ from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
 from corpusloom.functions import text as T
 from corpusloom.operators import chunking
+from corpusloom.sources import uploads
 
 Sectioner = Callable[[Column], Column]
 _SECTIONERS: dict[str, Sectioner] = {}
@@ -36,6 +37,8 @@ def sections_by_suffix(suffix: Column, text: Column) -> Column:
 
 
 register_sectioner(".txt", chunking.whole_text_section)
+register_sectioner(".md", uploads.markdown_sections)
+register_sectioner(".html", uploads.html_sections)
 
 
 def hash_embedder(dimension: int = 64) -> Callable[[Column], Column]:

@@ -17,8 +17,21 @@ DISABLED_BASES = ("src7", "src13")
 AS_OF = "2024-01-31 00:00:00"
 
 
-def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return spark.read.schema(GIVEN[table]).parquet(f"{folder}/{table}.parquet")
+# Tables with long rows: a file of one row group is spread before the text work starts.
+LONG_ROWS = {"documents": "doc_id", "pages": "page_id", "embeddings": "vec_id"}
+
+
+def read(spark: SparkSession, folder: str, table: str, spread: bool = False) -> DataFrame:
+    """Scan a given table with its declared schema.
+
+    `spread` hashes the rows over all cores when the input has fewer splits than cores, which only
+    small inputs have; a large table is read as it is split on disk.
+    """
+    df = spark.read.schema(GIVEN[table]).parquet(f"{folder}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if spread and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, LONG_ROWS[table])
+    return df
 
 
 def as_of() -> Column:
@@ -70,7 +83,7 @@ def documents_dim(spark: SparkSession, folder: str) -> DataFrame:
 
 def version_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Every version with its text; where two exist, the first one is an older half-length draft."""
-    docs = read(spark, folder, "documents")
+    docs = read(spark, folder, "documents", spread=True)
     doc = F.col("doc_id")
     half = F.substring("text", F.lit(1), F.floor(F.length("text") / 2).cast("int"))
 
@@ -143,8 +156,10 @@ def query_sentences(spark: SparkSession, folder: str) -> DataFrame:
 
 def chunk_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """The vector table as an index of its own: ids and bases come from the vectors."""
-    return read(spark, folder, "embeddings").select(
-        F.col("vec_id").alias("chunk_id"), F.col("label").alias("kb_id"), F.col("embedding").alias("vector")
+    return read(spark, folder, "embeddings", spread=True).select(
+        F.col("vec_id").alias("chunk_id"),
+        F.col("label").alias("kb_id"),
+        F.col("embedding").alias("vector"),
     )
 
 
