@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.catalog import ingestion, retrieval
+from corpusloom.catalog import ingestion, retrieval, wiki
 
-MODULES = (retrieval, ingestion)
+MODULES = (retrieval, ingestion, wiki)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}

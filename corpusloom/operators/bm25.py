@@ -81,38 +81,17 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def keyword_kernel(n_chunks: int, avg_length: float, df: dict[str, int], block: list[Row]) -> scan.Kernel:
-    """Scorer of a query block; a term's queries and weights lie contiguously."""
-    owners: dict[str, list[int]] = {}
-    for column, row in enumerate(block):
-        for term in row["terms"]:
-            owners.setdefault(term, []).append(column)
-    known = [term for term in owners if term in df]
-    number = {term: no for no, term in enumerate(known)}
-    counts = np.array([len(owners[term]) for term in known], dtype=np.int64)
-    starts = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-    columns = np.array([c for term in known for c in owners[term]], dtype=np.int64)
-    weight = np.array([math.log(1 + (n_chunks - df[t] + 0.5) / (df[t] + 0.5)) for t in known])
+    """Scorer of a query block over (terms, length, kb_id) rows."""
+    index = scan.OwnerIndex([row["terms"] for row in block], set(df))
+    weight = np.array([math.log(1 + (n_chunks - df[t] + 0.5) / (df[t] + 0.5)) for t in index.words])
     scopes = [row["scope"] if "scope" in row else None for row in block]
-    width = len(block)
 
     def kernel(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        lists = batch["terms"].to_numpy()
-        lengths = batch["length"].to_numpy().astype(np.int64)
-        flat = np.fromiter(
-            (number.get(term, -1) for terms in lists for term in terms), np.int64, int(lengths.sum())
-        )
-        rows = np.repeat(np.arange(len(lists)), lengths)
-        hit = flat >= 0
-        pairs, tf = np.unique(rows[hit] * max(len(known), 1) + flat[hit], return_counts=True)
-        row, term = pairs // max(len(known), 1), pairs % max(len(known), 1)
-        norm = K1 * (1 - B + B * lengths[row] / avg_length)
-        value = weight[term] * tf * (K1 + 1) / (tf + norm)
-        fan = counts[term]
-        spread = np.repeat(starts[term] - (np.cumsum(fan) - fan), fan) + np.arange(fan.sum())
-        cells = np.repeat(row, fan) * width + columns[spread]
-        scores = np.bincount(cells, np.repeat(value, fan), len(lists) * width).reshape(-1, width)
-        eligible = (scores > 0) & scan.allowed_matrix(scopes, batch["kb_id"].to_numpy())
-        return scores, eligible
+        lengths = batch["length"].to_numpy().astype(np.float64)
+        rows, terms, tf = index.matches(batch["terms"].to_numpy())
+        norm = K1 * (1 - B + B * lengths[rows] / avg_length)
+        scores = index.spread(rows, terms, weight[terms] * tf * (K1 + 1) / (tf + norm), len(batch))
+        return scores, (scores > 0) & scan.allowed_matrix(scopes, batch["kb_id"].to_numpy())
 
     return kernel
 

@@ -43,6 +43,44 @@ def allowed_matrix(scopes: list[list | None], bases: np.ndarray) -> np.ndarray:
     return allowed
 
 
+class OwnerIndex:
+    """Which queries of a block own each term; matches batches of term lists against all of them."""
+
+    def __init__(self, term_lists: list[list[str]], known: set[str] | None = None) -> None:
+        owners: dict[str, list[int]] = {}
+        for column, words in enumerate(term_lists):
+            for word in words:
+                if known is None or word in known:
+                    owners.setdefault(word, []).append(column)
+        self.width = len(term_lists)
+        self.words = list(owners)
+        self.number = {word: no for no, word in enumerate(self.words)}
+        self.fan = np.array([len(owners[word]) for word in self.words], dtype=np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.fan)])[:-1].astype(np.int64)
+        self.columns = np.array([c for word in self.words for c in owners[word]], dtype=np.int64)
+
+    def matches(self, term_lists: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, term, count) of the owned terms in each list."""
+        sizes = np.fromiter((len(words) for words in term_lists), np.int64, len(term_lists))
+        get = self.number.get
+        codes = np.fromiter(
+            (get(word, -1) for words in term_lists for word in words), np.int64, int(sizes.sum())
+        )
+        rows = np.repeat(np.arange(len(term_lists)), sizes)
+        owned = codes >= 0
+        span = max(len(self.words), 1)
+        pairs, count = np.unique(rows[owned] * span + codes[owned], return_counts=True)
+        return pairs // span, pairs % span, count
+
+    def spread(self, rows: np.ndarray, terms: np.ndarray, values: np.ndarray, height: int) -> np.ndarray:
+        """Add each (row, term) value to the cells of all queries owning the term."""
+        fan = self.fan[terms]
+        within = np.arange(int(fan.sum())) - np.repeat(np.cumsum(fan) - fan, fan)
+        columns = self.columns[np.repeat(self.starts[terms], fan) + within]
+        cells = np.repeat(rows, fan) * self.width + columns
+        return np.bincount(cells, np.repeat(values, fan), height * self.width).reshape(-1, self.width)
+
+
 def best_rows(scores: np.ndarray, eligible: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, query) positions of the k best eligible scores per query, ties at the cut kept."""
     rows, columns = [], []

@@ -56,7 +56,7 @@ def hash_embedder(dimension: int = 64) -> Callable[[Column], Column]:
                 vectors.append((vector / norm if norm else vector).astype(np.float32))
             yield pd.Series(vectors)
 
-    udf = F.pandas_udf(embed, ArrayType(FloatType()), "scalar_iter")
+    udf = F.pandas_udf(embed, ArrayType(FloatType()))
     return lambda text: udf(T.token_set(text))
 
 
