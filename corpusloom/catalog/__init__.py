@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.catalog import ingestion, retrieval, wiki
+from corpusloom.catalog import ingestion, retrieval, search, wiki
 
-MODULES = (retrieval, ingestion, wiki)
+MODULES = (retrieval, ingestion, wiki, search)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}

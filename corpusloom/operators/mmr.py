@@ -42,7 +42,7 @@ def _small_groups(claims: DataFrame, picks: str, lam: float) -> DataFrame:
     schema = "query_id long, page_id string, claim_id string, relevance double, pick long"
 
     def order_group(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values("seq").reset_index(drop=True)
+        rows = group.sort_values(["seq", "claim_id"]).reset_index(drop=True)
         sets = [frozenset(tokens) for tokens in rows["tokens"]]
         order = greedy_order(rows["relevance"].tolist(), sets, int(rows[picks].iloc[0]), lam)
         out = rows.loc[order, ["query_id", "page_id", "claim_id", "relevance"]]
@@ -53,7 +53,7 @@ def _small_groups(claims: DataFrame, picks: str, lam: float) -> DataFrame:
 
 
 def _large_groups(claims: DataFrame, picks: str, lam: float) -> DataFrame:
-    """One distributed round per pick: a map-side arg-max, then a join of the pick to its group."""
+    """One distributed round per pick: a map-side arg-min of the negated value, then a join of the pick to its group."""
     key = ["query_id", "page_id"]
     state = claims.withColumn("redundancy", F.lit(None).cast("double"))
     rounds = claims.agg(F.max(picks)).first()[0] or 0
@@ -65,9 +65,8 @@ def _large_groups(claims: DataFrame, picks: str, lam: float) -> DataFrame:
         best = pinned(
             open_rows.groupBy(*key)
             .agg(
-                F.max_by(
-                    F.struct("claim_id", "relevance", "tokens", "seq"),
-                    F.struct(value, -F.col("seq")),
+                F.min_by(
+                    F.struct("claim_id", "relevance", "tokens"), F.struct(-value, "seq", "claim_id")
                 ).alias("b")
             )
             .select(
