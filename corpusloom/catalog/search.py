@@ -54,12 +54,15 @@ def trigram_title_match(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def evidence(spark: SparkSession, folder: str) -> DataFrame:
-    return integrity.current_evidence(
-        wiki_tables.wiki_pages(spark, folder),
-        wiki_tables.claims(spark, folder),
-        wiki_tables.claim_sources(spark, folder),
-        tables.documents_dim(spark, folder),
-        tables.chunks(spark, folder),
+    """Current evidence, written once: several steps read it."""
+    return pinned(
+        integrity.current_evidence(
+            wiki_tables.wiki_pages(spark, folder),
+            wiki_tables.claims(spark, folder),
+            wiki_tables.claim_sources(spark, folder),
+            tables.documents_dim(spark, folder),
+            tables.chunks(spark, folder),
+        )
     )
 
 
@@ -395,7 +398,7 @@ scored AS MATERIALIZED (
          list_distinct({S.TERMS.format('text')}) AS tokens
   FROM (SELECT a.query_id, a.page_id, e.claim_id, any_value(e.text) AS text, any_value(e.position) AS position,
                min(s.rank) AS best_rank, {tokens.format('any_value(q.query)')} AS qt, {tokens.format('any_value(e.text)')} AS tt
-        FROM {pairs} a JOIN asked q USING (query_id) JOIN evidence e USING (page_id)
+        FROM {pairs} a JOIN asked q ON q.query_id = a.query_id JOIN evidence e ON e.page_id = a.page_id
              LEFT JOIN sources s ON s.query_id = a.query_id AND s.chunk_id = e.chunk_id
         GROUP BY a.query_id, a.page_id, e.claim_id))"""
 
@@ -500,9 +503,10 @@ READ = """
 facts AS (SELECT page_id, claim_id, any_value(text) AS text, any_value(position) AS position FROM evidence GROUP BY ALL),
 totals AS (SELECT page_id, count(*) AS n FROM facts GROUP BY 1),
 plain AS (
-  SELECT p.doc_id * 2 AS request_id, p.page_id, f.claim_id, p.doc_id % 3 AS cursor, 5 AS lim,
-         row_number() OVER (PARTITION BY p.page_id ORDER BY f.position, f.claim_id) AS place
-  FROM searchable p JOIN facts f USING (page_id)),
+  SELECT request_id, page_id, claim_id, cursor, lim,
+         row_number() OVER (PARTITION BY request_id ORDER BY position, claim_id) AS place
+  FROM (SELECT doc_id * 2 AS request_id, page_id, doc_id % 3 AS cursor, 5 AS lim FROM searchable
+        UNION ALL SELECT doc_id * 2 + 1, page_id, 1, 3 FROM searchable WHERE trim(summary) = '') JOIN facts USING (page_id)),
 asked AS (SELECT doc_id * 2 + 1 AS query_id, page_id, """ + NORMAL.format("summary") + """ AS query FROM searchable
           WHERE trim(summary) <> ''),
 sources AS (SELECT query_id, '' AS chunk_id, 1 AS rank FROM asked)"""

@@ -53,6 +53,7 @@ def term_statistics(chunks: DataFrame) -> DataFrame:
 def query_statistics(chunks: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(term, df, length) of the vocabulary in one pass, counted map-side.
 
+    The vocabulary is that of one query block, at most MAX_BLOCK_TERMS words, and is broadcast.
     Every chunk also counts for the empty term, so that row carries the number of chunks and their
     total length.
     """
@@ -61,7 +62,7 @@ def query_statistics(chunks: DataFrame, vocabulary: DataFrame) -> DataFrame:
         F.explode(F.concat(F.array(F.lit("")), F.array_distinct("terms"))).alias("term"),
     )
     return (
-        marked.join(vocabulary, "term")
+        marked.join(F.broadcast(vocabulary), "term")
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"), F.sum("length").alias("length"))
     )

@@ -24,6 +24,13 @@ def _similarity(index: scan.OwnerIndex, sizes: np.ndarray, gram_lists: np.ndarra
     return np.divide(shared, union, out=np.zeros_like(shared), where=union > 0)
 
 
+def _columns_by(values: list[str]) -> dict[str, list[int]]:
+    columns: dict[str, list[int]] = {}
+    for column, value in enumerate(values):
+        columns.setdefault(value, []).append(column)
+    return columns
+
+
 def metadata_kernel(block: list[Row]) -> scan.Kernel:
     """Scorer of (title, summary, slug, aliases) records; the score encodes the ranking keys.
 
@@ -32,47 +39,61 @@ def metadata_kernel(block: list[Row]) -> scan.Kernel:
     """
     index = scan.OwnerIndex([row["grams"] for row in block])
     sizes = np.array([len(row["grams"]) for row in block], dtype=np.float64)
-    queries = [row["query"] for row in block]
-    slugs = [row["query"].replace(" ", "-") for row in block]
+    by_name = _columns_by([row["query"] for row in block])
+    by_slug = _columns_by([row["query"].replace(" ", "-") for row in block])
+    lengths = sorted({len(slug) for slug in by_slug})
     scopes = [row["scope"] if "scope" in row else None for row in block]
 
-    def kernel(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        relevance = np.maximum(
-            _similarity(index, sizes, batch["title_grams"].to_numpy()),
-            _similarity(index, sizes, batch["summary_grams"].to_numpy()),
-        )
-        aliases = batch["alias_grams"].to_numpy()
-        counts = np.fromiter((len(grams) for grams in aliases), np.int64, len(aliases))
+    def alias_similarity(records: np.ndarray) -> np.ndarray:
+        best = np.zeros((len(records), len(block)))
+        counts = np.fromiter((len(grams) for grams in records), np.int64, len(records))
         if counts.sum():
             flat = np.empty(int(counts.sum()), dtype=object)
-            flat[:] = [grams for record in aliases for grams in record]
-            each = _similarity(index, sizes, flat)
+            flat[:] = [grams for record in records for grams in record]
             some = np.flatnonzero(counts)
             starts = (np.cumsum(counts) - counts)[some]
-            relevance[some] = np.maximum(relevance[some], np.maximum.reduceat(each, starts))
-        slug = batch["low_slug"].to_numpy()
-        prefix = np.array([[s.startswith(q) for q in slugs] for s in slug], dtype=bool)
-        names = [
-            {title, *low}
-            for title, low in zip(batch["low_title"], batch["low_aliases"], strict=True)
-        ]
-        exact = np.array(
-            [
-                [query in own or s == q for query, q in zip(queries, slugs, strict=True)]
-                for own, s in zip(names, slug, strict=True)
-            ],
-            dtype=bool,
-        )
-        relevance = np.round(relevance, scan.SCORE_DIGITS)
+            best[some] = np.maximum.reduceat(_similarity(index, sizes, flat), starts)
+        return best
+
+    def name_matches(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        exact = np.zeros((len(batch), len(block)), dtype=bool)
+        prefix = np.zeros((len(batch), len(block)), dtype=bool)
+        names = zip(batch["low_title"], batch["low_slug"], batch["low_aliases"], strict=True)
+        for row, (title, slug, aliases) in enumerate(names):
+            exact[row, by_slug.get(slug, [])] = True
+            for name in (title, *aliases):
+                exact[row, by_name.get(name, [])] = True
+            for length in lengths:
+                if length > len(slug):
+                    break
+                prefix[row, by_slug.get(slug[:length], [])] = True
+        return exact, prefix
+
+    def kernel(batch: pd.DataFrame) -> tuple:
+        title = scan.rounded(_similarity(index, sizes, batch["title_grams"].to_numpy()))
+        summary = scan.rounded(_similarity(index, sizes, batch["summary_grams"].to_numpy()))
+        alias = scan.rounded(alias_similarity(batch["alias_grams"].to_numpy()))
+        exact, prefix = name_matches(batch)
+        relevance = np.maximum(np.maximum(title, summary), alias)
         eligible = (relevance > THRESHOLD) | prefix
         eligible &= scan.allowed_matrix(scopes, batch["kb_id"].to_numpy())
-        return relevance + EXACT * exact + SLUG * prefix, eligible
+        score = relevance + EXACT * exact + SLUG * prefix
+        return score, eligible, title, summary, alias, prefix, exact
 
     return kernel
 
 
+FIELDS = {
+    "title_score": "double",
+    "summary_score": "double",
+    "alias_score": "double",
+    "slug_matched": "boolean",
+    "exact_match": "boolean",
+}
+
+
 def metadata_top_k(pages: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, page_id, position): best records per query by exact, slug, relevance, id.
+    """Best records per query by exact, slug, relevance, id, with their scores and matched fields.
 
     `pages` is (page_id string, kb_id, title, slug, summary, aliases array), `queries` is
     (query_id, query normalised[, scope]).
@@ -88,31 +109,7 @@ def metadata_top_k(pages: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         F.transform("aliases", lambda a: T.trigrams(a)).alias("alias_grams"),
     )
     asked = queries.withColumn("grams", T.trigrams(F.col("query")))
-    hits = scan.scan_top_k(corpus, asked, metadata_kernel, k)
-    return hits.select("query_id", F.col("chunk_id").alias("page_id"), "position")
-
-
-def with_field_scores(pairs: DataFrame) -> DataFrame:
-    """Add the title, summary and alias scores, match flags and relevance to (query, page) rows."""
-    grams = T.trigrams(F.col("query"))
-    title = T.trigram_similarity(T.trigrams(F.col("title")), F.col("_grams"))
-    summary = T.trigram_similarity(T.trigrams(F.col("summary")), F.col("_grams"))
-    alias_scores = F.transform("aliases", lambda a: T.trigram_similarity(T.trigrams(a), F.col("_grams")))
-    slug = T.slug_prefix_match(F.col("slug"), F.col("query"))
-    exact = (
-        (F.lower("title") == F.col("query"))
-        | F.exists("aliases", lambda a: F.lower(a) == F.col("query"))
-        | (F.lower("slug") == T.slug_form(F.col("query")))
-    )
-    scored = pairs.withColumn("_grams", grams).withColumns(
-        {
-            "title_score": F.round(title, 6),
-            "summary_score": F.round(summary, 6),
-            "alias_score": F.round(F.coalesce(F.array_max(alias_scores), F.lit(0.0)), 6),
-            "slug_matched": slug,
-            "exact_match": exact,
-        }
-    )
+    hits = scan.scan_top_k(corpus, asked, metadata_kernel, k, extras=FIELDS)
     fields = F.array_compact(
         F.array(
             F.when(F.col("title_score") > THRESHOLD, "title"),
@@ -121,6 +118,10 @@ def with_field_scores(pairs: DataFrame) -> DataFrame:
             F.when(F.col("slug_matched"), "slug"),
         )
     )
-    return scored.withColumns(
-        {"relevance": F.greatest("title_score", "summary_score", "alias_score"), "matched_fields": fields}
-    ).drop("_grams")
+    return hits.select(
+        "query_id",
+        F.col("chunk_id").alias("page_id"),
+        *FIELDS,
+        F.greatest("title_score", "summary_score", "alias_score").alias("relevance"),
+        fields.alias("matched_fields"),
+    )

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from corpusloom.functions import text as T
 from corpusloom.session import pinned
@@ -39,17 +40,36 @@ def greedy_order(relevance: list[float], token_sets: list[frozenset], picks: int
 
 
 def _small_groups(claims: DataFrame, picks: str, lam: float) -> DataFrame:
-    schema = "query_id long, page_id string, claim_id string, relevance double, pick long"
+    """Groups of bounded size as one row each; a batch of many groups goes to Python at once."""
 
-    def order_group(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values(["seq", "claim_id"]).reset_index(drop=True)
-        sets = [frozenset(tokens) for tokens in rows["tokens"]]
-        order = greedy_order(rows["relevance"].tolist(), sets, int(rows[picks].iloc[0]), lam)
-        out = rows.loc[order, ["query_id", "page_id", "claim_id", "relevance"]]
-        return out.assign(pick=np.arange(1, len(order) + 1))
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def order_groups(relevance: pd.Series, tokens: pd.Series, wanted: pd.Series) -> pd.Series:
+        groups = zip(relevance, tokens, wanted, strict=True)
+        return pd.Series(
+            [greedy_order(list(r), [frozenset(t) for t in sets], int(n), lam) for r, sets, n in groups]
+        )
 
-    columns = ["query_id", "page_id", "claim_id", "seq", "relevance", "tokens", picks]
-    return claims.select(*columns).groupBy("query_id", "page_id").applyInPandas(order_group, schema)
+    row = F.struct("seq", "claim_id", "relevance", "tokens")
+    grouped = claims.groupBy("query_id", "page_id").agg(
+        F.array_sort(F.collect_list(row)).alias("rows"), F.max(picks).alias("wanted")
+    )
+    order = order_groups(
+        F.transform("rows", lambda r: r["relevance"]), F.transform("rows", lambda r: r["tokens"]), "wanted"
+    )
+    placed = grouped.select(
+        "query_id",
+        "page_id",
+        F.transform("rows", lambda r: F.struct(r["claim_id"], r["relevance"])).alias("rows"),
+        F.posexplode(order).alias("place", "position"),
+    )
+    chosen = F.element_at("rows", F.col("position") + 1)
+    return placed.select(
+        "query_id",
+        "page_id",
+        chosen["claim_id"].alias("claim_id"),
+        chosen["relevance"].alias("relevance"),
+        (F.col("place") + 1).cast("long").alias("pick"),
+    )
 
 
 def _large_groups(claims: DataFrame, picks: str, lam: float) -> DataFrame:

@@ -34,6 +34,12 @@ def query_blocks(queries: DataFrame, key: str, max_rows: int) -> Iterator[list[R
             yield rows
 
 
+def rounded(scores: np.ndarray) -> np.ndarray:
+    """Scores at six digits, halves away from zero as in SQL."""
+    shift = 10.0**SCORE_DIGITS
+    return np.sign(scores) * np.floor(np.abs(scores) * shift + 0.5) / shift
+
+
 def allowed_matrix(scopes: list[list | None], bases: np.ndarray) -> np.ndarray:
     """Rows x queries: whether the row's base is in the query's scope; no scope admits all."""
     allowed = np.ones((len(bases), len(scopes)), dtype=bool)
@@ -101,7 +107,7 @@ def keep_best(frame: pd.DataFrame, k: int) -> pd.DataFrame:
     return ordered.groupby("query_id", sort=False).head(k)
 
 
-Kernel = Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray]]
+Kernel = Callable[[pd.DataFrame], tuple]
 
 
 def scan_top_k(
@@ -110,14 +116,18 @@ def scan_top_k(
     kernel_of: Callable[[list[Row]], Kernel],
     k: int,
     max_block_queries: int = MAX_BLOCK_QUERIES,
+    extras: dict[str, str] | None = None,
 ) -> DataFrame:
     """(query_id, chunk_id, score, position): the k best corpus rows per query.
 
     `kernel_of(block)` builds the scorer of a query block; it maps a batch of corpus rows to a
-    scores matrix (rows x queries) and an eligibility mask.
+    scores matrix (rows x queries), an eligibility mask and, for the columns named in `extras`
+    (name to type), further matrices that are carried along.
     """
     types = dict(corpus.dtypes), dict(queries.dtypes)
     schema = f"query_id {types[1]['query_id']}, chunk_id {types[0]['chunk_id']}, score double"
+    extras = extras or {}
+    schema += "".join(f", {name} {kind}" for name, kind in extras.items())
 
     def pass_over(block: list[Row]) -> DataFrame:
         kernel = kernel_of(block)
@@ -128,14 +138,15 @@ def scan_top_k(
             for batch in batches:
                 if batch.empty:
                     continue
-                scores, eligible = kernel(batch)
-                scores = np.round(scores, SCORE_DIGITS)
+                scores, eligible, *carried = kernel(batch)
+                scores = rounded(scores)
                 rows, columns = best_rows(scores, eligible, k)
                 found = pd.DataFrame(
                     {
                         "query_id": ids[columns],
                         "chunk_id": batch["chunk_id"].to_numpy()[rows],
                         "score": scores[rows, columns],
+                        **{name: m[rows, columns] for name, m in zip(extras, carried, strict=True)},
                     }
                 )
                 best = keep_best(found if best is None else pd.concat([best, found]), k)

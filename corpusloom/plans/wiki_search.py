@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import fusion, mmr
-from corpusloom.operators.fuzzy import metadata_top_k, with_field_scores
+from corpusloom.operators.fuzzy import metadata_top_k
 from corpusloom.operators.ordering import top_k
 from corpusloom.plans.retrieve import query_status
 from corpusloom.session import pinned
@@ -37,10 +37,7 @@ def searchable_pages(pages: DataFrame) -> DataFrame:
 def metadata_channel(pages: DataFrame, queries: DataFrame) -> DataFrame:
     """Pages by title, summary, alias and slug: 200 by exact, slug, relevance; 40 of them by exact,
     relevance, id. The slug decides only about the first cut."""
-    shown = searchable_pages(pages)
-    first = metadata_top_k(shown, queries, METADATA_ROWS).drop("position")
-    fields = shown.select("page_id", "title", "summary", "slug", "aliases")
-    scored = with_field_scores(first.join(fields, "page_id").join(queries.select("query_id", "query"), "query_id"))
+    scored = metadata_top_k(searchable_pages(pages), queries, METADATA_ROWS)
     order = [F.desc("exact_match"), F.desc("relevance"), "page_id"]
     return top_k(scored, ["query_id"], order, METADATA_PAGES, into="position")
 
@@ -76,20 +73,27 @@ def page_claims(evidence: DataFrame) -> DataFrame:
 def score_claims(asked: DataFrame, evidence: DataFrame, sources: DataFrame) -> DataFrame:
     """Score every claim of the asked pages: 1 / best matched source rank + lexical relevance.
 
-    `asked` is (query_id, page_id, query). Claims are matched to ranks through their source rows.
+    `asked` is (query_id, page_id, query). Claims are matched to ranks through their source rows;
+    the tokens of a query are taken once per query, those of a claim once per claim.
     """
-    rows = asked.select("query_id", "page_id", "query").join(evidence, "page_id")
+    words = asked.select("query_id", "query").distinct()
+    words = words.select("query_id", T.query_token_set(F.col("query")).alias("query_tokens"))
+    wanted = evidence.join(asked.select("page_id").distinct(), "page_id", "left_semi")
+    facts = wanted.withColumn("text_tokens", T.query_token_set(F.col("text")))
+    rows = asked.select("query_id", "page_id").join(facts, "page_id")
     ranks = sources.select("query_id", "chunk_id", F.col("rank").alias("source_rank"))
     matched = rows.join(ranks, ["query_id", "chunk_id"], "left")
     best = matched.groupBy("query_id", "page_id", "claim_id").agg(
-        F.first("query").alias("query"),
         F.first("text").alias("text"),
+        F.first("text_tokens").alias("text_tokens"),
         F.first("position").alias("claim_position"),
         F.min("source_rank").alias("best_rank"),
     )
-    lexical = T.overlap_share(T.query_token_set(F.col("query")), T.query_token_set(F.col("text")))
-    return best.withColumn(
-        "relevance", F.coalesce(1.0 / F.col("best_rank"), F.lit(0.0)) + lexical
+    lexical = T.overlap_share(F.col("query_tokens"), F.col("text_tokens"))
+    return (
+        best.join(words, "query_id")
+        .withColumn("relevance", F.coalesce(1.0 / F.col("best_rank"), F.lit(0.0)) + lexical)
+        .drop("query_tokens", "text_tokens")
     )
 
 
@@ -164,7 +168,8 @@ def search(
 
     `sources` (query_id, chunk_id, rank) is the candidate search; leaving it empty is how a failed
     source channel degrades. Everything data-sized runs as joins; the ordered budget walk sees at
-    most 80 pages with a dozen picked claims each.
+    most 80 pages with a dozen picked claims each. `evidence` and `sources` are read by several
+    steps and should be written tables.
     """
     if not 1 <= page_limit <= 20 or not 1 <= claim_limit <= 50:
         raise ValueError("invalid_search_options")

@@ -5,6 +5,9 @@ Every derived table is a lazy DataFrame over the whole input; nothing is cached
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +20,23 @@ DISABLED_BASES = ("src7", "src13")
 AS_OF = "2024-01-31 00:00:00"
 
 
+Table = Callable[[SparkSession, str], DataFrame]
+
+
+def plan_once(build: Table) -> Table:
+    """Keep the lazy plan of a derived table per session and folder; no data is cached."""
+    plans: dict[tuple, DataFrame] = {}
+
+    @wraps(build)
+    def table(spark: SparkSession, folder: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, id(spark), folder)
+        if key not in plans:
+            plans[key] = build(spark, folder)
+        return plans[key]
+
+    return table
+
+
 # Tables with long rows: a file of one row group is spread before the text work starts.
 LONG_ROWS = {"documents": "doc_id", "pages": "page_id", "embeddings": "vec_id"}
 
@@ -45,6 +65,7 @@ def base_flags(kb_id: Column) -> dict[str, Column]:
     }
 
 
+@plan_once
 def knowledge_bases(spark: SparkSession, folder: str) -> DataFrame:
     bases = read(spark, folder, "documents").select(F.col("source").alias("kb_id")).distinct()
     return bases.withColumns(base_flags(F.col("kb_id")))
@@ -62,6 +83,7 @@ def _failed(doc_id: Column) -> Column:
     return doc_id % 17 == 0
 
 
+@plan_once
 def documents_dim(spark: SparkSession, folder: str) -> DataFrame:
     """Documents without their text: base, names, status, active version, deletion mark."""
     docs = read(spark, folder, "documents").select("doc_id", "source", "lang")
@@ -81,6 +103,7 @@ def documents_dim(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@plan_once
 def version_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Every version with its text; where two exist, the first one is an older half-length draft."""
     docs = read(spark, folder, "documents", spread=True)
@@ -111,6 +134,7 @@ def version_texts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@plan_once
 def sections(spark: SparkSession, folder: str) -> DataFrame:
     """Versions with their sections as one array per row."""
     headings = F.array("kb_id", "lang")
@@ -124,22 +148,26 @@ def sections(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@plan_once
 def chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Parents and children of every version."""
     rows = chunking.chunk_rows(sections(spark, folder), child_characters=CHILD_CHARACTERS)
     return chunking.with_chunk_ids(rows)
 
 
+@plan_once
 def children(spark: SparkSession, folder: str) -> DataFrame:
     """What the search index holds: the children of every ready version, retired ones included."""
     return chunks(spark, folder).where((F.col("kind") == "child") & (F.col("version_status") == "ready"))
 
 
+@plan_once
 def queries(spark: SparkSession, folder: str) -> DataFrame:
     """One search query per benchmark passage."""
     return read(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+@plan_once
 def query_sentences(spark: SparkSession, folder: str) -> DataFrame:
     """One wiki query per sentence of a passage; the sentences of a passage form a case."""
     sentences = F.filter(
@@ -154,6 +182,7 @@ def query_sentences(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@plan_once
 def chunk_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """The vector table as an index of its own: ids and bases come from the vectors."""
     return read(spark, folder, "embeddings", spread=True).select(
@@ -163,20 +192,25 @@ def chunk_vectors(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@plan_once
 def document_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """Vectors of documents: the vector with the document's number stands at its first child."""
     vectors = read(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    first = children(spark, folder).where(F.col("ordinal") == 1).join(
-        documents_dim(spark, folder).select("doc_id", "active_version_id"), "doc_id"
-    )
+    filled = version_texts(spark, folder).where(T.strip(F.col("text")) != "").select("version_id")
+    active = documents_dim(spark, folder).withColumnRenamed("active_version_id", "version_id")
     return (
-        first.where(F.col("version_id") == F.col("active_version_id"))
-        .select("doc_id", "kb_id", "chunk_id")
+        active.select("doc_id", "kb_id", "version_id")
         .join(vectors, "doc_id")
-        .select("chunk_id", "kb_id", F.col("embedding").alias("vector"))
+        .join(filled, "version_id", "left_semi")
+        .select(
+            chunking.chunk_id(F.col("version_id"), "child", F.lit(1)).alias("chunk_id"),
+            "kb_id",
+            F.col("embedding").alias("vector"),
+        )
     )
 
 
+@plan_once
 def query_vectors(spark: SparkSession, folder: str) -> DataFrame:
     ids = read(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"))
     vectors = read(spark, folder, "embeddings").select(

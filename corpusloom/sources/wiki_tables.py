@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -10,6 +10,7 @@ from corpusloom.operators.ordering import top_k
 from corpusloom.sources import tables
 
 
+@tables.plan_once
 def page_fields(spark: SparkSession, folder: str) -> DataFrame:
     """Pages as wiki pages: title, slug, first paragraph as summary, heading and anchors as names."""
     html = F.col("html")
@@ -28,6 +29,7 @@ def page_fields(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@tables.plan_once
 def alias_rows(spark: SparkSession, folder: str) -> DataFrame:
     """(page_id, title, alias, position): the raw names of every page in order."""
     return page_fields(spark, folder).select(
@@ -35,6 +37,7 @@ def alias_rows(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@tables.plan_once
 def wiki_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Published pages of the documents with the same number, their base and its flags."""
     from corpusloom.plans.wiki_build import page_aliases
@@ -60,6 +63,7 @@ def _first_version_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return tables.chunks(spark, folder).where("version_no = 1")
 
 
+@tables.plan_once
 def claims(spark: SparkSession, folder: str) -> DataFrame:
     """One claim per section of a document's first version, with its stored trust state."""
     quality = tables.read(spark, folder, "labels").select("doc_id", "quality")
@@ -77,6 +81,7 @@ def claims(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@tables.plan_once
 def claim_sources(spark: SparkSession, folder: str) -> DataFrame:
     """Locator snapshots: the children of a claim's section; some digests have drifted."""
     children = _first_version_chunks(spark, folder).where("kind = 'child'")
@@ -95,6 +100,7 @@ def claim_sources(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@tables.plan_once
 def active_children(spark: SparkSession, folder: str) -> DataFrame:
     """Children of active versions with their 1-based number inside the version."""
     active = tables.documents_dim(spark, folder).where(
@@ -107,6 +113,7 @@ def active_children(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@tables.plan_once
 def long_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """(kb_id, doc_id, version_id, chunk_id, child_index, token): tokens of six letters or more."""
     words = F.filter(T.terms(T.fold(F.col("content"))), lambda w: F.length(w) >= 6)
@@ -115,6 +122,7 @@ def long_tokens(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@tables.plan_once
 def topics(spark: SparkSession, folder: str) -> DataFrame:
     """Five most frequent long tokens of each document as its topics, in rank order."""
     counted = long_tokens(spark, folder).groupBy("kb_id", "doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
@@ -123,6 +131,7 @@ def topics(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@tables.plan_once
 def topic_sources(spark: SparkSession, folder: str) -> DataFrame:
     """(kb_id, doc_id, name, chunk_id): the children that mention a document's topic."""
     mentioned = long_tokens(spark, folder).select(
@@ -131,6 +140,7 @@ def topic_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mentioned.join(topics(spark, folder).select("kb_id", "doc_id", "name"), ["kb_id", "doc_id", "name"])
 
 
+@tables.plan_once
 def case_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """Query vectors of the wiki queries: all sentences of a passage share its vector."""
     vectors = tables.query_vectors(spark, folder).withColumnRenamed("query_id", "case_id")
