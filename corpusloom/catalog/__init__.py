@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.catalog import ingestion, retrieval, search, wiki
+from corpusloom.catalog import events, ingestion, retrieval, search, texts, wiki
 
-MODULES = (retrieval, ingestion, wiki, search)
+MODULES = (retrieval, ingestion, wiki, search, texts, events)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}

@@ -76,3 +76,18 @@ def top_k(
     """
     ranked = df.withColumn(into, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
     return ranked.where(F.col(into) <= k)
+
+
+def with_previous(
+    df: DataFrame, group: Sequence[str], order: Sequence[str], columns: Sequence[str], offset: int = 1
+) -> DataFrame:
+    """Add `previous_<column>` from the row `offset` places earlier (later when negative).
+
+    Rows are numbered over blocks and matched by an equi join on the number, so a group of any size
+    stays spread; the window function would put it into one task.
+    """
+    numbered = number_rows(df, group, order, into="_no")
+    earlier = numbered.select(
+        *group, (F.col("_no") + offset).alias("_no"), *(F.col(c).alias(f"previous_{c}") for c in columns)
+    )
+    return numbered.join(earlier, [*group, "_no"], "left").drop("_no")
