@@ -84,7 +84,8 @@ class OwnerIndex:
         within = np.arange(int(fan.sum())) - np.repeat(np.cumsum(fan) - fan, fan)
         columns = self.columns[np.repeat(self.starts[terms], fan) + within]
         cells = np.repeat(rows, fan) * self.width + columns
-        return np.bincount(cells, np.repeat(values, fan), height * self.width).reshape(-1, self.width)
+        flat = np.bincount(cells, np.repeat(values, fan), height * self.width)
+        return flat.astype(np.float64).reshape(height, self.width)
 
 
 def best_rows(scores: np.ndarray, eligible: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

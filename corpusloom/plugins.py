@@ -90,3 +90,35 @@ def pair_scorer(score: Callable[[str, str], float]) -> Callable[[Column, Column]
         return pd.Series([safe(q, p) for q, p in pairs], dtype="float64")
 
     return scored
+
+
+GENERATION_SCHEMA = "doc_id long, version_id string, batch long, reply string, measured_tokens long"
+
+
+def generate_replies(
+    children: DataFrame, generate: Callable[[str, list[tuple[int, str]]], tuple[str, int | None]]
+) -> DataFrame:
+    """Call a generator once per batch of twelve children; its JSON replies are checked afterwards.
+
+    `children` is (doc_id, version_id, title, child_index, content). A batch is one bounded row, so
+    batches of all documents are spread over the cluster and handed to Python in Arrow blocks.
+    `generate(title, [(index, excerpt), ...])` returns the reply and its token count or None.
+    """
+    batch = F.floor((F.col("child_index") - 1) / 12)
+    excerpts = F.array_sort(F.collect_list(F.struct("child_index", F.substring("content", 1, 1600).alias("text"))))
+    batches = children.groupBy("doc_id", "version_id", batch.alias("batch")).agg(
+        F.max("title").alias("title"), excerpts.alias("excerpts")
+    )
+
+    def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            told = [
+                generate(title, [(row["child_index"], row["text"]) for row in rows])
+                for title, rows in zip(frame["title"], frame["excerpts"], strict=True)
+            ]
+            out = frame[["doc_id", "version_id", "batch"]].copy()
+            out["reply"] = [reply for reply, _ in told]
+            out["measured_tokens"] = pd.array([tokens for _, tokens in told], dtype="Int64")
+            yield out
+
+    return batches.mapInPandas(call, GENERATION_SCHEMA)
