@@ -41,11 +41,10 @@ def short_digest(text: Column) -> Column:
 
 def fold(text: Column) -> Column:
     """Case folding without compatibility normalisation, in the JVM."""
-    low = F.lower(text)
-    folded = low
+    folded = F.lower(text)
     for char, ascii_form in FOLDS_TO_ASCII.items():
         folded = F.replace(folded, F.lit(char), F.lit(ascii_form))
-    return F.when(low.rlike("[" + "".join(FOLDS_TO_ASCII) + "]"), folded).otherwise(low)
+    return folded
 
 
 @F.pandas_udf(StringType())

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators.ordering import top_k
 
-MAX_BLOCK_QUERIES = 512
+MAX_BLOCK_QUERIES = 2048
+MAX_CELLS = 1_000_000
 SCORE_DIGITS = 6
 
 
@@ -108,6 +109,14 @@ def keep_best(frame: pd.DataFrame, k: int) -> pd.DataFrame:
     return ordered.groupby("query_id", sort=False).head(k)
 
 
+def slices(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
+    """Batches cut so that rows x queries stays below MAX_CELLS, which bounds a task's memory."""
+    rows = max(1, MAX_CELLS // max(width, 1))
+    for batch in batches:
+        for start in range(0, len(batch), rows):
+            yield batch.iloc[start : start + rows]
+
+
 Kernel = Callable[[pd.DataFrame], tuple]
 
 
@@ -136,9 +145,7 @@ def scan_top_k(
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             best: pd.DataFrame | None = None
-            for batch in batches:
-                if batch.empty:
-                    continue
+            for batch in slices(batches, len(block)):
                 scores, eligible, *carried = kernel(batch)
                 scores = rounded(scores)
                 rows, columns = best_rows(scores, eligible, k)

@@ -42,22 +42,34 @@ register_sectioner(".html", uploads.html_sections)
 
 
 def hash_embedder(dimension: int = 64) -> Callable[[Column], Column]:
-    """The default embedder: signed feature hashing of the token set, unit length."""
+    """The default embedder: signed feature hashing of the tokens, unit length."""
 
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        codes: dict[str, int] = {}
+
+        def code_of(word: str) -> int:
+            if len(codes) > 1_000_000:
+                codes.clear()
+            code = codes[word] = zlib.crc32(word.encode())
+            return code
+
         for tokens in batches:
-            vectors = []
-            for words in tokens:
-                vector = np.zeros(dimension, dtype=np.float64)
-                for word in words if words is not None else ():
-                    code = zlib.crc32(word.encode())
-                    vector[code % dimension] += 1.0 if code & 0x80000000 else -1.0
-                norm = np.linalg.norm(vector)
-                vectors.append((vector / norm if norm else vector).astype(np.float32))
-            yield pd.Series(vectors)
+            lists = tokens.to_numpy()
+            sizes = np.fromiter((0 if words is None else len(words) for words in lists), np.int64, len(lists))
+            flat = np.fromiter(
+                (codes[w] if w in codes else code_of(w) for words in lists if words is not None for w in words),
+                np.int64,
+                int(sizes.sum()),
+            )
+            cells = np.repeat(np.arange(len(lists)), sizes) * dimension + flat % dimension
+            signs = np.where(flat & 0x80000000, 1.0, -1.0)
+            sums = np.bincount(cells, signs, len(lists) * dimension).astype(np.float64).reshape(-1, dimension)
+            norms = np.linalg.norm(sums, axis=1, keepdims=True)
+            vectors = (sums / np.where(norms == 0, 1.0, norms)).astype(np.float32)
+            yield pd.Series(list(vectors), index=tokens.index)
 
     udf = F.pandas_udf(embed, ArrayType(FloatType()))
-    return lambda text: udf(T.token_set(text))
+    return lambda text: udf(T.terms(T.fold(text)))
 
 
 def embed_children(

@@ -116,7 +116,7 @@ def active_children(spark: SparkSession, folder: str) -> DataFrame:
 @tables.plan_once
 def long_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """(kb_id, doc_id, version_id, chunk_id, child_index, token): tokens of six letters or more."""
-    words = F.filter(T.terms(T.fold(F.col("content"))), lambda w: F.length(w) >= 6)
+    words = F.regexp_extract_all(T.fold(F.col("content")), F.lit("[a-z0-9]{6,}"), F.lit(0))
     return active_children(spark, folder).select(
         "kb_id", "doc_id", "version_id", "chunk_id", "child_index", F.explode(words).alias("token")
     )
