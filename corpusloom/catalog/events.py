@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.catalog import sql as S
@@ -24,18 +24,18 @@ EVENT_TYPE = {
 }
 
 
-def mapped(values: dict[str, str]) -> F.Column:
+def mapped(values: dict[str, str]) -> Column:
     out = F.lit(None).cast("string")
     for key, value in values.items():
         out = F.when(F.col("event_type") == key, value).otherwise(out)
     return out
 
 
-def now() -> F.Column:
+def now() -> Column:
     return F.expr("TIMESTAMP_NTZ '2024-01-20 00:00:00'")
 
 
-def k() -> F.Column:
+def k() -> Column:
     return F.get_json_object("props", "$.k").cast("int")
 
 
@@ -105,7 +105,7 @@ def job_state(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def stale_limit() -> F.Column:
+def stale_limit() -> Column:
     return F.expr("TIMESTAMP_NTZ '2024-01-31 00:00:00'")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.catalog import sql as S
@@ -10,6 +10,7 @@ from corpusloom.catalog.ingestion import JOBS
 from corpusloom.functions import text as T
 from corpusloom.operators.ordering import top_k
 from corpusloom.plans import wiki_admin, wiki_build
+from corpusloom.session import pinned
 from corpusloom.sources import tables, wiki_tables
 
 
@@ -105,14 +106,17 @@ def topic_components(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def wiki_topic_parts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    topics = wiki_topics(spark, folder)
-    identities = wiki_build.topic_identities(topics)
-    evidence = wiki_build.topic_evidence(
-        topics,
-        identities,
-        wiki_tables.topic_sources(spark, folder),
-        wiki_tables.claims(spark, folder),
-        wiki_tables.claim_sources(spark, folder),
+    """Topics, their identities and evidence, each written once: several steps read them."""
+    topics = pinned(wiki_topics(spark, folder))
+    identities = pinned(wiki_build.topic_identities(topics))
+    evidence = pinned(
+        wiki_build.topic_evidence(
+            topics,
+            identities,
+            wiki_tables.topic_sources(spark, folder),
+            wiki_tables.claims(spark, folder),
+            wiki_tables.claim_sources(spark, folder),
+        )
     )
     return topics, identities, evidence
 
@@ -195,7 +199,7 @@ def action_state(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
     pages = wiki_tables.page_fields(spark, folder).select("doc_id", "page_id")
     number = F.col("doc_id")
 
-    def version(no: F.Column) -> F.Column:
+    def version(no: Column) -> Column:
         return F.concat(F.col("page_id"), F.lit("-v"), no.cast("string"))
 
     state = pages.where(number % 10 != 9).select("page_id", version(F.lit(1)).alias("current_version_id"))

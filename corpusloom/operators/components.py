@@ -39,8 +39,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Each round is written to the shared checkpoint folder; the number of rounds grows with the
     logarithm of the longest path.
     """
-    nodes = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).distinct()
-    current = pinned(edges.select("u", "v").where("u <> v").distinct())
+    given = pinned(edges.select("u", "v").distinct())
+    nodes = given.select(F.col("u").alias("node")).unionByName(given.select(F.col("v").alias("node"))).distinct()
+    current = given.where("u <> v")
     mark = None
     for _ in range(MAX_ROUNDS):
         current = pinned(_small_star(_large_star(current)))

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -73,25 +71,30 @@ def page_claims(evidence: DataFrame) -> DataFrame:
 def score_claims(asked: DataFrame, evidence: DataFrame, sources: DataFrame) -> DataFrame:
     """Score every claim of the asked pages: 1 / best matched source rank + lexical relevance.
 
-    `asked` is (query_id, page_id, query). Claims are matched to ranks through their source rows;
-    the tokens of a query are taken once per query, those of a claim once per claim.
+    `asked` is (query_id, page_id, query). Ranks are matched on ids alone; the tokens of a query
+    are taken once per query, those of a claim once per claim, and join the scored rows at the end.
     """
     words = asked.select("query_id", "query").distinct()
     words = words.select("query_id", T.query_token_set(F.col("query")).alias("query_tokens"))
     wanted = evidence.join(asked.select("page_id").distinct(), "page_id", "left_semi")
-    facts = wanted.withColumn("text_tokens", T.query_token_set(F.col("text")))
-    rows = asked.select("query_id", "page_id").join(facts, "page_id")
+    facts = page_claims(wanted).select(
+        "claim_id",
+        "text",
+        F.col("position").alias("claim_position"),
+        T.query_token_set(F.col("text")).alias("text_tokens"),
+        T.token_set(F.col("text")).alias("tokens"),
+    )
+    rows = asked.select("query_id", "page_id").join(wanted.select("page_id", "claim_id", "chunk_id"), "page_id")
     ranks = sources.select("query_id", "chunk_id", F.col("rank").alias("source_rank"))
-    matched = rows.join(ranks, ["query_id", "chunk_id"], "left")
-    best = matched.groupBy("query_id", "page_id", "claim_id").agg(
-        F.first("text").alias("text"),
-        F.first("text_tokens").alias("text_tokens"),
-        F.first("position").alias("claim_position"),
-        F.min("source_rank").alias("best_rank"),
+    best = (
+        rows.join(ranks, ["query_id", "chunk_id"], "left")
+        .groupBy("query_id", "page_id", "claim_id")
+        .agg(F.min("source_rank").alias("best_rank"))
     )
     lexical = T.overlap_share(F.col("query_tokens"), F.col("text_tokens"))
     return (
-        best.join(words, "query_id")
+        best.join(facts, "claim_id")
+        .join(words, "query_id")
         .withColumn("relevance", F.coalesce(1.0 / F.col("best_rank"), F.lit(0.0)) + lexical)
         .drop("query_tokens", "text_tokens")
     )
@@ -106,51 +109,87 @@ def claim_order_input(scored: DataFrame) -> DataFrame:
         F.col("claim_position").alias("seq"),
         "relevance",
         F.length("text").alias("cost"),
-        T.token_set(F.col("text")).alias("tokens"),
+        "tokens",
     )
 
 
-def _budget_fold(page_limit: int, claim_limit: int, budget: int):
-    """Fold of one query's pages and picked claims in order under the three budgets."""
+def walk_budget(
+    pages: list[tuple[int, list[tuple[int, int]]]], page_limit: int, claim_limit: int, budget: int
+) -> tuple[list[int], str | None]:
+    """(row numbers of admitted claims, truncation reason) of one query.
 
-    def admitted(rows: pd.DataFrame) -> Iterator[tuple]:
-        per_page = claim_limit if rows["page_order"].max() == 1 else CLAIMS_PER_PAGE
-        claims_left, characters_left, pages_found = claim_limit, budget, 0
-        reason: str | None = None
-        for page_order, page in rows.groupby("page_order", sort=True):
-            if pages_found >= page_limit or claims_left <= 0:
-                reason = reason or "claim_limit"
+    `pages` lists the pages in order, each with its claims (row number, length) in pick order.
+    """
+    per_page = claim_limit if len(pages) == 1 else CLAIMS_PER_PAGE
+    claims_left, characters_left, pages_found = claim_limit, budget, 0
+    admitted: list[int] = []
+    reason: str | None = None
+    for _, claims in pages:
+        if pages_found >= page_limit or claims_left <= 0:
+            reason = reason or "claim_limit"
+            break
+        taken = 0
+        for row, cost in claims:
+            if taken >= per_page or claims_left <= 0:
+                break
+            if cost > characters_left and (taken or pages_found):
+                reason = "character_budget"
                 break
-            taken = 0
-            for row in page[page["pick"].notna()].itertuples():
-                if taken >= per_page or claims_left <= 0:
-                    break
-                if row.cost > characters_left and (taken or pages_found):
-                    reason = "character_budget"
-                    break
-                taken += 1
-                claims_left -= 1
-                characters_left = max(0, characters_left - int(row.cost))
-                yield "claim", page_order, row.page_id, row.claim_id, taken, row.relevance
-            if taken:
-                pages_found += 1
-                if characters_left <= 0:
-                    reason = "character_budget"
-                    break
-        if reason is None and pages_found < rows["page_order"].max():
-            reason = "page_limit" if pages_found >= page_limit else "claim_limit"
-        yield "reason", 0, "", "", 0, reason
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values(["page_order", "pick"])
-        found = list(admitted(rows))
-        columns = ["kind", "page_order", "page_id", "claim_id", "claim_rank", "claim_score"]
-        out = pd.DataFrame(found[:-1], columns=columns).drop(columns="kind")
-        return out.assign(query_id=rows["query_id"].iloc[0], truncation_reason=found[-1][-1])[
-            ["query_id", "page_order", "page_id", "claim_id", "claim_rank", "claim_score", "truncation_reason"]
-        ]
-
-    return fold
+            admitted.append(row)
+            taken += 1
+            claims_left -= 1
+            characters_left = max(0, characters_left - cost)
+        if taken:
+            pages_found += 1
+            if characters_left <= 0:
+                reason = "character_budget"
+                break
+    if reason is None and pages_found < len(pages):
+        reason = "page_limit" if pages_found >= page_limit else "claim_limit"
+    return admitted, reason
+
+
+def within_budgets(walk: DataFrame, page_limit: int, claim_limit: int, budget: int) -> DataFrame:
+    """Admitted claims of each query in page and pick order, with the truncation reason.
+
+    A query's rows are at most 80 pages with a dozen picks, one array; many queries are walked per
+    Python call.
+    """
+
+    @F.pandas_udf("rows array<int>, reason string")
+    def walked(orders: pd.Series, picks: pd.Series, costs: pd.Series) -> pd.DataFrame:
+        out = []
+        for order, pick, cost in zip(orders, picks, costs, strict=True):
+            pages: dict[int, list[tuple[int, int]]] = {}
+            for row, page in enumerate(order):
+                claims = pages.setdefault(int(page), [])
+                if pick[row] is not None and pick[row] == pick[row]:
+                    claims.append((row, int(cost[row])))
+            out.append(walk_budget(list(pages.items()), page_limit, claim_limit, budget))
+        return pd.DataFrame(out, columns=["rows", "reason"])
+
+    row = F.struct("page_order", "pick", "page_id", "claim_id", "relevance", "cost")
+    grouped = walk.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+
+    def column(name: str) -> Column:
+        return F.transform("rows", lambda r: r[name])
+
+    told = grouped.withColumn("w", walked(column("page_order"), column("pick"), column("cost")))
+    kept = told.select(
+        "query_id",
+        F.col("w.reason").alias("truncation_reason"),
+        F.explode(F.transform("w.rows", lambda i: F.element_at("rows", i + 1))).alias("r"),
+    )
+    in_page = Window.partitionBy("query_id", "page_id").orderBy("pick")
+    return kept.select(
+        "query_id",
+        F.col("r.page_order").cast("long").alias("page_order"),
+        F.col("r.page_id").alias("page_id"),
+        F.col("r.claim_id").alias("claim_id"),
+        F.col("r.pick").alias("pick"),
+        F.col("r.relevance").alias("claim_score"),
+        "truncation_reason",
+    ).withColumn("claim_rank", F.row_number().over(in_page).cast("long")).drop("pick")
 
 
 def search(
@@ -187,13 +226,7 @@ def search(
         competing.select("query_id", "claim_id", "page_id", "cost"), ["query_id", "page_id", "claim_id"]
     )
     walk = ordered.select("query_id", "page_id", "page_order").join(picked, ["query_id", "page_id"], "left")
-    schema = (
-        "query_id long, page_order long, page_id string, claim_id string, claim_rank long, "
-        "claim_score double, truncation_reason string"
-    )
-    kept = walk.groupBy("query_id").applyInPandas(
-        _budget_fold(page_limit, claim_limit, character_budget), schema
-    )
+    kept = within_budgets(walk, page_limit, claim_limit, character_budget)
     totals = competing.groupBy("query_id", "page_id").agg(F.count(F.lit(1)).alias("n_claims"))
     shown = kept.groupBy("query_id", "page_id").agg(F.count(F.lit(1)).alias("n_shown"))
     omitted = shown.join(totals, ["query_id", "page_id"]).select(

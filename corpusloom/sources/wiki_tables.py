@@ -134,10 +134,9 @@ def topics(spark: SparkSession, folder: str) -> DataFrame:
 @tables.plan_once
 def topic_sources(spark: SparkSession, folder: str) -> DataFrame:
     """(kb_id, doc_id, name, chunk_id): the children that mention a document's topic."""
-    mentioned = long_tokens(spark, folder).select(
-        "kb_id", "doc_id", F.col("token").alias("name"), "chunk_id"
-    ).distinct()
-    return mentioned.join(topics(spark, folder).select("kb_id", "doc_id", "name"), ["kb_id", "doc_id", "name"])
+    mentioned = long_tokens(spark, folder).select("kb_id", "doc_id", F.col("token").alias("name"), "chunk_id")
+    own = topics(spark, folder).select("kb_id", "doc_id", "name")
+    return mentioned.join(own, ["kb_id", "doc_id", "name"]).distinct()
 
 
 @tables.plan_once
