@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.operators import scan
 from corpusloom.operators.ordering import top_k
+from corpusloom.session import broadcast_if_small
 
 K1 = 1.2
 B = 0.75
@@ -118,7 +119,9 @@ def keyword_search(
         df = {term: row["df"] for term, row in counted.items()}
         return keyword_kernel(n, length / n if length else 1.0, df, block)
 
-    admitted = chunks if bases is None else chunks.join(bases, "kb_id", "left_semi")
+    admitted = chunks
+    if bases is not None:
+        admitted = chunks.join(broadcast_if_small(bases), "kb_id", "left_semi")
     return scan.scan_top_k(with_terms(admitted), asked, kernel_of, k)
 
 

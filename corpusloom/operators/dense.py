@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import scan
 from corpusloom.operators.ordering import top_k
+from corpusloom.session import broadcast_if_small
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -33,7 +34,7 @@ def semantic_search(
     """Exact cosine top-k of (query_id, vector[, scope]) over (chunk_id, kb_id, vector)."""
     corpus = vectors.select("chunk_id", "kb_id", "vector")
     if bases is not None:
-        corpus = corpus.join(bases, "kb_id", "left_semi")
+        corpus = corpus.join(broadcast_if_small(bases), "kb_id", "left_semi")
     return scan.scan_top_k(corpus, queries, cosine_kernel, k)
 
 

@@ -135,20 +135,30 @@ def citation_precision(citations: DataFrame, terms: DataFrame, expected: DataFra
 
 
 def paraphrase_consistency(results: DataFrame, cases: DataFrame) -> DataFrame:
-    """(case_id, consistency): mean Jaccard of the result sets of each pair of a case's queries.
+    """(case_id, consistency): mean Jaccard of the result sets over the pairs of a case's queries.
 
-    Result sets are short lists per query; pairs are formed inside a case's few queries.
+    Queries with the same result set are counted together, so only distinct sets of a case are
+    compared, each pair weighted by how many query pairs it stands for.
     """
-    sets = cases.join(
-        results.groupBy("query_id").agg(F.collect_set("doc_id").alias("docs")), "query_id", "left"
-    ).withColumn("docs", F.coalesce("docs", F.array().cast("array<long>")))
-    left = sets.select("case_id", F.col("query_id").alias("q1"), F.col("docs").alias("d1"))
-    right = sets.select("case_id", F.col("query_id").alias("q2"), F.col("docs").alias("d2"))
-    union = F.size(F.array_union("d1", "d2"))
+    none = F.array().cast("array<long>")
+    found = results.groupBy("query_id").agg(F.array_sort(F.collect_set("doc_id")).alias("docs"))
+    sets = (
+        cases.join(found, "query_id", "left")
+        .groupBy("case_id", F.coalesce("docs", none).alias("docs"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("mark", F.xxhash64("docs"))
+    )
+    left = sets.select("case_id", F.col("docs").alias("d1"), F.col("n").alias("n1"), F.col("mark").alias("m1"))
+    right = sets.select("case_id", F.col("docs").alias("d2"), F.col("n").alias("n2"), F.col("mark").alias("m2"))
+    later = (F.col("m1") < F.col("m2")) | ((F.col("m1") == F.col("m2")) & (F.col("d1") < F.col("d2")))
     shared = F.size(F.array_intersect("d1", "d2"))
-    score = F.when(union == 0, 1.0).otherwise(shared / F.greatest(union, F.lit(1)))
-    pairs = left.join(right, "case_id").where("q1 < q2").withColumn("score", score)
-    return pairs.groupBy("case_id").agg(F.round(F.avg("score"), 6).alias("consistency"))
+    score = shared / F.greatest(F.size(F.array_union("d1", "d2")), F.lit(1))
+    weight = F.col("n1") * F.col("n2")
+    apart = left.join(right, "case_id").where(later).select("case_id", weight.alias("w"), (score * weight).alias("s"))
+    alike = F.col("n") * (F.col("n") - 1) / 2
+    same = sets.where("n > 1").select("case_id", alike.cast("long").alias("w"), alike.alias("s"))
+    pairs = apart.unionByName(same)
+    return pairs.groupBy("case_id").agg(F.round(F.sum("s") / F.sum("w"), 6).alias("consistency"))
 
 
 def false_matches(queries: DataFrame, results: DataFrame, texts: DataFrame, forbidden: DataFrame) -> DataFrame:

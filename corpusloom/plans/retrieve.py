@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.operators import bm25, dense, fusion
 from corpusloom.operators.ordering import top_k
+from corpusloom.session import broadcast_if_small, pinned
 
 CHANNEL_K = 30
 PUBLIC_POOL = 20
@@ -101,7 +102,8 @@ def hybrid_hits(
 def hydrate(hits: DataFrame, chunks: DataFrame, documents: DataFrame, bases: DataFrame) -> DataFrame:
     """Join hits to their chunk, its document and parent; hits that are not visible vanish.
 
-    Hits are few (queries x k), so each large table is read once and only probed.
+    Hits are few (queries x k): their ids and then their parents' ids are broadcast to the chunk
+    table after a count, so its text is read where it lies and only matching rows move.
     """
     visible = documents.where(~F.col("deleted")).join(bases.where("enabled").select("kb_id"), "kb_id")
     active = visible.select(
@@ -110,14 +112,15 @@ def hydrate(hits: DataFrame, chunks: DataFrame, documents: DataFrame, bases: Dat
     child = chunks.where(F.col("kind") == "child").select(
         "chunk_id", "version_id", "parent_chunk_id", "ordinal", "heading_path", "content"
     )
-    found = hits.join(child, "chunk_id").join(active, "version_id")
+    own = F.coalesce("parent_chunk_id", "chunk_id")
+    at = child.join(broadcast_if_small(hits), "chunk_id").withColumn("parent_chunk_id", own)
+    found = pinned(at.join(active, "version_id"))
+    wanted = broadcast_if_small(found.select("parent_chunk_id").distinct())
     parents = chunks.where(F.col("kind") == "parent").select(
         F.col("chunk_id").alias("parent_chunk_id"), F.col("content").alias("parent_content")
     )
-    own = F.coalesce("parent_chunk_id", "chunk_id")
     return (
-        found.withColumn("parent_chunk_id", own)
-        .join(parents, "parent_chunk_id", "left")
+        found.join(parents.join(wanted, "parent_chunk_id", "left_semi"), "parent_chunk_id", "left")
         .withColumn("content", F.coalesce("parent_content", "content"))
         .drop("parent_content")
     )

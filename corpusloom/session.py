@@ -6,6 +6,9 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 200_000
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -46,3 +49,12 @@ def pinned(df: DataFrame) -> DataFrame:
     """Write `df` once to the shared checkpoint folder and read it from there afterwards."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A counted side of a join: hinted for broadcast up to `max_rows`, left to the planner beyond.
+
+    The hint keeps the other, text-carrying side from being shuffled; rows must be narrow (ids).
+    """
+    rows = pinned(df)
+    return F.broadcast(rows) if rows.limit(max_rows + 1).count() <= max_rows else rows

@@ -69,13 +69,16 @@ def claims(spark: SparkSession, folder: str) -> DataFrame:
     quality = tables.read(spark, folder, "labels").select("doc_id", "quality")
     parents = _first_version_chunks(spark, folder).where("kind = 'parent'")
     claim = F.concat_ws("-", F.lit("c"), F.col("doc_id").cast("string"), F.col("section_no").cast("string"))
-    return parents.join(quality, "doc_id", "left").select(
+    facts = parents.select(
         claim.alias("claim_id"),
         "doc_id",
         F.col("doc_id").cast("string").alias("page_id"),
         "kb_id",
         F.col("section_no").alias("position"),
         T.first_sentence(F.col("content")).alias("text"),
+    )
+    return facts.join(quality, "doc_id", "left").select(
+        *facts.columns,
         F.when(F.coalesce(F.col("quality"), F.lit(1)) == 1, "verified").otherwise("needs_review").alias("trust_state"),
         F.lit("summary_fact").alias("claim_type"),
     )
