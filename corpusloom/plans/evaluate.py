@@ -19,8 +19,8 @@ except ImportError:
 
 def _side_by_side(left: DataFrame, right: DataFrame) -> DataFrame:
     """Two one-row results as one row."""
-    one = F.lit(1)
-    return left.withColumn("_one", one).join(right.withColumn("_one", one), "_one").drop("_one")
+    both = left.unionByName(right, allowMissingColumns=True)
+    return both.agg(*(F.max(c).alias(c) for c in both.columns))
 
 
 def _automaton(block: list[Row]) -> Callable[[str], set]:
