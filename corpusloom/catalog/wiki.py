@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.catalog import sql as S
-from corpusloom.catalog.ingestion import JOBS
 from corpusloom.functions import text as T
 from corpusloom.operators.ordering import top_k
 from corpusloom.plans import wiki_admin, wiki_build

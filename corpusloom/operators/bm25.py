@@ -35,13 +35,6 @@ def postings(chunks: DataFrame) -> DataFrame:
     return exploded.groupBy("chunk_id", "kb_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def corpus_statistics(chunks: DataFrame) -> DataFrame:
-    """One row: number of chunks and average length over the index."""
-    return with_terms(chunks).agg(
-        F.count(F.lit(1)).alias("n_chunks"), F.avg("length").alias("avg_length")
-    )
-
-
 def term_statistics(chunks: DataFrame) -> DataFrame:
     """(kb_id, term, df, cf): document and collection frequency of each term in each base."""
     distinct = with_terms(chunks).select("kb_id", F.explode("terms").alias("term"), "chunk_id")

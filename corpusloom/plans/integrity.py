@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -104,10 +104,6 @@ def constraint_report(parts: list[DataFrame]) -> DataFrame:
     return report
 
 
-def _visible_base(pages: DataFrame) -> Column:
-    return F.col("enabled") & F.col("wiki_enabled")
-
-
 def current_evidence(
     pages: DataFrame, claims: DataFrame, sources: DataFrame, documents: DataFrame, chunks: DataFrame
 ) -> DataFrame:
@@ -116,7 +112,7 @@ def current_evidence(
     (page_id, kb_id, claim_id, text, position, claim_type, chunk_id, doc_id): the page is live in
     an enabled base with its wiki on, the document belongs to the same base.
     """
-    shown = pages.where(_visible_base(pages)).select("page_id", "kb_id")
+    shown = pages.where("enabled AND wiki_enabled").select("page_id", "kb_id")
     facts = claims.where("trust_state = 'verified'").select(
         "claim_id", "page_id", "text", "position", "claim_type"
     )

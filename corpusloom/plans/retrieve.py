@@ -27,11 +27,6 @@ def candidate_pool(limit: int) -> int:
     return min(200, max(limit * 2, 40))
 
 
-def _check_mode(mode: str) -> None:
-    if mode not in ("hybrid", "semantic", "keyword"):
-        raise ValueError("invalid_search_options")
-
-
 def resolve_scopes(requests: DataFrame, bases: DataFrame) -> DataFrame:
     """Decide each request (request_id, mode, selected array): its status and usable bases.
 
