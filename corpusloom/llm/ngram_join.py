@@ -210,3 +210,14 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, n_links and n_copies of every document."""
     doc_id = F.when(F.col("did") < LAST, F.col("did")).alias("doc_id")
     return similar_texts(docs).select(doc_id, "class_id", "n_links", "n_copies")
+
+
+def first_of_each(docs: DataFrame) -> DataFrame:
+    """The documents, all columns, whose doc_id is the least of its connected group.
+
+    Rows that repeat a kept doc_id with the same text are copies too: one stays.
+    """
+    kept = similar_texts(docs).where("did = class_id").select("did").distinct()
+    key = F.coalesce("doc_id", F.lit(LAST))
+    joined = docs.join(kept, key == F.col("did"), "left_semi")
+    return joined.dropDuplicates(["doc_id"])

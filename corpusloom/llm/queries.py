@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import (
     decontamination,
+    line_dedup,
     ngram_join,
+    pii,
     quality_rules,
     sentencepiece_codec,
     span_dedup,
     substring_dedup,
     toxicity,
+    url_filters,
 )
 
 
@@ -19,6 +22,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.line_report(_table(spark, folder, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score_texts(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
@@ -36,6 +43,10 @@ def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return sentencepiece_codec.digests(_table(spark, folder, "documents"))
 
 
+def op6_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filters.judge(_table(spark, folder, "pages"))
+
+
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
@@ -49,16 +60,23 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(_table(spark, folder, "documents"))
 
 
+def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.report(_table(spark, folder, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_line_dedup,
         op2_toxicity,
         op3_ngram_join,
         op4_span_dedup,
         op5_sentencepiece,
+        op6_url_filters,
         op7_decontamination,
         op8_suffix_array_dedup,
         op9_quality_rules,
+        op10_pii,
     )
 }
 SQL: dict[str, str] = {}

@@ -1,7 +1,7 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-A word enters as a hashed word vector and the mean of its hashed character trigram vectors. Windows of
-`WINDOW` words at every half window, the last one at the end, cover each whole text; a text's score is that of
+A word enters as a hashed word vector and the mean of its hashed vectors of 3 and 6 bytes of its characters. Windows of
+`WINDOW` words, overlapping by a quarter, the last one at the end, cover each whole text; a text's score is that of
 its highest window, and training follows the highest window of each sampled text. Only texts and labels are
 used: doc_id decides who may teach (crc32 of its decimal text, modulo 3, is not 1) but is no input.
 
@@ -22,13 +22,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.batches import Hasher, slices, texts_of
+from corpusloom.llm.batches import Hasher, mixed, slices, texts_of
 
-WINDOW, STEP = 32, 16
+WINDOW, STEP = 32, 24
 WIDTH, HIDDEN = 8, 8
-WORD_ROWS, GRAM_ROWS = 1 << 14, 1 << 12
-MAX_SAMPLE, SAMPLE_CHARS = 1500, 20_000
-EPOCHS, BATCH, RATE = 10, 256, 0.02
+WORD_ROWS, GRAM_ROWS = 1 << 14, 1 << 15
+MAX_SAMPLE, SAMPLE_CHARS = 1200, 6000
+EPOCHS, BATCH, RATE, DECAY, DROP = 8, 128, 0.01, 0.1, 0.3
+KNOWN_SHARE, KNOWN_TEXTS = 0.02, 5
 THRESHOLD = 0.7
 
 
@@ -47,15 +48,20 @@ class Tokens:
         starts, ends, owner = texts.words(word_bytes())
         hashes = hasher.spans(hasher.prefix(texts.data), starts, ends)
         distinct, first, number = np.unique(hashes, return_index=True, return_inverse=True)
-        self.rows = np.append(0, (distinct % np.uint64(WORD_ROWS)).astype(np.int64))
+        self.rows = np.append(0, (1 + distinct % np.uint64(WORD_ROWS - 1)).astype(np.int64))
         begin, end = starts[first], ends[first]
         length = end - begin
         self.word = np.repeat(np.arange(1, len(distinct) + 1), length)
         at = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length - begin, length)
         left = np.where(at == np.repeat(begin, length), 32, texts.data[at - 1]).astype(np.int64)
         right = np.where(at + 1 == np.repeat(end, length), 32, texts.data[at + 1]).astype(np.int64)
-        gram = (left * 65536 + texts.data[at].astype(np.int64) * 256 + right) * 2654435761
-        self.grams = (gram >> 16) % GRAM_ROWS
+        three = left * 65536 + texts.data[at].astype(np.int64) * 256 + right
+        # Six bytes as two threes; near the end of a word the second is that of its last byte.
+        then = three[np.minimum(np.arange(len(at)) + 3, np.repeat(np.cumsum(length), length) - 1)]
+        six = mixed((three * 16777259 + then).astype(np.uint64))
+        grams = np.concatenate((mixed(three.astype(np.uint64)), six + np.uint64(1)))
+        self.grams = (grams % np.uint64(GRAM_ROWS)).astype(np.int64)
+        self.word = np.concatenate((self.word, self.word))
         self.share = np.append(0.0, 1.0 / np.maximum(1, length)).astype(np.float32)
         count = np.bincount(owner, minlength=len(texts))
         windows = np.maximum(1, 1 + -(-np.maximum(0, count - WINDOW) // STEP))
@@ -77,15 +83,15 @@ class Network:
     """The parameters; `forward` scores windows and `step` fits them by backpropagation through time."""
 
     def __init__(self, seed: int = 7) -> None:
-        rng = np.random.default_rng(seed)
+        self.rng = rng = np.random.default_rng(seed)
 
         def init(*shape: int, scale: float) -> np.ndarray:
             return rng.normal(0, scale, shape).astype(np.float32)
 
         h = HIDDEN
         self.p = {
-            "word": init(WORD_ROWS, WIDTH, scale=0.1),
-            "gram": init(GRAM_ROWS, WIDTH, scale=0.1),
+            "word": np.zeros((WORD_ROWS, WIDTH), dtype=np.float32),
+            "gram": np.zeros((GRAM_ROWS, WIDTH), dtype=np.float32),
             "input": init(2 * WIDTH, 6 * h, scale=0.4),
             "bias": np.zeros(6 * h, dtype=np.float32),
             "left": init(h, 3 * h, scale=0.3),
@@ -97,6 +103,7 @@ class Network:
         self.m = {k: np.zeros_like(v) for k, v in self.p.items()}
         self.v = {k: np.zeros_like(v) for k, v in self.p.items()}
         self.t = 0
+        self.known = {"word": np.ones(WORD_ROWS, dtype=np.float32), "gram": np.ones(GRAM_ROWS, dtype=np.float32)}
 
     def features(self, tokens: Tokens) -> np.ndarray:
         chars = np.zeros((len(tokens.rows), WIDTH), dtype=np.float32)
@@ -107,40 +114,46 @@ class Network:
 
     def _pass(self, gates: np.ndarray, real: np.ndarray, weights: np.ndarray, order: range, keep: list | None):
         h = HIDDEN
-        state = np.zeros((len(real), h), dtype=np.float32)
-        out = np.empty((len(real), WINDOW, h), dtype=np.float32)
+        state = np.zeros((real.shape[1], h), dtype=np.float32)
+        out = np.empty((WINDOW, len(state), h), dtype=np.float32)
+        whole = real.all(axis=1)
         for t in order:
-            x, u, on = gates[:, t], state @ weights, real[:, t : t + 1]
+            x, u = gates[t], state @ weights
             zr = sigmoid(x[:, : 2 * h] + u[:, : 2 * h])
             z, r = zr[:, :h], zr[:, h:]
             n = np.tanh(x[:, 2 * h :] + r * u[:, 2 * h :])
             if keep is not None:
                 keep.append((t, state, z, r, n, u[:, 2 * h :]))
-            state = state + on * (1 - z) * (n - state)
-            out[:, t] = state
+            change = n - state
+            change *= 1 - z
+            if not whole[t]:
+                change *= real[t][:, None]
+            state = state + change
+            out[t] = state
         return out
 
     def forward(self, table: np.ndarray, windows: np.ndarray, keep: dict | None = None) -> np.ndarray:
         h = HIDDEN
+        windows = np.ascontiguousarray(windows.T)
         real = (windows > 0).astype(np.float32)
-        gates = table[windows]
         kept = ([], []) if keep is not None else (None, None)
+        left, right = np.ascontiguousarray(table[:, : 3 * h]), np.ascontiguousarray(table[:, 3 * h :])
         states = np.concatenate(
             (
-                self._pass(gates[:, :, : 3 * h], real, self.p["left"], range(WINDOW), kept[0]),
-                self._pass(gates[:, :, 3 * h :], real, self.p["right"], range(WINDOW - 1, -1, -1), kept[1]),
+                self._pass(left[windows], real, self.p["left"], range(WINDOW), kept[0]),
+                self._pass(right[windows], real, self.p["right"], range(WINDOW - 1, -1, -1), kept[1]),
             ),
             axis=2,
         )
         look = states @ self.p["look"] - 30.0 * (1 - real)
-        look = np.exp(look - look.max(axis=1, keepdims=True))
-        weight = look / look.sum(axis=1, keepdims=True)
-        pooled = np.einsum("mt,mth->mh", weight, states)
+        look = np.exp(look - look.max(axis=0))
+        weight = look / look.sum(axis=0)
+        pooled = (weight[:, :, None] * states).sum(axis=0)
         if keep is not None:
-            keep.update(real=real, kept=kept, states=states, weight=weight, pooled=pooled)
+            keep.update(real=real.T, kept=kept, states=states.transpose(1, 0, 2), weight=weight.T, pooled=pooled)
         return pooled @ self.p["out"] + self.p["shift"][0]
 
-    def scores(self, tokens: Tokens, part: int = 2048) -> np.ndarray:
+    def scores(self, tokens: Tokens, part: int = 512) -> np.ndarray:
         table = self.features(tokens) @ self.p["input"] + self.p["bias"]
         runs = [self.forward(table, tokens.windows[i : i + part]) for i in range(0, len(tokens.windows), part)]
         return np.concatenate(runs)
@@ -164,6 +177,8 @@ class Network:
     def step(self, tokens: Tokens, chosen: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> None:
         h, keep = HIDDEN, {}
         features = self.features(tokens)
+        stay = (self.rng.random(features.shape) >= DROP).astype(np.float32) / (1 - DROP)
+        features = features * stay
         windows = tokens.windows[chosen]
         used, local = np.unique(windows, return_inverse=True)
         local = local.reshape(windows.shape)
@@ -189,13 +204,16 @@ class Network:
         d_table[0] = 0
         g["bias"] = d_table.sum(axis=0)
         g["input"] = features.T @ d_table
-        d_features = d_table @ self.p["input"].T
+        d_features = (d_table @ self.p["input"].T) * stay
         g["word"] = np.zeros_like(self.p["word"])
         np.add.at(g["word"], tokens.rows, d_features[:, :WIDTH])
         shared = (d_features[:, WIDTH:] * tokens.share[:, None])[tokens.word]
         g["gram"] = np.stack(
             [np.bincount(tokens.grams, weights=shared[:, i], minlength=GRAM_ROWS) for i in range(WIDTH)], axis=1
         )
+        # What few sampled texts hold would only tell those texts apart: its vector stays zero.
+        for k, known in self.known.items():
+            g[k] *= known[:, None]
         self._adam(g)
 
     def _adam(self, g: dict) -> None:
@@ -205,7 +223,7 @@ class Network:
             self.m[k] = 0.9 * self.m[k] + 0.1 * grad
             self.v[k] = 0.99 * self.v[k] + 0.01 * grad * grad
             rate = RATE * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
-            self.p[k] -= (rate * self.m[k] / (np.sqrt(self.v[k]) + 1e-7)).astype(np.float32)
+            self.p[k] -= (rate * self.m[k] / (np.sqrt(self.v[k]) + 1e-5) + RATE * DECAY * self.p[k]).astype(np.float32)
 
 
 def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Network:
@@ -216,10 +234,21 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Network:
     for at in range(0, len(order), BATCH):
         part = order[at : at + BATCH]
         groups.append((Tokens(pa.array([texts[i] for i in part], pa.string()), hasher), labels[part].astype(np.float32)))
+    in_texts = {"word": np.zeros(WORD_ROWS), "gram": np.zeros(GRAM_ROWS)}
+    for tokens, _ in groups:
+        text, word = np.unique(np.stack((np.repeat(tokens.text, WINDOW), tokens.windows.ravel())), axis=1)
+        np.add.at(in_texts["word"], tokens.rows[word], 1)
+        order = np.argsort(tokens.word, kind="stable")
+        many = np.bincount(tokens.word, minlength=len(tokens.rows))[word]
+        first = np.searchsorted(tokens.word[order], word)
+        at = np.repeat(first, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        pairs = np.unique(np.repeat(text, many) * GRAM_ROWS + tokens.grams[order[at]])
+        np.add.at(in_texts["gram"], pairs % GRAM_ROWS, 1)
+    in_texts["word"][0] = 0
+    network.known = {k: (n >= max(KNOWN_TEXTS, KNOWN_SHARE * len(texts))).astype(np.float32) for k, n in in_texts.items()}
     positive = max(1.0, float(labels.sum()))
     balance = min(10.0, (len(labels) - positive) / positive)
-    epochs = max(EPOCHS, -(-120 // len(groups)))
-    for epoch in range(epochs):
+    for epoch in range(max(EPOCHS, -(-60 // len(groups)))):
         for i in rng.permutation(len(groups)):
             tokens, y = groups[i]
             score = network.scores(tokens) if epoch else rng.random(len(tokens.windows))
