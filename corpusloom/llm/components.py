@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.session import pinned
+from corpusloom.llm.tables import stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,13 +16,13 @@ def components(edges: DataFrame) -> DataFrame:
     checkpoint folder, so both sides are shuffled by the join itself and Spark may split a hub's rows.
     """
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    both = pinned(both.where("u <> v").distinct())
-    labels = pinned(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("label")))
+    both = stored(both.where("u <> v").distinct())
+    labels = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("label")))
     while True:
         near = both.join(labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("m"))
-        lower = pinned(labels.join(near, "u").select("u", F.least("label", "m").alias("label"), F.col("label").alias("old")))
+        lower = stored(labels.join(near, "u").select("u", F.least("label", "m").alias("label"), F.col("label").alias("old")))
         parent = lower.select(F.col("u").alias("label"), F.col("label").alias("top"))
-        jumped = pinned(lower.join(parent, "label").select("u", F.col("top").alias("label"), "old"))
+        jumped = stored(lower.join(parent, "label").select("u", F.col("top").alias("label"), "old"))
         labels = jumped.select("u", "label")
         if jumped.where("label <> old").isEmpty():
             return labels.select(F.col("u").alias("node"), F.col("label").alias("component"))

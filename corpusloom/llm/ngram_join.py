@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.batches import Hasher, mixed, runs_of, slices, texts_of
 from corpusloom.llm.components import components
-from corpusloom.session import pinned
+from corpusloom.llm.tables import stored
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -168,19 +168,19 @@ def similar_texts(docs: DataFrame) -> DataFrame:
     """
     texts = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("did"), F.coalesce("text", F.lit("")).alias("text"))
     schema = "did long, d1 long, d2 long, n int, labels binary"
-    signed = pinned(texts.mapInArrow(_signatures, schema))
+    signed = stored(texts.mapInArrow(_signatures, schema))
     groups = signed.groupBy("d1", "d2", "n").agg(
         F.min("did").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("labels").alias("labels")
     )
-    groups = pinned(groups)
+    groups = stored(groups)
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
     prefix = F.expr(f"substring(labels, tree * {2 * DEEPEST} + 1, {2 * depth_for()})").alias("prefix")
     cells = groups.where("n > 0").select("rep", "labels", tree).select("rep", "tree", prefix)
     shared = cells.groupBy("tree", "prefix").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = pinned(shared.select("tree", "prefix", "leader"))
+    shared = stored(shared.select("tree", "prefix", "leader"))
     stars = cells.join(shared, ["tree", "prefix"]).where("rep <> leader").select(F.col("rep").alias("u"), F.col("leader").alias("v"))
-    near = pinned(components(stars))
-    sizes = pinned(near.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")))
+    near = stored(components(stars))
+    sizes = stored(near.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")))
     members = near.join(sizes, "component").select(
         F.col("node").alias("did"), "component", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk")
     )
@@ -190,11 +190,11 @@ def similar_texts(docs: DataFrame) -> DataFrame:
     pairs = sets.select("did", "component", "chunk", "shingles", other).select(
         "did", "component", "chunk", "shingles", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2")
     )
-    found = pinned(pairs.groupBy("component", "c1", "c2").applyInArrow(_verify, "did long, root long, links long"))
+    found = stored(pairs.groupBy("component", "c1", "c2").applyInArrow(_verify, "did long, root long, links long"))
     links = found.groupBy("did").agg(F.sum("links").alias("n_links"))
     classes = components(found.select(F.col("did").alias("u"), F.col("root").alias("v")))
     named = groups.join(links, groups["rep"] == links["did"], "left").join(classes, F.col("rep") == F.col("node"), "left")
-    named = pinned(
+    named = stored(
         named.select(
             "d1", "d2", "n", "copies",
             F.coalesce("component", "rep").alias("class_id"),

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.batches import Hasher, Texts, runs_of, slices, texts_of
+from corpusloom.llm.tables import stored
 
 COMMON_SHARE = 0.002
 LANGUAGE_SHARE = 0.005
@@ -115,9 +116,7 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.nd
     counts = rows.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
     # A counter per word only decides which words are common: the shares come with the language's total.
     spread = F.when(F.col("kind") == 0, F.col("key")).otherwise(F.lit(-1))
-    from corpusloom.session import pinned
-
-    counts = pinned(counts)
+    counts = stored(counts)
     totals = counts.groupBy("lang", spread.alias("class")).agg(F.sum("n").alias("n"))
     whole = F.sum(F.when(F.col("class") == -1, F.col("n"))).alias("n")
     all_words = totals.agg(whole).first()["n"] or 0

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.batches import Hasher, Texts, runs_of, slices, texts_of
-from corpusloom.session import pinned
+from corpusloom.llm.tables import stored
 
 SPAN = 3
 LAST = 2**63 - 1
@@ -101,7 +101,7 @@ def later_places(texts: DataFrame) -> DataFrame:
     rows = texts.mapInArrow(_span_rows, "key long, did long, at int")
     place = F.struct("did", "at")
     first = rows.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    first = pinned(first.select("key", F.col("first.did").alias("d0"), F.col("first.at").alias("a0")))
+    first = stored(first.select("key", F.col("first.did").alias("d0"), F.col("first.at").alias("a0")))
     later = rows.join(first, "key").where("did <> d0 or at <> a0")
     return later.groupBy("did").agg(F.collect_list("at").alias("ats"))
 

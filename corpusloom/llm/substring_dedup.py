@@ -30,16 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.batches import BASE, Hasher, bytes_of, mixed, slices
-from corpusloom.session import pinned
+from corpusloom.llm.tables import stored
 
 WINDOW = 100
-GRAM = 24
+GRAM = 20  # 16 + 4, as gram_hashes builds them
 SPAN = WINDOW - GRAM + 1
 LAST = 2**63 - 1
 
 
 def gram_hashes(values: np.ndarray, data: np.ndarray) -> np.ndarray:
-    """Hashes of all GRAM-byte strings, built from strings of 8 and 16 bytes."""
+    """Hashes of all GRAM-byte strings, built from strings of 4 and 16 bytes."""
 
     def twice(h: np.ndarray, length: int, other: np.ndarray | None = None) -> np.ndarray:
         right = h if other is None else other
@@ -52,7 +52,7 @@ def gram_hashes(values: np.ndarray, data: np.ndarray) -> np.ndarray:
     four = twice(two, 2)
     eight = twice(four, 4)
     sixteen = twice(eight, 8)
-    return mixed(twice(sixteen, 16, eight))
+    return mixed(twice(sixteen, 16, four))
 
 
 def running_min(h: np.ndarray, width: int) -> np.ndarray:
@@ -270,7 +270,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_ranges(texts: DataFrame) -> DataFrame:
     """(did, ranges): the byte ranges to remove from each document that has any."""
     blocks = texts.mapInArrow(_block_rows, "key long, did long, at long")
-    repeated = pinned(blocks.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
+    repeated = stored(blocks.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
     candidates = blocks.join(repeated, "key").groupBy("did").agg(F.collect_list("at").alias("ats"))
     found = texts.join(candidates, "did").select("did", "text", "ats")
     suffixes = found.mapInArrow(_block_texts, "head binary, block binary, did long, start long")

@@ -20,7 +20,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.session import pinned
+from corpusloom.llm.tables import stored
 
 ORDER = 3
 ALPHABET = 256
@@ -67,7 +67,7 @@ def models(urls: DataFrame) -> DataFrame:
     ends = grams(urls, "yes", "no")
     cut = F.array(*[F.when(F.col("i") > k, F.expr(f"substring(s, i - {k}, {k + 1})")) for k in range(ORDER + 1)])
     cells = ends.select("yes", "no", F.posexplode(cut).alias("order", "gram")).where("gram is not null")
-    counts = pinned(cells.groupBy("order", "gram").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")))
+    counts = stored(cells.groupBy("order", "gram").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")))
     done, lower = None, None
     for order in range(ORDER + 1):
         own = counts.where(F.col("order") == order).select("gram", "yes", "no")
@@ -91,7 +91,7 @@ def models(urls: DataFrame) -> DataFrame:
             .alias(f"p_{c}")
             for c in ("yes", "no")
         ]
-        lower = pinned(own.select("gram", *p))
+        lower = stored(own.select("gram", *p))
         done = lower if done is None else done.unionByName(lower)
     return done.select("gram", (F.log("p_yes") - F.log("p_no")).alias("ratio"))
 
@@ -100,20 +100,20 @@ def scores(urls: DataFrame, model: DataFrame) -> DataFrame:
     """url, score of every distinct URL; hot strings are joined by a skew-split join."""
     longest = F.expr(f"substring(s, greatest(1, i - {ORDER}), least(i, {ORDER + 1}))")
     cells = grams(urls, "url").select("url", longest.alias("gram"))
-    return cells.join(pinned(model), "gram").groupBy("url").agg(F.avg("ratio").alias("score"))
+    return cells.join(stored(model), "gram").groupBy("url").agg(F.avg("ratio").alias("score"))
 
 
 def judge(pages: DataFrame) -> DataFrame:
     """page_id, host, path, rule, verdict and score of every page."""
     urls = pages.select(F.coalesce("url", F.lit("")).alias("url")).distinct()
-    known = pinned(ruled(urls))
+    known = stored(ruled(urls))
     held = F.crc32(F.col("url").cast("binary")) % 5 == 0
     counted = known.select(
         "url",
         (~held & (F.col("says") == "allow")).cast("long").alias("yes"),
         (~held & (F.col("says") == "block")).cast("long").alias("no"),
     ).na.fill(0)
-    scored = pinned(scores(known, models(counted)))
+    scored = stored(scores(known, models(counted)))
     fold = scored.join(known.where(held).where("says is not null").select("url", "says"), "url")
     stats = {r["says"]: r for r in fold.groupBy("says").agg(F.avg("score").alias("m"), F.stddev_pop("score").alias("d")).collect()}
     limit = 0.0
