@@ -217,7 +217,6 @@ def first_of_each(docs: DataFrame) -> DataFrame:
 
     Rows that repeat a kept doc_id with the same text are copies too: one stays.
     """
-    kept = similar_texts(docs).where("did = class_id").select("did").distinct()
-    key = F.coalesce("doc_id", F.lit(LAST))
-    joined = docs.join(kept, key == F.col("did"), "left_semi")
+    kept = similar_texts(docs).where("did = class_id").select(F.col("did").alias("__kept_id")).distinct()
+    joined = docs.join(kept, F.coalesce("doc_id", F.lit(LAST)) == F.col("__kept_id"), "left_semi")
     return joined.dropDuplicates(["doc_id"])
