@@ -184,7 +184,7 @@ def stream_event_order(spark: SparkSession, folder: str) -> DataFrame:
         F.col("conv_id").alias("turn_id"),
         F.col("turn").alias("seq"),
         (F.col("role") == "user").alias("tool_call"),
-        F.when(F.col("role") == "assistant", F.substring("text", 1, 20)).otherwise("").alias("content"),
+        F.when(F.col("role") == "assistant", F.col("text")).otherwise("").alias("content"),
         F.least(F.floor(F.col("turn") / 2), F.lit(8)).alias("n_sources"),
     )
     rows = J.turn_events(items)
@@ -411,7 +411,7 @@ SELECT turn_id, call_no, place, chunk_id, '[' || number || ']' AS citation_id
 FROM told WHERE number <= 8 AND (stop IS NULL OR place < stop)""",
     "stream_event_order": """
 WITH items AS (
-  SELECT conv_id AS turn_id, turn AS seq, role = 'user' AS call, CASE WHEN role = 'assistant' THEN substr(text, 1, 20) ELSE '' END AS content,
+  SELECT conv_id AS turn_id, turn AS seq, role = 'user' AS call, CASE WHEN role = 'assistant' THEN text ELSE '' END AS content,
          least(turn // 2, 8) AS n FROM conversations),
 told AS (
   SELECT *, n > coalesce(lag(n) OVER w, 0) AS grown, min(CASE WHEN call THEN seq END) OVER p = seq AS first_call,

@@ -48,7 +48,7 @@ def trigram_title_match(spark: SparkSession, folder: str) -> DataFrame:
         F.col("doc_id").alias("query_id"), T.normalize_query(F.col("title")).alias("query")
     ).where(F.size(T.terms(F.col("query"))) > 0)
     rows = wiki_search.metadata_channel(pages, asked)
-    return rows.where("position <= 10").select(
+    return rows.select(
         "query_id", "page_id", "relevance", "exact_match", F.col("position").cast("long").alias("position")
     )
 
@@ -534,7 +534,7 @@ SELECT query_id, page_id, title_score, summary_score, alias_score, exact_match,
   SELECT doc_id AS query_id, {NORMAL.format('title')} AS query FROM wiki_pages
   WHERE regexp_matches({NORMAL.format('title')}, '[a-z0-9㐀-鿿]'))""",
         metadata_sql("titles", "wiki_pages"),
-        select="SELECT query_id, page_id, relevance, exact_match, position FROM metadata WHERE position <= 10",
+        select="SELECT query_id, page_id, relevance, exact_match, position FROM metadata",
     ),
     "provenance_channel": S.sql(
         *SOURCE_PARTS, *EVIDENCE_PARTS, PROVENANCE,

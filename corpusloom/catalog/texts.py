@@ -23,11 +23,11 @@ def token_sets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lexical_relevance(spark: SparkSession, folder: str) -> DataFrame:
-    """Every document against the passage its number falls on."""
+    """Every document against the passage its number falls on; every passage of the table is used."""
+    asked = tables.read(spark, folder, "benchmark").select("item_id", T.token_set(F.col("text")).alias("words"))
     docs = tables.read(spark, folder, "documents", spread=True).select(
-        "doc_id", (F.col("doc_id") % 40).alias("item_id"), T.token_set(F.col("text")).alias("tokens")
+        "doc_id", (F.col("doc_id") % asked.count()).alias("item_id"), T.token_set(F.col("text")).alias("tokens")
     )
-    asked = tables.read(spark, folder, "benchmark").select("item_id", T.token_set(F.col("text")).alias("words"))
     return docs.join(asked, "item_id").select(
         "doc_id", "item_id", F.round(T.overlap_share(F.col("words"), F.col("tokens")), 6).alias("relevance")
     )
@@ -216,7 +216,7 @@ SELECT doc_id, CAST(len(tokens) AS BIGINT) AS n_tokens, sha256(array_to_string(l
 FROM (SELECT doc_id, {TOKEN_SET.format('text')} AS tokens FROM documents)""",
     "lexical_relevance": f"""
 SELECT doc_id, item_id, round(len(list_intersect(words, tokens)) / len(words), 6) AS relevance
-FROM (SELECT doc_id, doc_id % 40 AS item_id, {TOKEN_SET.format('text')} AS tokens FROM documents)
+FROM (SELECT doc_id, doc_id % (SELECT count(*) FROM benchmark) AS item_id, {TOKEN_SET.format('text')} AS tokens FROM documents)
      JOIN (SELECT item_id, {TOKEN_SET.format('text')} AS words FROM benchmark) USING (item_id)""",
     "jaccard_pairs": f"""
 WITH t AS (SELECT doc_id, {TOKEN_SET.format('text')} AS tokens FROM documents)

@@ -109,6 +109,16 @@ def test_sinks_replace_only_changed_versions(spark):
         assert got == {r for r in rows if r[0] != "v1"} | {("v1", "new"), ("v9", "first")}
 
 
+def test_sinks_delete_the_last_version_of_a_bucket(spark):
+    path = tempfile.mkdtemp(prefix="sink-") + "/t"
+    schema = "version_id string, chunk_id string"
+    sinks.write_versions(spark.createDataFrame([("v1", "a"), ("v2", "b")], schema), path, 64)
+    gone = spark.createDataFrame([("v1",)], "version_id string")
+    for _ in range(2):
+        sinks.overwrite_versions(spark.createDataFrame([], schema), gone, path, 64)
+        assert [tuple(r)[:2] for r in spark.read.parquet(path).select("version_id", "chunk_id").collect()] == [("v2", "b")]
+
+
 def test_store_round_trip(spark):
     root = tempfile.mkdtemp(prefix="store-")
     df = spark.createDataFrame([("p1", "k", "s", "topic", "T", "v", False)], MODEL["wiki_pages"])
