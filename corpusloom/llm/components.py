@@ -11,18 +11,21 @@ from corpusloom.llm.tables import stored
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for links (u, v); a component is named by its least node.
 
-    Every round takes the least label among the neighbours and then the label of the label, so rounds grow
-    with the logarithm of the longest path. Minima combine map-side. The joins read tables written to the
-    checkpoint folder, so both sides are shuffled by the join itself and Spark may split a hub's rows.
+    In every round a node and its label both take the least label found across the node's links, so whole trees
+    hook on to smaller ones, and then the label of the label: rounds grow with the logarithm of the longest path.
+    Minima combine map-side. The joins read tables written to the checkpoint folder, so both sides are shuffled
+    by the join itself and Spark may split a hub's rows.
     """
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     both = stored(both.where("u <> v").distinct())
     labels = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("label")))
     while True:
-        near = both.join(labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("m"))
-        lower = stored(labels.join(near, "u").select("u", F.least("label", "m").alias("label"), F.col("label").alias("old")))
+        across = both.join(labels.select(F.col("u").alias("v"), F.col("label").alias("far")), "v").join(labels, "u")
+        across = across.where("far < label").select(F.explode(F.array("u", "label")).alias("u"), "far")
+        hooks = stored(across.groupBy("u").agg(F.min("far").alias("far")))
+        lower = stored(labels.join(hooks, "u", "left").select("u", F.least("label", "far").alias("label")))
         parent = lower.select(F.col("u").alias("label"), F.col("label").alias("top"))
-        jumped = stored(lower.join(parent, "label").select("u", F.col("top").alias("label"), "old"))
+        jumped = stored(lower.join(parent, "label").select("u", F.col("top").alias("label"), F.col("label").alias("old")))
         labels = jumped.select("u", "label")
-        if jumped.where("label <> old").isEmpty():
+        if hooks.isEmpty() and jumped.where("label <> old").isEmpty():
             return labels.select(F.col("u").alias("node"), F.col("label").alias("component"))
