@@ -16,8 +16,8 @@ def components(edges: DataFrame) -> DataFrame:
     Minima combine map-side. The joins read tables written to the checkpoint folder, so both sides are shuffled
     by the join itself and Spark may split a hub's rows.
     """
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    both = stored(both.where("u <> v").distinct())
+    ways = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = stored(edges.where("u <> v").select(F.inline(ways)).distinct())
     labels = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("label")))
     while True:
         across = both.join(labels.select(F.col("u").alias("v"), F.col("label").alias("far")), "v").join(labels, "u")
