@@ -9,7 +9,6 @@ from corpusloom.catalog import sql as S
 from corpusloom.catalog.texts import FILTERED, MESSAGES, marked_messages
 from corpusloom.functions import text as T
 from corpusloom.plugins import hash_embedder
-from corpusloom.schemas import GIVEN
 from corpusloom.sources import tables
 from corpusloom.streaming import jobs as J
 from corpusloom.streaming import streams
@@ -193,7 +192,7 @@ def stream_event_order(spark: SparkSession, folder: str) -> DataFrame:
 
 def event_stream(spark: SparkSession, folder: str) -> DataFrame:
     """The events table as a file stream of keyed outbox events."""
-    raw = spark.readStream.schema(GIVEN["events"]).option("pathGlobFilter", "events.parquet").parquet(folder)
+    raw = tables.read_stream(spark, folder, "events")
     key = F.concat_ws(":", "event_type", F.col("user_id").cast("string"), F.get_json_object("props", "$.k"))
     return raw.select(
         key.alias("event_key"), mapped(EVENT_TYPE).alias("event_type"), F.col("ts").cast("timestamp").alias("ts")
@@ -210,7 +209,7 @@ def stream_dedup_ingest(spark: SparkSession, folder: str) -> DataFrame:
 def stream_incremental_ingest(spark: SparkSession, folder: str) -> DataFrame:
     """Build the documents of a file stream and report what became searchable."""
     run = streams.run_folder(spark, "ingest")
-    raw = spark.readStream.schema(GIVEN["documents"]).option("pathGlobFilter", "documents.parquet").parquet(folder)
+    raw = tables.read_stream(spark, folder, "documents")
     from corpusloom.operators.chunking import line_sections
 
     versions = raw.select(
@@ -228,7 +227,7 @@ def stream_incremental_ingest(spark: SparkSession, folder: str) -> DataFrame:
 def stream_job_lifecycle(spark: SparkSession, folder: str) -> DataFrame:
     """Newest state of every job kept by a streaming aggregation."""
     run = streams.run_folder(spark, "jobs")
-    raw = spark.readStream.schema(GIVEN["events"]).option("pathGlobFilter", "events.parquet").parquet(folder)
+    raw = tables.read_stream(spark, folder, "events")
     log = raw.select(F.col("user_id").alias("job_id"), "ts", "event_id", mapped(STATUS).alias("status"))
     streams.follow_lifecycle(log, run)
     return streams.newest_states(spark, run)

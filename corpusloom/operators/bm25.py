@@ -27,11 +27,13 @@ def with_terms(chunks: DataFrame) -> DataFrame:
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """(term, chunk_id, kb_id, tf, length): one row per term of a chunk.
+    """(term, chunk_id, kb_id, tf, length): one row per term of a chunk, and one of the empty term.
 
+    The empty term stands for the chunk itself, so chunks without tokens count in N and the average length.
     The grouping key holds the chunk id, so a frequent term is spread over all partitions.
     """
-    exploded = with_terms(chunks).select("chunk_id", "kb_id", "length", F.explode("terms").alias("term"))
+    terms = F.concat(F.array(F.lit("")), "terms")
+    exploded = with_terms(chunks).select("chunk_id", "kb_id", "length", F.explode(terms).alias("term"))
     return exploded.groupBy("chunk_id", "kb_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -44,19 +46,22 @@ def term_statistics(chunks: DataFrame) -> DataFrame:
     )
 
 
-def query_statistics(chunks: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def query_statistics(chunks: DataFrame, words: list[str]) -> DataFrame:
     """(term, df, length) of the vocabulary in one pass, counted map-side.
 
-    The vocabulary is that of one query block, at most MAX_BLOCK_TERMS words, and is broadcast.
+    The vocabulary is that of one query block and is broadcast up to MAX_BLOCK_TERMS words.
     Every chunk also counts for the empty term, so that row carries the number of chunks and their
     total length.
     """
+    vocabulary = chunks.sparkSession.createDataFrame([("",), *((w,) for w in words)], "term string")
+    if len(words) <= MAX_BLOCK_TERMS:
+        vocabulary = F.broadcast(vocabulary)
     marked = with_terms(chunks).select(
         "length",
         F.explode(F.concat(F.array(F.lit("")), F.array_distinct("terms"))).alias("term"),
     )
     return (
-        marked.join(F.broadcast(vocabulary), "term")
+        marked.join(vocabulary, "term")
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"), F.sum("length").alias("length"))
     )
@@ -103,10 +108,7 @@ def keyword_search(
 
     def kernel_of(block: list[Row]) -> scan.Kernel:
         words = sorted({term for row in block for term in row["terms"]})
-        if len(words) > MAX_BLOCK_TERMS:
-            raise ValueError("query block holds too many terms; lower max_block_queries")
-        vocabulary = chunks.sparkSession.createDataFrame([("",), *((w,) for w in words)], "term string")
-        counted = {row["term"]: row for row in query_statistics(chunks, vocabulary).collect()}
+        counted = {row["term"]: row for row in query_statistics(chunks, words).collect()}
         total = counted.pop("", None)
         n, length = (total["df"], total["length"]) if total else (0, 0)
         df = {term: row["df"] for term, row in counted.items()}
@@ -118,26 +120,32 @@ def keyword_search(
     return scan.scan_top_k(with_terms(admitted), asked, kernel_of, k)
 
 
-def keyword_search_on_postings(posting_rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """BM25 top-k from a written postings table: only the query terms' rows are read.
+def keyword_search_on_postings(
+    posting_rows: DataFrame, queries: DataFrame, k: int, bases: DataFrame | None = None
+) -> DataFrame:
+    """BM25 top-k from a written postings table, with the answer of `keyword_search`.
 
     Suits a large query table: queries and postings meet in an equi join on the term, nothing is
-    sent to all tasks.
+    sent to all tasks. N and the average length come from the rows of the empty term alone.
     """
     asked = query_terms(queries)
     words = asked.select("term").distinct()
     read = posting_rows.join(words, "term", "left_semi")
     df = read.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    chunk_lengths = posting_rows.select("chunk_id", "length").distinct()
-    stats = chunk_lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_length"))
-    row = stats.first()
+    sizes = posting_rows.where("term = ''").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_length"))
+    row = sizes.first()
     weighted = asked.join(df, "term").select(
         "query_id", "term", inverse_frequency(F.col("df"), F.lit(row["n"])).alias("idf")
     )
-    weight = term_weight(F.col("tf"), F.col("length"), F.lit(row["avg_length"]))
-    scored = (
-        read.join(weighted, "term")
-        .groupBy("query_id", "chunk_id")
-        .agg(F.round(F.sum(F.col("idf") * weight), scan.SCORE_DIGITS).alias("score"))
+    weight = term_weight(F.col("tf"), F.col("length"), F.lit(row["avg_length"] or 1.0))
+    admitted = read
+    if bases is not None:
+        admitted = admitted.join(broadcast_if_small(bases), "kb_id", "left_semi")
+    met = admitted.join(weighted, "term")
+    if "scope" in queries.columns:
+        scopes = queries.select("query_id", "scope")
+        met = met.join(scopes, "query_id").where("scope IS NULL OR array_contains(scope, kb_id)")
+    scored = met.groupBy("query_id", "chunk_id").agg(
+        F.round(F.sum(F.col("idf") * weight), scan.SCORE_DIGITS).alias("score")
     )
     return top_k(scored, ["query_id"], [F.desc("score"), "chunk_id"], k, into="position")

@@ -54,6 +54,12 @@ def read(spark: SparkSession, folder: str, table: str, spread: bool = False) ->
     return df
 
 
+def read_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """A given table as a file stream, whether it is one file or a folder of part files."""
+    # The pattern names this table only; a file stream accepts one file no other way.
+    return spark.readStream.schema(GIVEN[table]).parquet(f"{folder}/{table}.parque[t]")
+
+
 def as_of() -> Column:
     return F.expr(f"TIMESTAMP_NTZ '{AS_OF}'")
 

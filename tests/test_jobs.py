@@ -359,3 +359,13 @@ def test_failed_parse_and_stage_progress(spark):
 
 def test_every_query_has_a_statement():
     assert set(entry.queries()) == set(entry.oracle_sql())
+
+
+@pytest.mark.parametrize("name", ["stream_dedup_ingest", "stream_job_lifecycle", "stream_incremental_ingest"])
+def test_streams_read_a_file_or_a_folder_of_parts(spark, folder, tmp_path, name):
+    from corpusloom.catalog import QUERIES
+
+    for table in ("events", "documents"):
+        spark.read.parquet(f"{folder}/{table}.parquet").repartition(3).write.parquet(f"{tmp_path}/{table}.parquet")
+    rows = [sorted(map(str, QUERIES[name](spark, f).collect())) for f in (folder, str(tmp_path))]
+    assert rows[0] and rows[0] == rows[1]

@@ -213,12 +213,20 @@ def test_bm25_paths_agree_with_brute_force(spark, index):
         expected |= {(q, c, s) for s, c in ranked[:3]}
     scanned = {(r["query_id"], r["chunk_id"], r["score"]) for r in bm25.keyword_search(index, queries, 3).collect()}
     assert scanned == expected
-    nonempty = index.where("content <> ''")
-    stored = bm25.keyword_search_on_postings(bm25.postings(nonempty), queries, 3).collect()
-    direct = bm25.keyword_search(nonempty, queries, 3).collect()
-    assert {(r["query_id"], r["chunk_id"], r["score"]) for r in stored} == {
-        (r["query_id"], r["chunk_id"], r["score"]) for r in direct
-    }
+    key = lambda df: {(r["query_id"], r["chunk_id"], r["score"]) for r in df.collect()}
+    assert key(bm25.keyword_search_on_postings(bm25.postings(index), queries, 3)) == expected
+    scoped = queries.withColumn("scope", F.when(F.col("query_id") == 1, F.array(F.lit("k1"))))
+    bases = index.select("kb_id").distinct().where("kb_id <> 'k0'")
+    for given in (None, bases):
+        stored = bm25.keyword_search_on_postings(bm25.postings(index), scoped, 3, given)
+        assert key(stored) == key(bm25.keyword_search(index, scoped, 3, given))
+
+
+def test_bm25_vocabulary_beyond_the_broadcast_bound(spark, index, monkeypatch):
+    queries = spark.createDataFrame([(1, "the cat"), (2, "bird dog")], "query_id long, text string")
+    known = sorted(map(tuple, bm25.keyword_search(index, queries, 3).collect()))
+    monkeypatch.setattr(bm25, "MAX_BLOCK_TERMS", 1)
+    assert sorted(map(tuple, bm25.keyword_search(index, queries, 3).collect())) == known
 
 
 def test_bm25_scope_and_query_blocks(spark, index):
