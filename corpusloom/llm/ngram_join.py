@@ -11,8 +11,8 @@ are star links to the least member, never all pairs. The candidate components ar
 incidence matrices, which counts all links of a text and passes on a spanning forest only.
 
 Words are lower-cased runs without white space. A text of fewer than five words is one shingle. Texts without
-words are copies of each other and have no links. Null texts count as empty; a null doc_id sorts last. Rows
-that repeat a doc_id each get a row. Extra columns are not read.
+words are copies of each other and have no links. Null texts count as empty; a null doc_id sorts last, and a class
+of such documents alone has a null class_id. Rows that repeat a doc_id each get a row. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.batches import Hasher, mixed, runs_of, slices, texts_of
 from corpusloom.llm.components import components
-from corpusloom.llm.tables import stored
+from corpusloom.llm.tables import document_id, given_id, stored
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -166,7 +166,7 @@ def similar_texts(docs: DataFrame) -> DataFrame:
     class_id is the least doc_id of the connected group; n_links counts the different texts at a similarity of
     SIMILARITY or more; n_copies counts the documents of the same shingles, itself included.
     """
-    texts = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("did"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select(document_id().alias("did"), F.coalesce("text", F.lit("")).alias("text"))
     schema = "did long, d1 long, d2 long, n int, labels binary"
     signed = stored(texts.mapInArrow(_signatures, schema))
     groups = signed.groupBy("d1", "d2", "n").agg(
@@ -208,8 +208,8 @@ def similar_texts(docs: DataFrame) -> DataFrame:
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, n_links and n_copies of every document."""
-    doc_id = F.when(F.col("did") < LAST, F.col("did")).alias("doc_id")
-    return similar_texts(docs).select(doc_id, "class_id", "n_links", "n_copies")
+    doc_id = given_id().alias("doc_id")
+    return similar_texts(docs).select(doc_id, given_id("class_id").alias("class_id"), "n_links", "n_copies")
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
@@ -218,5 +218,5 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     Rows that repeat a kept doc_id with the same text are copies too: one stays.
     """
     kept = similar_texts(docs).where("did = class_id").select(F.col("did").alias("__kept_id")).distinct()
-    joined = docs.join(kept, F.coalesce("doc_id", F.lit(LAST)) == F.col("__kept_id"), "left_semi")
-    return joined.dropDuplicates(["doc_id"])
+    joined = docs.join(kept, document_id() == F.col("__kept_id"), "left_semi")
+    return joined.dropDuplicates(["doc_id", "text"])

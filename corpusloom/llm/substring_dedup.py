@@ -30,12 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.batches import BASE, Hasher, bytes_of, mixed, slices
-from corpusloom.llm.tables import stored
+from corpusloom.llm.tables import document_id, given_id, stored
 
 WINDOW = 100
 GRAM = 20  # 16 + 4, as gram_hashes builds them
 SPAN = WINDOW - GRAM + 1
-LAST = 2**63 - 1
 
 
 def gram_hashes(values: np.ndarray, data: np.ndarray) -> np.ndarray:
@@ -285,9 +284,9 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (remaining bytes) and kept_sha256 of every document."""
-    texts = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("did"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select(document_id().alias("did"), F.coalesce("text", F.lit("")).alias("text"))
     joined = texts.join(repeated_ranges(texts), "did", "left")
-    doc_id = F.when(F.col("did") < LAST, F.col("did")).alias("doc_id")
+    doc_id = given_id().alias("doc_id")
     return joined.select(doc_id, "text", "ranges").mapInArrow(
         _cut_out,
         "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string",

@@ -4,13 +4,30 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from corpusloom.session import checkpoint_root
 
+UNNAMED = 1 << 62
+
 
 def stored(df: DataFrame) -> DataFrame:
     """Write `df` as Parquet to the shared checkpoint folder and read it from there: lineage ends here."""
     path = f"{checkpoint_root(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def document_id(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """doc_id; where it is null, a number from UNNAMED on that a hash of the text decides.
+
+    Documents without an id so come after all others, are told apart by their texts and never take each
+    other's places. Given ids are below UNNAMED.
+    """
+    return F.coalesce(F.col(doc_id), F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.lit(UNNAMED)) + F.lit(UNNAMED))
+
+
+def given_id(did: str = "did") -> Column:
+    """The doc_id that document_id was made from."""
+    return F.when(F.col(did) < UNNAMED, F.col(did))

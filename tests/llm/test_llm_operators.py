@@ -252,3 +252,19 @@ def test_toxicity_on_held_out_rows(spark):
     assert held and sum(got[i]["predicted"] == dict(labels)[i] for i in held) >= 0.95 * len(held)
     assert got[1000]["score"] == got[1001]["score"] and 0 <= got[1000]["score"] <= 1
     assert toxicity.score_texts(docs, known.where("false")).agg(F.max("score")).first()[0] == 0
+
+
+def test_documents_without_ids_are_told_apart(spark):
+    rng = random.Random(12)
+    one, two, three = (prose(rng, 60) for _ in range(3))
+    rows = [(None, one), (None, f"{two}\n{one}"), (None, three), (None, three), (4, two), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = ngram_join.first_of_each(docs).collect()
+    assert sorted((r["text"] or "") for r in kept) == sorted(["", one, f"{two}\n{one}", three, two])
+    lines = [r["text"] for r in line_dedup.without_repeated_lines(docs).collect()]
+    # Line 0 of one document goes without harm to line 0 of the others.
+    assert lines.count(three) == 2 and two in lines and sum(one in (t or "") for t in lines) == 1
+    spans = [r["kept"] for r in span_dedup.remove_repeated_spans(docs).collect()]
+    assert spans.count(three) == 2 and two in spans and sum(one in t for t in spans) == 1
+    cut = [r["n_removed"] for r in substring_dedup.remove_repeats(docs).collect() if r["doc_id"] is None]
+    assert sum(n > 0 for n in cut) in (1, 2)
