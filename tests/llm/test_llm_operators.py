@@ -144,6 +144,26 @@ def test_lines_match_brute_force(spark, empty):
     assert line_dedup.line_report(empty).count() == 0
 
 
+def test_lines_with_changed_words_meet(spark):
+    rng = random.Random(21)
+    rows, pairs = [], []
+    for k in range(60):
+        words = prose(rng, rng.choice([6, 10, 20, 50])).split()
+        other = list(words)
+        room = 0.15 * len(" ".join(words))
+        for i in rng.sample(range(len(words)), len(words)):
+            if len(words[i]) <= room:
+                room -= len(words[i])
+                other[i] = "x" * len(words[i])
+        if other == words:
+            other[-1] = other[-1].rstrip(".") + "!"
+        pairs.append((2 * k, 2 * k + 1))
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    rows += [(1000, "..."), (1001, "... !!"), (1002, "quite other words in this line")]
+    got = {r["doc_id"]: r["removed"] for r in line_dedup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[b] == "0" for _, b in pairs) >= 57 and not any(got[a] for a, _ in pairs) and got[1002] == ""
+
+
 def test_block_pairs_meet_within_bits(spark):
     rng = random.Random(9)
     values = []
