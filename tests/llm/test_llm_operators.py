@@ -233,6 +233,26 @@ def test_edit_distance_and_leaks(spark, empty):
     assert decontamination.leaks(empty, bench).count() == 0 and decontamination.leaks(docs, bench.where("false")).count() == 0
 
 
+def test_leaks_down_to_the_reported_similarity():
+    rng = random.Random(31)
+    texts = [prose(rng, 40) for _ in range(60)]
+    items = decontamination.Items(list(enumerate(texts)))
+    found = near = 0
+    for i, text in enumerate(texts):
+        chars = list(text)
+        for at in rng.sample(range(len(chars)), int(0.15 * len(chars))):
+            chars[at] = rng.choice("bcdfgjkm")
+        changed = f"{prose(rng, 30)} {''.join(chars)} {prose(rng, 30)}"
+        distance, end = decontamination.edits_within(text, changed)
+        _, back = decontamination.edits_within(text[::-1], changed[:end][::-1])
+        if 1 - distance / max(len(text), back) < decontamination.SIMILARITY:
+            continue
+        near += 1
+        got = decontamination.matches(items, pa.array([changed]), decontamination.Hasher())
+        found += i in {g[1] for g in got}
+    assert near > 40 and found >= 0.9 * near
+
+
 def luhn_ok(digits: str) -> bool:
     total = sum(int(d) if k % 2 == 0 else sum(divmod(2 * int(d), 10)) for k, d in enumerate(reversed(digits)))
     return 12 <= len(digits) <= 19 and total % 10 == 0
