@@ -1,7 +1,9 @@
-"""Sliding sentence spans: sentences inside a repeated run of `SPAN` sentences go, except in its first place.
+"""Sliding sentence spans: sentences inside a repeated run go, except in its first place.
+
+A run is `SPAN` sentences, or two sentences of `PAIR_WORDS` words or more together.
 
 A sentence ends at a word that ends in a full stop, exclamation or question mark, or before a line break. Each
-run of SPAN consecutive sentences is hashed in its task; the runs met twice or more are found by a map-side
+run is hashed in its task, one of SPAN sentences only where two runs of two do not cover it; the runs met twice or more are found by a map-side
 aggregate that keeps the first place (least doc_id, then least sentence), and a join of narrow rows marks the
 later places. A document of fewer sentences is one run. Only places and hashes are shuffled until the marks
 meet the texts, by document.
@@ -25,6 +27,7 @@ from corpusloom.llm.batches import Hasher, Texts, runs_of, slices, texts_of
 from corpusloom.llm.tables import document_id, given_id, stored
 
 SPAN = 3
+PAIR_WORDS = 8
 
 
 def sentences(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -49,17 +52,26 @@ def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = hasher.spans(hasher.prefix(texts.data), starts, ends)
         count = np.bincount(owner, minlength=len(texts))
         first = np.cumsum(count) - count
-        keys, at = [], []
+        begin, _, _ = texts.words()
+        words = np.searchsorted(begin, ends) - np.searchsorted(begin, starts)
+        wide = np.zeros(len(owner), dtype=bool)
+        wide[:-1] = (owner[:-1] == owner[1:]) & (words[:-1] + words[1:] >= PAIR_WORDS)
+        keys, at, size = [], [], []
         for k in range(1, SPAN + 1):
             runs = runs_of(hashes, k)
             place = np.arange(len(runs))
             real = (owner[place] == owner[place + k - 1]) & ((k == SPAN) | (count[owner[place]] == k))
+            if k == 2:
+                real |= wide[place]
+            elif k == SPAN:
+                real &= ~(wide[place] & wide[place + 1])
             keys.append((runs[real] ^ np.uint64(k)).view(np.int64))
             at.append(place[real])
-        at = np.concatenate(at)
+            size.append(np.full(int(real.sum()), k))
+        at, size = np.concatenate(at), np.concatenate(size)
         ids = batch.column("did").to_numpy(zero_copy_only=False)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(keys)), pa.array(ids[owner[at]]), pa.array((at - first[owner[at]]).astype(np.int32))],
+            [pa.array(np.concatenate(keys)), pa.array(ids[owner[at]]), pa.array(((at - first[owner[at]]) * (SPAN + 1) + size).astype(np.int32))],
             names=["key", "did", "at"],
         )
 
@@ -76,9 +88,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             body = texts.data[begin:end]
             gone = np.zeros(count[i], dtype=bool)
             if ats and count[i]:
-                at = np.unique(np.array(ats))
+                at, size = np.divmod(np.unique(np.array(ats)), SPAN + 1)
                 for k in range(SPAN):
-                    gone[at[at + k < count[i]] + k] = True
+                    gone[at[k < size] + k] = True
                 edge = np.append(starts[first[i] : first[i] + count[i]], end) - begin
                 stay = np.repeat(np.append(True, ~gone), np.diff(np.append(0, edge)))
                 body = body[stay]
@@ -97,7 +109,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def later_places(texts: DataFrame) -> DataFrame:
-    """(did, ats): the sentences at which a run starts that has been met before."""
+    """(did, ats): where a run starts that has been met before, by sentence, times SPAN + 1 plus its sentences."""
     rows = texts.mapInArrow(_span_rows, "key long, did long, at int")
     place = F.struct("did", "at")
     first = rows.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")

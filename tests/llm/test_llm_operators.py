@@ -95,6 +95,16 @@ def test_sentence_spans(spark):
     assert (got[None]["n_removed"], got[None]["kept_sha256"]) == (3, sha(""))
 
 
+def test_passages_between_other_text_lose_their_whole_sentences(spark):
+    rng = random.Random(17)
+    whole = [" ".join(prose(rng, 14).replace(".", "").split()) + "." for _ in range(2)]
+    passage = f"tail of one sentence. {whole[0]} {whole[1]} head of another"
+    rows = [(1, f"First words before the {passage} that ends so."), (2, f"Second text with some {passage} and goes on. Its own end.")]
+    got = {r["doc_id"]: r for r in span_dedup.remove_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["n_removed"] == 0 and got[2]["n_removed"] == 2
+    assert got[2]["kept"] == "Second text with some tail of one sentence. head of another and goes on. Its own end."
+
+
 def shingle_set(text: str | None) -> frozenset:
     words = (text or "").lower().split()
     return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
