@@ -6,9 +6,9 @@ if the Jensen-Shannon distance (base 2) to the nearest allowed reference exceeds
 larger limit because their histograms are noisy, and below `MIN_WORDS` words only the base rules count.
 
 A common word has at least `COMMON_SHARE` of its language's words, so a language has at most 1 / COMMON_SHARE
-of them; languages with less than `LANGUAGE_SHARE` of all words get no reference. Both bound what the driver
-holds. A text whose language is null or has no reference is compared with all references and takes the
-nearest. Null and empty texts have no words and fail the base rule. Repeated rows are judged alike.
+of them, and occurs `COMMON_COUNT` times or more, so that a language of few words is not judged by chance words.
+Every language gets a reference: what the driver holds is bounded by the number of languages. A text whose
+language is null is compared with all references and takes the nearest. Null and empty texts have no words and fail the base rule. Repeated rows are judged alike.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from corpusloom.llm.batches import Hasher, Texts, runs_of, slices, texts_of
 from corpusloom.llm.tables import stored
 
 COMMON_SHARE = 0.002
-LANGUAGE_SHARE = 0.005
+COMMON_COUNT = 5
 MIN_WORDS = 20
 CLASS_LIMIT, CLASS_NOISE = 0.25, 0.5
 WORD_LIMIT, WORD_NOISE = 0.13, 2.5
@@ -119,21 +119,20 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.nd
     counts = stored(counts)
     totals = counts.groupBy("lang", spread.alias("class")).agg(F.sum("n").alias("n"))
     whole = F.sum(F.when(F.col("class") == -1, F.col("n"))).alias("n")
-    all_words = totals.agg(whole).first()["n"] or 0
-    large = totals.groupBy("lang").agg(whole).where(F.col("n") >= max(1.0, LANGUAGE_SHARE * all_words)).where("lang <> ''")
+    large = stored(totals.groupBy("lang").agg(whole).where("n >= 1 and lang <> ''"))
     sizes = {r["lang"]: r["n"] for r in large.collect()}
-    if not sizes:
-        return {}
-    kept = counts.where(F.col("lang").isin(list(sizes)))
-    least = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, max(1.0, COMMON_SHARE * n))])
-    rows = kept.where((F.col("kind") == 0) | (F.col("n") >= least[F.col("lang")])).collect()
+    least = F.greatest(F.lit(float(COMMON_COUNT)), COMMON_SHARE * F.col("total"))
+    kept = counts.join(F.broadcast(large.select("lang", F.col("n").alias("total"))), "lang")
+    found: dict[str, list] = {lang: [] for lang in sizes}
+    for r in kept.where((F.col("kind") == 0) | (F.col("n") >= least)).collect():
+        found[r["lang"]].append(r)
     out = {}
     for lang, total in sizes.items():
         classes = np.zeros(CLASSES)
-        for r in rows:
-            if r["lang"] == lang and r["kind"] == 0:
+        for r in found[lang]:
+            if r["kind"] == 0:
                 classes[r["key"]] = r["n"]
-        common = sorted((r["key"] % 2**64, r["n"]) for r in rows if r["lang"] == lang and r["kind"] == 1)
+        common = sorted((r["key"] % 2**64, r["n"]) for r in found[lang] if r["kind"] == 1)
         hashes = np.array([k for k, _ in common], dtype=np.uint64)
         shares = np.array([n for _, n in common] + [total - sum(n for _, n in common)], dtype=np.float64)
         out[lang] = (classes / max(1.0, classes.sum()), hashes, shares / total)

@@ -201,6 +201,20 @@ def test_quality_measures(docs, rows, empty):
     assert quality_rules.judge(empty).count() == 0 and quality_rules.keep_good(docs).columns == docs.columns
 
 
+def test_texts_of_a_rare_language_are_judged_by_their_own(spark):
+    rng = random.Random(41)
+
+    def made(words: list[str], n: int) -> str:
+        return " ".join(rng.choice(words[:12] if rng.random() < 0.6 else words) for _ in range(n)) + "."
+
+    common = ["".join(rng.choice("aeioustrn") for _ in range(rng.randint(2, 7))) for _ in range(300)]
+    other = ["".join(rng.choice("aoukzwybv") for _ in range(rng.randint(2, 7))) for _ in range(300)]
+    rows = [(i, made(common, 800), "en") for i in range(400)] + [(1000 + i, made(other, 300), "xx") for i in range(4)]
+    docs = spark.createDataFrame([*rows, (2000, made(other, 300), None), (2001, made(other, 800), "en")], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.judge(docs).collect()}
+    assert all(got[i] for i, _, _ in rows) and got[2000] and not got[2001]
+
+
 def test_sentencepiece_agrees_with_the_library(spark, empty):
     sentencepiece = pytest.importorskip("sentencepiece")
     processor = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.model_file())
