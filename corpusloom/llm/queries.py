@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import (
+    centroids,
     decontamination,
+    language_id,
     line_dedup,
+    merkle,
     ngram_join,
     pii,
     quality_rules,
     sentencepiece_codec,
     span_dedup,
+    statements,
     substring_dedup,
     toxicity,
     url_filters,
@@ -64,6 +68,18 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.report(_table(spark, folder, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.cluster_vectors(_table(spark, folder, "embeddings")).drop("n_checked")
+
+
+def op12_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.identify(_table(spark, folder, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.manifest(_table(spark, folder, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -77,6 +93,12 @@ QUERIES = {
         op8_suffix_array_dedup,
         op9_quality_rules,
         op10_pii,
+        op11_centroid_clustering,
+        op12_language_id,
+        op13_merkle_manifest,
     )
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op11_centroid_clustering": statements.clusters_sql(),
+    "op13_merkle_manifest": statements.merkle_sql(),
+}
