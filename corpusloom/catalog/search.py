@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.catalog import retrieval
@@ -11,6 +11,7 @@ from corpusloom.catalog.wiki import CLAIMS, PAGES
 from corpusloom.functions import text as T
 from corpusloom.operators import mmr
 from corpusloom.plans import evaluate, integrity, retrieve, wiki_search
+from corpusloom.plugins import token_overlap_score
 from corpusloom.session import pinned
 from corpusloom.sources import tables, wiki_tables
 
@@ -123,15 +124,51 @@ def wiki_search_budgeted(spark: SparkSession, folder: str) -> DataFrame:
 
 def searched(spark: SparkSession, folder: str) -> DataFrame:
     """Budgeted wiki search; the budgets are tight enough to cut results."""
-    return wiki_search.search(
-        wiki_queries(spark, folder),
-        wiki_tables.wiki_pages(spark, folder),
-        evidence(spark, folder),
-        sentence_sources(spark, folder),
-        character_budget=700,
+    return wiki_search.search(*search_inputs(spark, folder), character_budget=700)
+
+
+def search_inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Queries, pages, evidence and candidate sources."""
+    asked, pages = wiki_queries(spark, folder), wiki_tables.wiki_pages(spark, folder)
+    return asked, pages, evidence(spark, folder), sentence_sources(spark, folder)
+
+
+def wiki_search_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """Wiki search at the documented budget; every matched claim with each of its valid sources."""
+    asked, pages, facts, sources = search_inputs(spark, folder)
+    found = pinned(wiki_search.search(asked, pages, facts, sources))
+    cited = wiki_search.claim_sources(found, facts)
+    rows = found.join(cited, ["query_id", "page_id", "claim_id"])
+    return rows.select(
+        "query_id", "page_order", "page_id", "claim_rank", "claim_id", F.round("claim_score", 6).alias("claim_score"),
+        F.col("omitted_claim_count").cast("long").alias("omitted_claim_count"), "truncation_reason",
+        F.col("source_no").cast("long").alias("source_no"), "chunk_id", "doc_id",
+    )
+
+
+def page_reranker(query: Column, passage: Column) -> Column:
+    """The default reranker; it fails on passages with a certain pair of syllables."""
+    return F.when(~F.lower(passage).contains("ouou"), token_overlap_score(query, passage))
+
+
+def wiki_search_reranked(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages in the reranker's order; queries with a failed score keep the fused order and say so."""
+    rows = wiki_search.search(*search_inputs(spark, folder), reranker=page_reranker)
+    return rows.select(
+        "query_id", "page_order", "page_id", "claim_rank", "claim_id", "degraded", "degradation_reason", "truncation_reason"
     )
 
 
+def wiki_search_degraded(spark: SparkSession, folder: str) -> DataFrame:
+    """One status row per query where every third one has no source channel and every third one no source reranker."""
+    asked, pages, facts, sources = search_inputs(spark, folder)
+    turn = F.col("query_id") % 3
+    reason = F.when(turn == 0, wiki_search.SOURCES_UNAVAILABLE).when(turn == 1, "source_reranker_unavailable")
+    failures = asked.select("query_id", reason.alias("reason")).where("reason IS NOT NULL")
+    _, status = wiki_search.search_with_status(asked, pages, facts, sources, reranker=page_reranker, source_failures=failures)
+    return status.select("query_id", "n_pages", "n_claims", "truncation_reason", "degraded", "degradation_reason")
+
+
 def wiki_page_read(spark: SparkSession, folder: str) -> DataFrame:
     """Every page read twice: by position from a cursor, and ranked for its own title."""
     pages = wiki_tables.wiki_pages(spark, folder).where("enabled AND wiki_enabled")
@@ -282,6 +319,9 @@ QUERIES = {
     "claim_scores": claim_scores,
     "mmr_claims": mmr_claims,
     "wiki_search_budgeted": wiki_search_budgeted,
+    "wiki_search_sources": wiki_search_sources,
+    "wiki_search_reranked": wiki_search_reranked,
+    "wiki_search_degraded": wiki_search_degraded,
     "wiki_page_read": wiki_page_read,
     "source_validity": source_validity,
     "claim_trust_display": claim_trust_display,
@@ -433,7 +473,7 @@ page_fused AS (
         FROM page_channels GROUP BY query_id, page_id) f JOIN searchable USING (page_id)),
 page_counts AS (SELECT query_id, count(*) AS n_pages FROM page_fused GROUP BY 1)"""
 
-FOLD = """
+BUDGET_FOLD = """
 walk_rows AS MATERIALIZED (
   SELECT f.query_id, f.page_order, f.page_id, p.pick, p.claim_id, length(s.text) AS cost, s.relevance, c.n_pages,
          CASE WHEN c.n_pages = 1 THEN 12 ELSE 4 END AS per_page,
@@ -478,11 +518,36 @@ returned AS (
          count(*) OVER (PARTITION BY r.query_id, r.page_id) AS shown
   FROM budget b JOIN walk_rows r USING (query_id, n) WHERE b.took)"""
 
-SEARCH_PARTS = (
-    *SOURCE_PARTS, *EVIDENCE_PARTS, PROVENANCE, metadata_sql("asked", "searchable"), FUSED_PAGES,
-    scored_sql("page_fused"),
-    mmr_sql("(SELECT CASE WHEN c.n_pages = 1 THEN 12 ELSE 4 END FROM page_counts c WHERE c.query_id = scored.query_id)"),
-    FOLD,
+RERANKED_PAGES = FUSED_PAGES.replace("page_fused AS", "page_first AS").split("page_counts AS")[0] + f"""
+passages AS (
+  SELECT p.page_id, title || chr(10) || array_to_string(aliases, ' ') || chr(10) || coalesce(summary, '') || chr(10) || coalesce(c.text, '') AS passage
+  FROM searchable p LEFT JOIN (SELECT page_id, arg_min(text, struct_pack(a := position, b := claim_id)) AS text
+                               FROM evidence GROUP BY 1) c USING (page_id)),
+page_scores AS (
+  SELECT f.*, contains(lower(passage), 'ouou') AS broken, list_distinct({S.TERMS.format('query')}) AS qt,
+         list_distinct({S.TERMS.format('passage')}) AS pt
+  FROM page_first f JOIN asked USING (query_id) JOIN passages USING (page_id)),
+page_marked AS (
+  SELECT *, bool_or(broken) OVER (PARTITION BY query_id) AND count(*) OVER (PARTITION BY query_id) > 1 AS failed,
+         CASE WHEN NOT broken THEN round(len(list_intersect(qt, pt)) / len(qt), 6) END AS judged FROM page_scores),
+page_fused AS (
+  SELECT query_id, page_id, score, failed, row_number() OVER (PARTITION BY query_id
+           ORDER BY CASE WHEN NOT failed THEN judged END DESC NULLS LAST, page_order) AS page_order FROM page_marked),
+page_counts AS (SELECT query_id, count(*) AS n_pages FROM page_fused GROUP BY 1)"""
+
+
+def search_parts(budget: int, pages: str = FUSED_PAGES, sources: tuple[str, ...] = SOURCE_PARTS) -> tuple[str, ...]:
+    """Common table expressions of a wiki search at a character budget."""
+    picks = "(SELECT CASE WHEN c.n_pages = 1 THEN 12 ELSE 4 END FROM page_counts c WHERE c.query_id = scored.query_id)"
+    return (
+        *sources, *EVIDENCE_PARTS, PROVENANCE, metadata_sql("asked", "searchable"), pages, scored_sql("page_fused"),
+        mmr_sql(picks), BUDGET_FOLD.replace("CAST(700 AS BIGINT)", f"CAST({budget} AS BIGINT)"),
+    )
+
+
+SEARCH_PARTS = search_parts(700)
+WITHOUT_SOURCES = (
+    *SOURCE_PARTS[:-1], SOURCE_PARTS[-1].replace("WHERE rank <= 40)", "WHERE rank <= 40 AND query_id % 3 <> 0)")
 )
 
 EXPECTED = """
@@ -560,6 +625,40 @@ FROM returned r JOIN page_fused f USING (query_id, page_id) JOIN searchable p US
      LEFT JOIN metadata m USING (query_id, page_id) LEFT JOIN provenance v USING (query_id, page_id)""",
         recursive=True,
     ),
+    "wiki_search_sources": S.sql(
+        *search_parts(12_000),
+        """cited AS (
+  SELECT *, row_number() OVER (PARTITION BY page_id, claim_id ORDER BY doc_id, chunk_id) AS source_no
+  FROM (SELECT DISTINCT e.page_id, e.claim_id, s.chunk_id, s.doc_id FROM evidence e JOIN claim_sources s USING (claim_id, chunk_id)))""",
+        select="""
+SELECT r.query_id, r.page_order, r.page_id, r.claim_rank, r.claim_id, round(r.relevance, 6) AS claim_score,
+       (SELECT count(*) FROM scored s WHERE s.query_id = r.query_id AND s.page_id = r.page_id) - r.shown AS omitted_claim_count,
+       t.truncation_reason, c.source_no, c.chunk_id, c.doc_id
+FROM returned r JOIN final_state t USING (query_id) JOIN cited c ON c.page_id = r.page_id AND c.claim_id = r.claim_id""",
+        recursive=True,
+    ),
+    "wiki_search_reranked": S.sql(
+        *search_parts(12_000, RERANKED_PAGES),
+        select="""
+SELECT r.query_id, r.page_order, r.page_id, r.claim_rank, r.claim_id, f.failed AS degraded,
+       CASE WHEN f.failed THEN 'reranker_unavailable' END AS degradation_reason, t.truncation_reason
+FROM returned r JOIN page_fused f USING (query_id, page_id) JOIN final_state t USING (query_id)""",
+        recursive=True,
+    ),
+    "wiki_search_degraded": S.sql(
+        *search_parts(12_000, RERANKED_PAGES, WITHOUT_SOURCES),
+        """reasons AS (
+  SELECT query_id, CASE WHEN query_id % 3 = 0 THEN 'source_retrieval_unavailable'
+                        WHEN query_id % 3 = 1 THEN 'source_reranker_unavailable'
+                        WHEN query_id IN (SELECT query_id FROM page_fused WHERE failed) THEN 'reranker_unavailable' END AS reason
+  FROM asked)""",
+        select="""
+SELECT q.query_id, coalesce(r.n_pages, 0) AS n_pages, coalesce(r.n_claims, 0) AS n_claims, t.truncation_reason,
+       q.reason IS NOT NULL AS degraded, q.reason AS degradation_reason
+FROM reasons q LEFT JOIN final_state t USING (query_id)
+     LEFT JOIN (SELECT query_id, count(DISTINCT page_id) AS n_pages, count(*) AS n_claims FROM returned GROUP BY 1) r USING (query_id)""",
+        recursive=True,
+    ),
     "wiki_page_read": S.sql(
         S.BASES, S.DIM, S.CHUNKS, *EVIDENCE_PARTS, READ, scored_sql("asked"), mmr_sql("4"),
         select="""

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import fusion, mmr
 from corpusloom.operators.fuzzy import metadata_top_k
-from corpusloom.operators.ordering import top_k
+from corpusloom.operators.ordering import number_rows, top_k
+from corpusloom.plans import wiki_budget
 from corpusloom.plans.retrieve import query_status
 from corpusloom.session import pinned
 
@@ -20,6 +22,8 @@ PAGE_LIMIT = 5
 CLAIM_LIMIT = 12
 CLAIMS_PER_PAGE = 4
 CHARACTER_BUDGET = 12_000
+SOURCES_UNAVAILABLE = "source_retrieval_unavailable"
+RERANKER_UNAVAILABLE = "reranker_unavailable"
 
 
 def valid_queries(queries: DataFrame) -> DataFrame:
@@ -113,72 +117,42 @@ def claim_order_input(scored: DataFrame) -> DataFrame:
     )
 
 
-def walk_budget(
-    pages: list[tuple[int, list[tuple[int, int]]]], page_limit: int, claim_limit: int, budget: int
-) -> tuple[list[int], str | None]:
-    """(row numbers of admitted claims, truncation reason) of one query.
+def reranked_pages(
+    ordered: DataFrame, asked: DataFrame, pages: DataFrame, evidence: DataFrame, reranker: Callable[[Column, Column], Column]
+) -> DataFrame:
+    """Pages of each query in the order of a reranker's score of (query, page passage), with `failed`.
 
-    `pages` lists the pages in order, each with its claims (row number, length) in pick order.
-    """
-    per_page = claim_limit if len(pages) == 1 else CLAIMS_PER_PAGE
-    claims_left, characters_left, pages_found = claim_limit, budget, 0
-    admitted: list[int] = []
-    reason: str | None = None
-    for _, claims in pages:
-        if pages_found >= page_limit or claims_left <= 0:
-            reason = reason or "claim_limit"
-            break
-        taken = 0
-        for row, cost in claims:
-            if taken >= per_page or claims_left <= 0:
-                break
-            if cost > characters_left and (taken or pages_found):
-                reason = "character_budget"
-                break
-            admitted.append(row)
-            taken += 1
-            claims_left -= 1
-            characters_left = max(0, characters_left - cost)
-        if taken:
-            pages_found += 1
-            if characters_left <= 0:
-                reason = "character_budget"
-                break
-    if reason is None and pages_found < len(pages):
-        reason = "page_limit" if pages_found >= page_limit else "claim_limit"
-    return admitted, reason
-
-
-def within_budgets(walk: DataFrame, page_limit: int, claim_limit: int, budget: int) -> DataFrame:
-    """Admitted claims of each query in page and pick order, with the truncation reason.
-
-    A query's rows are at most 80 pages with a dozen picks, one array; many queries are walked per
-    Python call.
+    A null score is a failure: that query keeps its fused order. One page needs no order and cannot fail. Only the
+    first claims of the pages in question are looked up.
     """
-
-    @F.pandas_udf("rows array<int>, reason string")
-    def walked(orders: pd.Series, picks: pd.Series, costs: pd.Series) -> pd.DataFrame:
-        out = []
-        for order, pick, cost in zip(orders, picks, costs, strict=True):
-            pages: dict[int, list[tuple[int, int]]] = {}
-            for row, page in enumerate(order):
-                claims = pages.setdefault(int(page), [])
-                if pick[row] is not None and pick[row] == pick[row]:
-                    claims.append((row, int(cost[row])))
-            out.append(walk_budget(list(pages.items()), page_limit, claim_limit, budget))
-        return pd.DataFrame(out, columns=["rows", "reason"])
-
+    wanted = evidence.join(ordered.select("page_id").distinct(), "page_id", "left_semi")
+    first = wanted.groupBy("page_id").agg(F.min_by("text", F.struct("position", "claim_id")).alias("first_claim"))
+    texts = pages.select("page_id", "aliases", "summary").join(first, "page_id", "left")
+    rows = ordered.join(asked.select("query_id", "query"), "query_id").join(texts, "page_id")
+    passage = T.page_passage(F.col("title"), F.col("aliases"), F.col("summary"), F.col("first_claim"))
+    by_query = Window.partitionBy("query_id")
+    scored = rows.withColumn("judged", reranker(F.col("query"), passage))
+    alone = F.count(F.lit(1)).over(by_query) == 1
+    failed = F.max(F.col("judged").isNull()).over(by_query) & ~alone
+    marked = scored.withColumn("failed", failed)
+    order = by_query.orderBy(F.desc_nulls_last(F.when(~F.col("failed"), F.col("judged"))), "page_order")
+    return marked.withColumn("page_order", F.row_number().over(order)).select(*ordered.columns, "failed")
+
+
+def budget_walk(walk: DataFrame, page_limit: int, claim_limit: int, budget: int) -> DataFrame:
+    """(query_id, rows, told): each query's claims in page and pick order, and what the budgets say of them."""
     row = F.struct("page_order", "pick", "page_id", "claim_id", "relevance", "cost")
     grouped = walk.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    told = wiki_budget.admitted(F.col("rows"), page_limit, claim_limit, CLAIMS_PER_PAGE, budget)
+    return grouped.withColumn("told", told)
 
-    def column(name: str) -> Column:
-        return F.transform("rows", lambda r: r[name])
 
-    told = grouped.withColumn("w", walked(column("page_order"), column("pick"), column("cost")))
-    kept = told.select(
+def admitted_claims(walked: DataFrame) -> DataFrame:
+    """Admitted claims of each query in page and pick order, with the truncation reason."""
+    kept = walked.select(
         "query_id",
-        F.col("w.reason").alias("truncation_reason"),
-        F.explode(F.transform("w.rows", lambda i: F.element_at("rows", i + 1))).alias("r"),
+        F.col("told.reason").alias("truncation_reason"),
+        F.explode(F.transform("told.kept", lambda i: F.element_at("rows", i))).alias("r"),
     )
     in_page = Window.partitionBy("query_id", "page_id").orderBy("pick")
     return kept.select(
@@ -192,7 +166,7 @@ def within_budgets(walk: DataFrame, page_limit: int, claim_limit: int, budget: i
     ).withColumn("claim_rank", F.row_number().over(in_page).cast("long")).drop("pick")
 
 
-def search(
+def search_with_status(
     queries: DataFrame,
     pages: DataFrame,
     evidence: DataFrame,
@@ -201,22 +175,36 @@ def search(
     page_limit: int = PAGE_LIMIT,
     claim_limit: int = CLAIM_LIMIT,
     character_budget: int = CHARACTER_BUDGET,
-) -> DataFrame:
-    """Matched claims per query, flat: page order and score, matched fields, claim rank and score,
-    claims omitted on the page, and the query's truncation reason.
-
-    `sources` (query_id, chunk_id, rank) is the candidate search; leaving it empty is how a failed
-    source channel degrades. Everything data-sized runs as joins; the ordered budget walk sees at
-    most 80 pages with a dozen picked claims each. `evidence` and `sources` are read by several
-    steps and should be written tables.
+    reranker: Callable[[Column, Column], Column] | None = None,
+    source_failures: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Matched claims per query, flat, and one status row per query.
+
+    A claim row has page order and score, matched fields, claim rank and score, claims omitted on the page, the query's
+    truncation reason, and whether and why its result is degraded. The status rows (query_id, n_pages, n_claims,
+    truncation_reason, degraded, degradation_reason) name the queries without a match too.
+
+    `sources` (query_id, chunk_id, rank) is the candidate search. `source_failures` (query_id, reason) names the
+    queries whose search failed (`source_retrieval_unavailable`: their sources do not count) or went without its
+    reranker (`source_reranker_unavailable`). `reranker` scores (query, page passage) and fails a query by a null; the
+    first of these reasons is reported. Everything data-sized runs as joins; the fold over the budgets sees at most
+    80 pages with a dozen picked claims each. `evidence` and `sources` are read by several steps and should be
+    written tables.
     """
     if not 1 <= page_limit <= 20 or not 1 <= claim_limit <= 50:
         raise ValueError("invalid_search_options")
     if character_budget <= 0:
         raise ValueError("invalid_character_budget")
+    if source_failures is not None:
+        lost = source_failures.where(F.col("reason") == SOURCES_UNAVAILABLE)
+        sources = sources.join(lost, "query_id", "left_anti")
     metadata = pinned(metadata_channel(pages, queries))
     provenance = pinned(provenance_channel(sources, evidence))
     ordered = pinned(fused_pages(metadata, provenance, pages))
+    if reranker is None:
+        ordered = ordered.withColumn("failed", F.lit(False))
+    else:
+        ordered = pinned(reranked_pages(ordered, queries, pages, evidence, reranker))
     asked = ordered.join(queries.select("query_id", "query"), "query_id")
     scored = claim_order_input(score_claims(asked, evidence, sources))
     n_pages = ordered.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_pages"))
@@ -226,7 +214,8 @@ def search(
         competing.select("query_id", "claim_id", "page_id", "cost"), ["query_id", "page_id", "claim_id"]
     )
     walk = ordered.select("query_id", "page_id", "page_order").join(picked, ["query_id", "page_id"], "left")
-    kept = within_budgets(walk, page_limit, claim_limit, character_budget)
+    walked = pinned(budget_walk(walk, page_limit, claim_limit, character_budget))
+    kept = admitted_claims(walked)
     totals = competing.groupBy("query_id", "page_id").agg(F.count(F.lit(1)).alias("n_claims"))
     shown = kept.groupBy("query_id", "page_id").agg(F.count(F.lit(1)).alias("n_shown"))
     omitted = shown.join(totals, ["query_id", "page_id"]).select(
@@ -236,14 +225,54 @@ def search(
     by_source = provenance.select("query_id", "page_id", F.array(F.lit("source_chunk")).alias("by_source"))
     none = F.array().cast("array<string>")
     fields = F.concat(F.coalesce("matched_fields", none), F.coalesce("by_source", none))
-    return (
+    reasons = query_reasons(queries, ordered, source_failures)
+    found = (
         kept.join(omitted, ["query_id", "page_id"])
         .join(ordered.select("query_id", "page_id", "slug", "title", "score"), ["query_id", "page_id"])
         .join(by_metadata, ["query_id", "page_id"], "left")
         .join(by_source, ["query_id", "page_id"], "left")
+        .join(reasons, "query_id")
         .withColumn("matched_fields", fields)
         .drop("by_source")
     )
+    counts = kept.groupBy("query_id").agg(F.count_distinct("page_id").alias("n_pages"), F.count(F.lit(1)).alias("n_claims"))
+    zero = F.lit(0).cast("long")
+    status = (
+        reasons.join(counts, "query_id", "left")
+        .join(walked.select("query_id", F.col("told.reason").alias("truncation_reason")), "query_id", "left")
+        .withColumns({"n_pages": F.coalesce("n_pages", zero), "n_claims": F.coalesce("n_claims", zero)})
+    )
+    return found, status
+
+
+def query_reasons(queries: DataFrame, ordered: DataFrame, source_failures: DataFrame | None) -> DataFrame:
+    """(query_id, degraded, degradation_reason) of every query: the source channel's reason, else the page reranker's."""
+    failed = ordered.where("failed").select("query_id", F.lit(RERANKER_UNAVAILABLE).alias("page_reason")).distinct()
+    rows = queries.select("query_id").join(failed, "query_id", "left")
+    reason = F.col("page_reason")
+    if source_failures is not None:
+        rows = rows.join(source_failures.select("query_id", F.col("reason").alias("source_reason")), "query_id", "left")
+        reason = F.coalesce("source_reason", "page_reason")
+    return rows.select("query_id", reason.isNotNull().alias("degraded"), reason.alias("degradation_reason"))
+
+
+def search(queries: DataFrame, pages: DataFrame, evidence: DataFrame, sources: DataFrame, **options) -> DataFrame:
+    """The matched claims of `search_with_status`."""
+    return search_with_status(queries, pages, evidence, sources, **options)[0]
+
+
+def claim_sources(found: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(query_id, page_id, claim_id, source_no, chunk_id, doc_id): the valid sources of matched claims, flat.
+
+    Sources are numbered once per claim, over blocks, so a claim that very many chunks support is neither ranked nor
+    gathered in one task, and queries only join the numbers.
+    """
+    asked = found.select("page_id", "claim_id").distinct()
+    cited = evidence.select("page_id", "claim_id", "chunk_id", "doc_id").distinct().join(asked, ["page_id", "claim_id"], "left_semi")
+    numbered = number_rows(cited, ["page_id", "claim_id"], ["doc_id", "chunk_id"], into="source_no")
+    return found.select("query_id", "page_id", "claim_id").join(numbered, ["page_id", "claim_id"]).select(
+        "query_id", "page_id", "claim_id", "source_no", "chunk_id", "doc_id"
+    )
 
 
 def read_pages(requests: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -218,6 +218,105 @@ def test_without_sources_metadata_still_finds_pages(spark):
     assert got == [("remote", "remote-0")] and rows[0]["matched_fields"][0] == "title"
 
 
+def reranked(spark, texts, sources, reranker, failures=None):
+    pages, evidence = wiki_corpus(spark, texts)
+    asked = wiki_search.valid_queries(spark.createDataFrame([(1, "vpn"), (2, "nothing here")], "query_id long, text string"))
+    found = spark.createDataFrame([(1, c, n) for n, c in enumerate(sources, 1)], "query_id long, chunk_id string, rank int")
+    lost = None if failures is None else spark.createDataFrame(failures, "query_id long, reason string")
+    rows, status = wiki_search.search_with_status(asked, pages, evidence, found, reranker=reranker, source_failures=lost)
+    order = [r["page_id"] for r in rows.orderBy("page_order", "claim_rank").collect()]
+    return order, {r["query_id"]: r for r in status.collect()}
+
+
+def test_page_reranker_orders_pages_and_fails_per_query(spark):
+    texts = {p: [f"vpn {p}"] for p in "abc"}
+    sources = [f"chunk-{p}-0" for p in "abc"]
+    order, status = reranked(spark, texts, sources, lambda query, passage: F.ascii(F.substring(passage, 7, 1)))
+    assert order == ["c", "b", "a"] and not status[1]["degraded"]
+    assert (status[2]["n_claims"], status[2]["truncation_reason"], status[2]["degraded"]) == (0, None, False)
+    broken = lambda query, passage: F.when(~passage.contains("title b"), F.ascii(F.substring(passage, 7, 1)))
+    order, status = reranked(spark, texts, sources, broken)
+    assert order == ["a", "b", "c"] and status[1]["degradation_reason"] == "reranker_unavailable"
+    order, status = reranked(spark, {"b": ["vpn b"]}, ["chunk-b-0"], broken)
+    assert order == ["b"] and not status[1]["degraded"]  # one page needs no order
+
+
+def test_failed_source_channel_degrades_and_comes_first(spark):
+    texts = {p: [f"vpn {p}"] for p in "ab"}
+    broken = lambda query, passage: F.lit(None).cast("double")
+    sources = ["chunk-a-0", "chunk-b-0"]
+    order, status = reranked(spark, texts, sources, broken, [(1, "source_retrieval_unavailable")])
+    assert order == [] and status[1]["degradation_reason"] == "source_retrieval_unavailable"
+    order, status = reranked(spark, texts, sources, broken, [(1, "source_reranker_unavailable"), (2, "source_retrieval_unavailable")])
+    assert order == ["a", "b"] and status[1]["degradation_reason"] == "source_reranker_unavailable"
+    assert status[2]["degradation_reason"] == "source_retrieval_unavailable"
+
+
+def test_pages_without_claims_still_report_a_reason(spark):
+    texts = {"a": ["vpn a"]}
+    pages, evidence = wiki_corpus(spark, texts)
+    asked = wiki_search.valid_queries(spark.createDataFrame([(1, "title a")], "query_id long, text string"))
+    none = spark.createDataFrame([], "query_id long, chunk_id string, rank int")
+    _, status = wiki_search.search_with_status(asked, pages, evidence.where("false"), none)
+    assert [(r["n_claims"], r["truncation_reason"]) for r in status.collect()] == [(0, "claim_limit")]
+
+
+def test_sources_of_a_claim_with_very_many(spark):
+    found = spark.createDataFrame([(1, "p", "c"), (2, "p", "c"), (2, "p", "d")], "query_id long, page_id string, claim_id string")
+    many = [("p", "c", f"chunk-{n:05}", n % 7) for n in range(3000)] + [("p", "d", "chunk-x", 1), ("p", "e", "chunk-y", 1)]
+    evidence = spark.createDataFrame(many + many[:5], "page_id string, claim_id string, chunk_id string, doc_id long")
+    rows = wiki_search.claim_sources(found, evidence).collect()
+    assert len(rows) == 6001 and {r["claim_id"] for r in rows} == {"c", "d"}
+    want = sorted((d, c) for _, k, c, d in many if k == "c")
+    assert sorted((r["source_no"], r["doc_id"], r["chunk_id"]) for r in rows if r["query_id"] == 1) == [(n, *x) for n, x in enumerate(want, 1)]
+
+
+def plain_walk(pages, page_limit, claim_limit, budget):
+    """Claims (page, place) admitted claim by claim, and the reason, written as rules on the rows met so far."""
+    per_page = claim_limit if len(pages) == 1 else 4
+    kept, reason, left = [], None, budget
+    for page, costs in enumerate(pages):
+        matched = len({p for p, _ in kept})
+        if left <= 0 and kept:
+            return kept, "character_budget"
+        if matched == page_limit or len(kept) == claim_limit:
+            return kept, reason or "claim_limit"
+        for place, cost in enumerate(costs):
+            if sum(p == page for p, _ in kept) == per_page or len(kept) == claim_limit:
+                break
+            if kept and cost > left:
+                reason = "character_budget"
+                break
+            kept.append((page, place))
+            left = max(0, left - cost)
+    matched = len({p for p, _ in kept})
+    if left <= 0 and kept:
+        return kept, "character_budget"
+    if reason is None and matched < len(pages):
+        reason = "page_limit" if matched >= page_limit else "claim_limit"
+    return kept, reason
+
+
+@pytest.mark.parametrize("page_limit, claim_limit, budget", [(5, 12, 60), (2, 3, 25), (1, 1, 1000), (20, 50, 1)])
+def test_budget_fold_against_plain_rules(spark, page_limit, claim_limit, budget):
+    import random
+
+    from corpusloom.plans import wiki_budget
+
+    rng = random.Random(page_limit)
+    cases = [[[rng.randint(0, 20) for _ in range(rng.randint(0, 6))] for _ in range(rng.randint(1, 8))] for _ in range(60)]
+    rows = []
+    for n, pages in enumerate(cases):
+        flat = [(p, c, at) for p, costs in enumerate(pages, 1) for at, c in (list(enumerate(costs)) or [(None, None)])]
+        rows.append((n, flat))
+    df = spark.createDataFrame(rows, "n int, rows array<struct<page_order:int,cost:int,at:int>>")
+    got = df.withColumn("t", wiki_budget.admitted(F.col("rows"), page_limit, claim_limit, 4, budget)).collect()
+    for r in got:
+        kept, reason = plain_walk(cases[r["n"]], page_limit, claim_limit, budget)
+        assert [(r["rows"][i - 1]["page_order"] - 1, r["rows"][i - 1]["at"]) for i in r["t"]["kept"]] == kept
+        assert r["t"]["reason"] == reason
+
+
 def test_invalid_wiki_query(spark):
     df = spark.createDataFrame([("%_---",), ("x" * 201,), (" ",), ("vpn",)], "text string")
     got = [r[0] for r in df.select(retrieve.query_status(F.col("text"), F.lit(5))).collect()]
@@ -358,7 +457,10 @@ def test_failed_parse_and_stage_progress(spark):
 
 
 def test_every_query_has_a_statement():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    from corpusloom import catalog
+
+    assert set(catalog.QUERIES) == set(catalog.SQL)
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", ["stream_dedup_ingest", "stream_job_lifecycle", "stream_incremental_ingest"])
