@@ -58,7 +58,7 @@ def bm25_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def semantic_search_topk(spark: SparkSession, folder: str) -> DataFrame:
-    vectors = tables.chunk_vectors(spark, folder).where("kb_id <> 7")
+    vectors = tables.chunk_vectors(spark, folder)
     hits = dense.semantic_search(vectors, tables.query_vectors(spark, folder), retrieve.PUBLIC_POOL)
     return hits.select("query_id", "chunk_id", "score", F.col("position").cast("long").alias("position"))
 
@@ -236,8 +236,7 @@ SELECT query_id, chunk_id, score, position FROM (
          round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score,
          row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(
            CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) DESC, v.vec_id) AS position
-  FROM embeddings q JOIN benchmark b ON b.item_id = q.vec_id, embeddings v
-  WHERE v.label <> 7)
+  FROM embeddings q JOIN benchmark b ON b.item_id = q.vec_id, embeddings v)
 WHERE position <= 20""",
     "hybrid_rrf_topk": S.sql(
         *BASE_PARTS, S.KEYWORD, S.DENSE, S.HYBRID,

@@ -10,7 +10,7 @@ from corpusloom.catalog import sql as S
 from corpusloom.catalog.wiki import CLAIMS, PAGES
 from corpusloom.functions import text as T
 from corpusloom.operators import mmr
-from corpusloom.plans import evaluate, integrity, retrieve, wiki_search
+from corpusloom.plans import evaluate, integrity, page_model, retrieve, wiki_search
 from corpusloom.plugins import token_overlap_score
 from corpusloom.session import pinned
 from corpusloom.sources import tables, wiki_tables
@@ -204,6 +204,22 @@ def claim_trust_display(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("claim_id", "trust_state", "displayed", "display_reason", "n_sources", "n_valid")
 
 
+def wiki_page_model(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's nested model, its entries written out: claim, trust, sources with their validity."""
+    rows = page_model.page_model(
+        wiki_tables.wiki_pages(spark, folder), wiki_tables.claims(spark, folder), checked_sources(spark, folder), 20, 4
+    )
+    source = lambda s: F.concat_ws(":", s["doc_id"], s["chunk_ordinal"], s["chunk_id"], s["valid"].cast("string"))
+    entry = lambda c: F.concat_ws(
+        "|", c["claim_id"], c["position"], c["trust_state"], F.coalesce(c["reason"], F.lit("-")), c["n_sources"],
+        c["source_part"], T.short_digest(c["text"]), F.array_join(F.transform(c["sources"], source), ","),
+    )
+    return rows.select(
+        "page_id", "slug", "part_no", F.size("claims").cast("long").alias("n_entries"),
+        F.array_join(F.transform("claims", entry), ";").alias("model"),
+    )
+
+
 def claims_admissible(spark: SparkSession, folder: str) -> DataFrame:
     rows = integrity.admissible_claims(wiki_tables.claims(spark, folder), checked_sources(spark, folder))
     return rows.select("claim_id", "page_id", F.col("position").cast("long").alias("position"))
@@ -325,6 +341,7 @@ QUERIES = {
     "wiki_page_read": wiki_page_read,
     "source_validity": source_validity,
     "claim_trust_display": claim_trust_display,
+    "wiki_page_model": wiki_page_model,
     "claims_admissible": claims_admissible,
     "claims_invalidated": claims_invalidated,
     "constraint_report": constraint_report,
@@ -680,6 +697,28 @@ shown AS (
 SELECT claim_id, trust_state, CASE WHEN ok THEN 'verified' ELSE 'needs_review' END AS displayed,
        CASE WHEN NOT coalesce(ok, false) THEN 'source_not_current' END AS display_reason, n_sources, n_valid
 FROM shown""",
+    ),
+    "wiki_page_model": S.sql(
+        *CLAIM_PARTS, PAGES,
+        """numbered_sources AS (
+  SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY doc_id, version_id, chunk_ordinal, chunk_id) AS no FROM checked),
+source_parts AS (
+  SELECT claim_id, (no - 1) // 4 AS source_part,
+         string_agg(doc_id || ':' || chunk_ordinal || ':' || chunk_id || ':' || valid, ',' ORDER BY no) AS sources
+  FROM numbered_sources GROUP BY 1, 2),
+rolled AS (SELECT claim_id, count(*) AS n_sources, bool_and(valid) AS ok FROM checked GROUP BY 1),
+entries AS (
+  SELECT c.page_id, row_number() OVER (PARTITION BY c.page_id ORDER BY c.position, c.claim_id, p.source_part) AS no,
+         c.claim_id || '|' || c.position || '|' || CASE WHEN coalesce(ok, false) AND c.trust_state = 'verified' THEN 'verified|-'
+           ELSE 'needs_review|source_not_current' END || '|' || coalesce(n_sources, 0) || '|' || coalesce(p.source_part, 0)
+           || '|' || substr(sha256(c.text), 1, 16) || '|' || coalesce(p.sources, '') AS entry
+  FROM claims c SEMI JOIN wiki_pages w ON w.page_id = c.page_id LEFT JOIN rolled USING (claim_id) LEFT JOIN source_parts p USING (claim_id)),
+parts AS (
+  SELECT page_id, (no - 1) // 20 AS part_no, count(*) AS n_entries, string_agg(entry, ';' ORDER BY no) AS model
+  FROM entries GROUP BY 1, 2)""",
+        select="""
+SELECT page_id, slug, coalesce(part_no, 0) AS part_no, coalesce(n_entries, 0) AS n_entries, coalesce(model, '') AS model
+FROM wiki_pages LEFT JOIN parts USING (page_id)""",
     ),
     "claims_admissible": S.sql(
         *CLAIM_PARTS,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.catalog import sql as S
@@ -135,16 +135,26 @@ def scope_subset(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def model_replies(spark: SparkSession, folder: str) -> DataFrame:
-    """Generated replies about every document, well formed or broken in one of several ways."""
+    """Generated replies about every document, well formed or broken in one of several ways.
+
+    A good reply has a claim for every line of the document that is not blank and up to six topics.
+    """
     doc = F.col("doc_id")
     count = (doc % 5 + 1).cast("long")
-    text = F.concat(F.lit(" "), T.first_sentence(F.regexp_extract("text", r"^[^\n]*", 0)), F.lit(" "))
+    lines = F.filter(F.split("text", "\n"), lambda line: T.strip(line) != "")
+    padded = lambda line: F.concat(F.lit(" "), T.first_sentence(line), F.lit(" "))
+    sources = F.array(F.lit(1), count, F.lit(1))
     kind = doc % 9
     good = F.to_json(
         F.struct(
-            F.array(F.struct(text.alias("text"), F.array(F.lit(1), count, F.lit(1)).alias("source_indices"))).alias("summary_claims"),
-            F.array(
-                F.struct(F.col("source").alias("name"), F.array("lang", F.lit(" "), "lang").alias("aliases"), F.array(count).alias("source_indices"))
+            F.transform(lines, lambda line: F.struct(padded(line).alias("text"), sources.alias("source_indices"))).alias("summary_claims"),
+            F.transform(
+                F.slice(F.sequence(F.lit(1), F.lit(6)), 1, (doc % 7).cast("int")),
+                lambda i: F.struct(
+                    F.concat_ws("-", "source", i).alias("name"),
+                    F.array("lang", F.lit(" "), "lang").alias("aliases"),
+                    F.array(count).alias("source_indices"),
+                ),
             ).alias("topics"),
         )
     )
@@ -164,19 +174,31 @@ def model_replies(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def model_reply_validation(spark: SparkSession, folder: str) -> DataFrame:
+    """Every claim and topic of each valid reply; a faulty reply has one row with its code."""
     read = model_replies(spark, folder).withColumn("parsed", replies.parsed(F.col("reply")))
     coded = read.withColumn("code", replies.reply_error(F.col("parsed"), F.col("count")))
-    good = F.col("code").isNull()
-    claims, topics = replies.reply_claims(F.col("parsed")), replies.reply_topics(F.col("parsed"))
-    claim, topic = F.get(claims, 0), F.get(topics, 0)
-    return coded.select(
-        "doc_id",
-        "code",
-        F.when(good, claim["text"]).alias("claim_text"),
-        F.when(good, F.array_join(F.transform(claim["source_indices"], lambda i: i.cast("string")), ",")).alias("claim_sources"),
-        F.when(good, topic["name"]).alias("topic_name"),
-        F.when(good, F.array_join(topic["aliases"], ",")).alias("topic_aliases"),
+    numbers = lambda indices: F.array_join(F.transform(indices, lambda i: i.cast("string")), ",")
+
+    def part(kind: str, no: Column, text: Column, aliases: Column, sources: Column) -> Column:
+        return F.struct(
+            F.lit(kind).alias("part"), (no + 1).cast("long").alias("no"), text.alias("text"),
+            aliases.alias("aliases"), numbers(sources).alias("sources"),
+        )
+
+    none = F.lit(None).cast("string")
+    claims = F.transform(
+        replies.reply_claims(F.col("parsed")), lambda c, no: part("claim", no, c["text"], none, c["source_indices"])
+    )
+    topics = F.transform(
+        replies.reply_topics(F.col("parsed")),
+        lambda t, no: part("topic", no, t["name"], F.array_join(t["aliases"], ","), t["source_indices"]),
     )
+    faulty = F.struct(
+        F.lit("code").alias("part"), F.lit(0).cast("long").alias("no"), F.col("code").alias("text"),
+        none.alias("aliases"), none.alias("sources"),
+    )
+    parts = F.when(F.col("code").isNull(), F.concat(claims, topics)).otherwise(F.array(faulty))
+    return coded.select("doc_id", F.inline(parts))
 
 
 QUERIES = {
@@ -267,16 +289,20 @@ SELECT conv_id, turn, (conv_id * 7 + turn) % 4 = 0 OR (conv_id * 7 + turn) % 20
     "model_reply_validation": f"""
 WITH replies AS (
   SELECT doc_id, doc_id % 9 AS kind, doc_id % 5 + 1 AS n, source, lang,
-         regexp_extract(text, '^[^\\n]*') AS line FROM documents),
+         list_filter(string_split(text, chr(10)), lambda l: trim(l) <> '') AS lines FROM documents),
 coded AS (
   SELECT *, CASE kind WHEN 2 THEN 'invalid_json' WHEN 3 THEN 'invalid_shape' WHEN 4 THEN 'invalid_shape'
               WHEN 5 THEN CASE WHEN doc_id % 7 NOT BETWEEN 1 AND n THEN 'invalid_source' END
               WHEN 6 THEN 'invalid_source' WHEN 7 THEN 'invalid_shape' WHEN 8 THEN 'invalid_shape'
-              ELSE CASE WHEN trim(line) = '' THEN 'invalid_shape' END END AS code FROM replies)
-SELECT doc_id, code,
-       CASE WHEN code IS NULL THEN CASE WHEN kind < 2 THEN substr(trim({FIRST_SENTENCE.format('line')}), 1, 2000) ELSE 'x' END END AS claim_text,
-       CASE WHEN code IS NULL THEN CASE WHEN kind = 5 THEN CAST(doc_id % 7 AS VARCHAR) WHEN n = 1 THEN '1' ELSE '1,' || n END END AS claim_sources,
-       CASE WHEN code IS NULL AND kind < 2 THEN source END AS topic_name,
-       CASE WHEN code IS NULL AND kind < 2 THEN lang END AS topic_aliases
-FROM coded""",
+              ELSE CASE WHEN len(lines) = 0 THEN 'invalid_shape' END END AS code FROM replies)
+SELECT doc_id, 'code' AS part, 0::BIGINT AS no, code AS text, NULL::VARCHAR AS aliases, NULL::VARCHAR AS sources
+FROM coded WHERE code IS NOT NULL
+UNION ALL
+SELECT doc_id, 'claim', no, substr(trim({FIRST_SENTENCE.format('line')}), 1, 2000), NULL, CASE WHEN n = 1 THEN '1' ELSE '1,' || n END
+FROM (SELECT *, unnest(lines) AS line, generate_subscripts(lines, 1) AS no FROM coded WHERE code IS NULL AND kind < 2)
+UNION ALL
+SELECT doc_id, 'claim', 1, 'x', NULL, CAST(doc_id % 7 AS VARCHAR) FROM coded WHERE code IS NULL AND kind = 5
+UNION ALL
+SELECT doc_id, 'topic', no, source || '-' || no, lang, CAST(n AS VARCHAR)
+FROM (SELECT *, unnest(range(1, least(5, doc_id % 7) + 1)) AS no FROM coded WHERE code IS NULL AND kind < 2)""",
 }

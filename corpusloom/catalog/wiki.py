@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.catalog import sql as S
 from corpusloom.functions import text as T
-from corpusloom.operators.ordering import top_k
-from corpusloom.plans import wiki_admin, wiki_build
+from corpusloom.plans import wiki_admin, wiki_build, wiki_generate
+from corpusloom.plans.wiki_generate import lead_sentences
 from corpusloom.session import pinned
 from corpusloom.sources import tables, wiki_tables
 
@@ -20,6 +20,46 @@ def merged_claims(spark: SparkSession, folder: str) -> DataFrame:
     return merged.withColumn("claim_no", F.row_number().over(place))
 
 
+def faulty_generator(title: str, excerpts: list[tuple[int, str]]) -> tuple[str, int | None]:
+    """The default generator, which fails on some documents: no JSON in a later batch, or a source that is not there."""
+    number = int(title.rsplit("-", 1)[1])
+    if number % 11 == 3 and excerpts[0][0] > 12:
+        return "the model has no answer", None
+    reply, tokens = lead_sentences(title, excerpts)
+    if number % 11 == 5:
+        return reply.replace('"source_indices": [', '"source_indices": [99999, ', 1), tokens
+    return (f"```json\n{reply}\n```" if number % 2 else reply), tokens
+
+
+def generated(spark: SparkSession, folder: str) -> wiki_generate.Generated:
+    titles = tables.documents_dim(spark, folder).select("doc_id", "title")
+    children = pinned(
+        wiki_tables.active_children(spark, folder)
+        .select("doc_id", "version_id", "child_index", "chunk_id", "kind", "ordinal", "heading_path", "content")
+        .join(titles, "doc_id")
+    )
+    return wiki_generate.generate(children, faulty_generator)
+
+
+def wiki_generate_claims(spark: SparkSession, folder: str) -> DataFrame:
+    """Claims of the versions whose replies are all valid, with the chunks they are bound to."""
+    told = generated(spark, folder)
+    rows = told.claims.join(told.sources.drop("doc_id"), ["version_id", "claim_no"])
+    return rows.select(
+        "doc_id", "version_id", F.col("claim_no").cast("long").alias("claim_no"), T.short_digest(F.col("text")).alias("text_digest"),
+        F.col("source_no").cast("long").alias("source_no"), "chunk_id", F.col("ordinal").cast("long").alias("ordinal"),
+        "content_sha256",
+    )
+
+
+def wiki_generate_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    """Code, tokens and topics of every version that was sent to the generator."""
+    told = generated(spark, folder)
+    topic = F.concat_ws(":", "topic_no", "name", F.array_join("aliases", "/"), F.array_join(F.col("source_indices").cast("array<string>"), "/"))
+    named = told.topics.groupBy("version_id").agg(F.array_join(F.array_sort(F.collect_list(topic)), ",").alias("topics"))
+    return told.outcomes.join(named, "version_id", "left").select("doc_id", "version_id", "n_batches", "code", "measured_tokens", "topics")
+
+
 def claim_merge(spark: SparkSession, folder: str) -> DataFrame:
     return merged_claims(spark, folder).select(
         "doc_id", F.col("claim_no").cast("long").alias("claim_no"), "text",
@@ -40,17 +80,21 @@ def claims_grounded(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def topic_merge(spark: SparkSession, folder: str) -> DataFrame:
-    """Topics drafted per batch (its three most frequent long tokens), merged per document."""
+    """Topics drafted per batch (all its long tokens, the most frequent first), merged per document.
+
+    A batch of twelve children holds a few hundred tokens at most, so its window and the place in it are bounded.
+    """
     tokens = wiki_tables.long_tokens(spark, folder).withColumn(
         "batch", wiki_build.batch_number(F.col("child_index"))
     )
     counted = tokens.groupBy("doc_id", "version_id", "batch", "token").agg(
         F.count(F.lit(1)).alias("n"), F.min("child_index").alias("first_child")
     )
-    drafts = top_k(counted, ["doc_id", "version_id", "batch"], [F.desc("n"), "token"], 3).select(
+    place = Window.partitionBy("doc_id", "version_id", "batch").orderBy(F.desc("n"), "token")
+    drafts = counted.withColumn("rank", F.row_number().over(place)).select(
         "doc_id",
         "version_id",
-        (F.col("batch") * 10 + F.col("rank")).alias("position"),
+        (F.col("batch") * 1000 + F.col("rank")).alias("position"),
         F.col("token").alias("name"),
         F.array(
             F.substring("token", 1, 5), F.col("token"), F.concat(F.substring("token", 1, 3), F.col("batch").cast("string"))
@@ -374,6 +418,8 @@ def list_pages_keyset(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "claims_grounded": claims_grounded,
     "claim_merge": claim_merge,
+    "wiki_generate_claims": wiki_generate_claims,
+    "wiki_generate_outcomes": wiki_generate_outcomes,
     "topic_merge": topic_merge,
     "batch_token_totals": batch_token_totals,
     "generation_costs": generation_costs,
@@ -552,7 +598,56 @@ config_updates AS (
 ACTIVE_PARTS = (S.BASES, S.DIM, S.CHUNKS, ACTIVE)
 TOPIC_PARTS = (*ACTIVE_PARTS, TOKENS, CLAIMS, EVIDENCE)
 
+GENERATED = f"""
+said AS (
+  SELECT *, (child_index - 1) // 12 AS batch, substr(trim({FIRST_SENTENCE.format('content')}), 1, 2000) AS told FROM active_children),
+batch_codes AS (
+  SELECT doc_id, version_id, batch,
+         CASE WHEN doc_id % 11 = 3 AND batch > 0 THEN 'invalid_json' WHEN count(*) FILTER (told <> '') = 0 THEN 'invalid_shape'
+              WHEN doc_id % 11 = 5 THEN 'invalid_source' END AS code,
+         CASE WHEN NOT (doc_id % 11 = 3 AND batch > 0) AND NOT bool_or(contains(content, 'ouou'))
+              THEN sum(greatest(1, (length(content) + 3) // 4)) END AS tokens
+  FROM said GROUP BY doc_id, version_id, batch),
+outcomes AS (
+  SELECT doc_id, version_id, count(*) AS n_batches, arg_min(code, batch) FILTER (code IS NOT NULL) AS code,
+         CAST(CASE WHEN count(*) = count(tokens) THEN sum(tokens) END AS BIGINT) AS measured_tokens
+  FROM batch_codes GROUP BY 1, 2),
+told_claims AS (
+  SELECT doc_id, version_id, {KEY.format('told')} AS merge_key, arg_min(told, child_index) AS text, min(child_index) AS position,
+         list(child_index ORDER BY child_index) AS source_indices
+  FROM said SEMI JOIN (SELECT version_id FROM outcomes WHERE code IS NULL) USING (version_id) WHERE told <> '' GROUP BY ALL),
+told_words AS (
+  SELECT doc_id, version_id, batch, word, min(child_index) AS first_child,
+         row_number() OVER (PARTITION BY version_id, batch ORDER BY count(*) DESC, word) AS rank
+  FROM (SELECT *, unnest(regexp_extract_all(lower(content), '[a-z0-9]{{6,}}')) AS word FROM said)
+       SEMI JOIN (SELECT version_id FROM outcomes WHERE code IS NULL) USING (version_id)
+  GROUP BY doc_id, version_id, batch, word),
+told_topics AS (
+  SELECT version_id, word, min(batch * 100 + rank) AS position, string_agg(first_child, '/' ORDER BY batch) AS sources
+  FROM told_words WHERE rank <= 5 GROUP BY 1, 2),
+topic_lines AS (
+  SELECT version_id, no || ':' || word || ':' || substr(word, 1, 5) || ':' || sources AS line
+  FROM (SELECT *, row_number() OVER (PARTITION BY version_id ORDER BY position) AS no FROM told_topics) WHERE no <= 5)"""
+
 SQL = {
+    "wiki_generate_claims": S.sql(
+        *ACTIVE_PARTS, GENERATED,
+        """numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY version_id ORDER BY position) AS claim_no FROM told_claims),
+cited AS (
+  SELECT doc_id, version_id, claim_no, text, unnest(source_indices) AS child_index,
+         generate_subscripts(source_indices, 1) - 1 AS source_no FROM numbered)""",
+        select="""
+SELECT x.doc_id, version_id, claim_no, substr(sha256(x.text), 1, 16) AS text_digest, source_no, c.chunk_id, c.ordinal,
+       sha256(c.content) AS content_sha256
+FROM cited x JOIN active_children c USING (version_id, child_index)""",
+    ),
+    "wiki_generate_outcomes": S.sql(
+        *ACTIVE_PARTS, GENERATED,
+        select="""
+SELECT doc_id, version_id, n_batches, code, measured_tokens, string_agg(line, ',' ORDER BY line) AS topics
+FROM outcomes LEFT JOIN topic_lines USING (version_id) GROUP BY ALL""",
+    ),
     "claim_merge": S.sql(
         *ACTIVE_PARTS, MERGED,
         select="SELECT doc_id, claim_no, text, array_to_string(source_indices, ',') AS source_indices FROM merged_claims",
@@ -567,9 +662,8 @@ SQL = {
   SELECT doc_id, version_id, (child_index - 1) // 12 AS batch, token, count(*) AS n, min(child_index) AS first_child
   FROM long_tokens GROUP BY ALL),
 drafted AS (
-  SELECT *, batch * 10 + rank AS position FROM (
-    SELECT *, row_number() OVER (PARTITION BY doc_id, version_id, batch ORDER BY n DESC, token) AS rank FROM counted)
-  WHERE rank <= 3),
+  SELECT *, batch * 1000 + rank AS position FROM (
+    SELECT *, row_number() OVER (PARTITION BY doc_id, version_id, batch ORDER BY n DESC, token) AS rank FROM counted)),
 merged_topics AS (
   SELECT doc_id, token AS name, min(position) AS position, min(token) AS t,
          list(substr(token, 1, 3) || batch ORDER BY position) AS tails,

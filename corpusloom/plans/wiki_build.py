@@ -6,7 +6,7 @@ list a third of the corpus and must not be gathered in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -72,6 +72,12 @@ def merge_claims(drafts: DataFrame) -> DataFrame:
     )
 
 
+def numbered_claims(merged: DataFrame) -> DataFrame:
+    """Merged claims with `claim_no` in the order of their first draft; a version's claims are bounded by its text."""
+    place = Window.partitionBy("doc_id", "version_id").orderBy("position")
+    return merged.withColumn("claim_no", F.row_number().over(place))
+
+
 def merge_topics(partials: DataFrame, keep: int = TOPICS_KEPT) -> DataFrame:
     """Merge topic drafts (doc_id, version_id, position, name, aliases, source_indices) by key.
 

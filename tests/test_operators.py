@@ -258,3 +258,57 @@ def test_semantic_search_equals_sql_form_and_lsh_finds_the_nearest(spark, folder
     near = dense.semantic_search_lsh(vectors, asked, 1, radius=1.0)
     assert all(r["query_id"] == r["chunk_id"] for r in near.collect())
     assert near.count() == asked.count()
+
+
+def test_page_model_keeps_every_source_in_bounded_parts(spark):
+    from corpusloom.plans import page_model
+
+    pages = spark.createDataFrame([("hot", "s", "t"), ("small", "s2", "t2"), ("bare", "s3", "t3")], "page_id string, slug string, title string")
+    facts = [(f"c{n:04}", "hot", f"text {n}", n % 40, "summary_fact", "verified") for n in range(230)]
+    facts += [("d", "small", "one", 0, "summary_fact", "verified"), ("e", "small", "none", 0, "summary_fact", "verified")]
+    claims = spark.createDataFrame(facts, "claim_id string, page_id string, text string, position int, claim_type string, trust_state string")
+    cited = [(f"c{n:04}", n, "v", f"k{n}", 1, True) for n in range(230)] + [("d", n % 9, "v", f"x{n:04}", n, n != 7) for n in range(333)]
+    checked = spark.createDataFrame(cited, "claim_id string, doc_id int, version_id string, chunk_id string, chunk_ordinal int, valid boolean")
+    rows = page_model.page_model(pages, claims, checked, part_claims=20, part_sources=10).collect()
+    assert all(len(r["claims"]) <= 20 and all(len(c["sources"]) <= 10 for c in r["claims"]) for r in rows)
+    by = {}
+    for r in sorted(rows, key=lambda r: r["part_no"]):
+        by.setdefault(r["page_id"], []).extend(r["claims"])
+    assert [c["claim_id"] for c in by["hot"]] == [f[0] for f in sorted(facts[:230], key=lambda f: (f[3], f[0]))]
+    assert {c["trust_state"] for c in by["hot"]} == {"verified"} and by["bare"] == []
+    split = [c for c in by["small"] if c["claim_id"] == "d"]
+    assert [c["source_part"] for c in split] == list(range(34))
+    assert [(s["doc_id"], s["chunk_id"]) for c in split for s in c["sources"]] == sorted((d, k) for c, d, _, k, _, _ in cited if c == "d")
+    assert {(c["trust_state"], c["reason"], c["n_sources"]) for c in split} == {("needs_review", "source_not_current", 333)}
+    assert by["small"][-1]["sources"] == [] and by["small"][-1]["reason"] == "source_not_current"
+
+
+def test_generation_merges_across_batches_and_fails_whole_versions(spark):
+    import json
+
+    from corpusloom.plans import wiki_generate
+
+    rows = [(d, f"v{d}", f"doc-{d}", n, f"chunk-{d}-{n}", "child", n, ["h"], f"text {n}") for d in (1, 2, 3) for n in range(1, 26)]
+    children = spark.createDataFrame(
+        rows, "doc_id long, version_id string, title string, child_index int, chunk_id string, kind string, ordinal int, heading_path array<string>, content string"
+    )
+
+    def generator(title, excerpts):
+        first = excerpts[0][0]
+        if title == "doc-2" and first == 13:
+            return "{", 5
+        claims = [{"text": "Shared  Fact", "source_indices": [first, 25, first]}, {"text": f"own {first}", "source_indices": [first]}]
+        if title == "doc-3" and first == 25:
+            claims[0]["source_indices"] = [26]
+        topics = [{"name": f"t{i}", "aliases": ["t0", f"a{first}"], "source_indices": [first]} for i in range(7)]
+        return "```json\n" + json.dumps({"summary_claims": claims, "topics": topics}) + "\n```", None if title == "doc-3" else first
+
+    told = wiki_generate.generate(children, generator)
+    outcomes = {r["doc_id"]: (r["n_batches"], r["code"], r["measured_tokens"]) for r in told.outcomes.collect()}
+    assert outcomes == {1: (3, None, 39), 2: (3, "invalid_json", 31), 3: (3, "invalid_source", None)}
+    claims = [(r["doc_id"], r["claim_no"], r["text"], r["source_indices"]) for r in told.claims.orderBy("claim_no").collect()]
+    assert claims == [(1, 1, "Shared  Fact", [1, 25, 13]), (1, 2, "own 1", [1]), (1, 3, "own 13", [13]), (1, 4, "own 25", [25])]
+    bound = {(r["claim_no"], r["source_no"]): r["chunk_id"] for r in told.sources.collect()}
+    assert bound == {(1, 0): "chunk-1-1", (1, 1): "chunk-1-25", (1, 2): "chunk-1-13", (2, 0): "chunk-1-1", (3, 0): "chunk-1-13", (4, 0): "chunk-1-25"}
+    topics = [(r["name"], r["aliases"]) for r in told.topics.orderBy("topic_no").collect()]
+    assert topics == [("t0", ["a1", "a13", "a25"])] + [(f"t{i}", ["t0", "a1", "a13", "a25"]) for i in range(1, 5)]
