@@ -10,7 +10,7 @@ from corpusloom.functions import text as T
 from corpusloom.operators import bm25, dense
 from corpusloom.plans import retrieve
 from corpusloom.plugins import token_overlap_score
-from corpusloom.sources import tables
+from corpusloom.sources import search_index, tables
 
 
 def enabled_bases(spark: SparkSession, folder: str) -> DataFrame:
@@ -18,26 +18,26 @@ def enabled_bases(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def keyword_hits(spark: SparkSession, folder: str, k: int) -> DataFrame:
-    return bm25.keyword_search(
-        tables.children(spark, folder), tables.queries(spark, folder), k, enabled_bases(spark, folder)
-    )
+    index = search_index.of(spark, folder)
+    return bm25.index_search(index, tables.queries(spark, folder), k, enabled_bases(spark, folder))
 
 
 def hybrid_hits(spark: SparkSession, folder: str, k: int) -> DataFrame:
     return retrieve.hybrid_hits(
-        tables.children(spark, folder),
+        None,
         tables.document_vectors(spark, folder),
         tables.queries(spark, folder),
         tables.query_vectors(spark, folder),
         k,
         enabled_bases(spark, folder),
+        search_index.of(spark, folder),
     )
 
 
 def hydrated(spark: SparkSession, folder: str, hits: DataFrame) -> DataFrame:
     return retrieve.hydrate(
         hits,
-        tables.chunks(spark, folder),
+        search_index.of(spark, folder).chunks,
         tables.documents_dim(spark, folder),
         tables.knowledge_bases(spark, folder),
     )
@@ -49,12 +49,18 @@ def keyword_search_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bm25_stats(spark: SparkSession, folder: str) -> DataFrame:
-    children = tables.children(spark, folder)
-    per_base = bm25.with_terms(children).groupBy("kb_id").agg(
-        F.count(F.lit(1)).alias("n_chunks"), F.round(F.avg("length"), 6).alias("avg_length")
-    )
-    terms = bm25.term_statistics(children)
-    return terms.join(per_base, "kb_id")
+    index = search_index.of(spark, folder)
+    average = F.round(F.col("total_length") / F.col("n_chunks"), 6)
+    per_base = index.table("sizes").select("kb_id", "n_chunks", average.alias("avg_length"))
+    return index.table("term_stats").drop("peak").join(per_base, "kb_id")
+
+
+def index_postings(spark: SparkSession, folder: str) -> DataFrame:
+    """All postings as they are written, with the frequency of their term."""
+    index = search_index.of(spark, folder)
+    chunks = index.counted.select("chunk_no", "chunk_id")
+    rows = index.table("postings").join(index.table("terms").select("term", "df"), "term").join(chunks, "chunk_no")
+    return rows.select("term", "chunk_id", "kb_id", F.col("tf").cast("long").alias("tf"), F.col("length").cast("long").alias("length"), "df")
 
 
 def semantic_search_topk(spark: SparkSession, folder: str) -> DataFrame:
@@ -116,9 +122,7 @@ def search_tool_status(spark: SparkSession, folder: str) -> DataFrame:
     asked = turn.join(bases, "kb_id").select(
         "query_id", "text", F.array("kb_id").alias("scope"), F.col("enabled").alias("in_scope")
     )
-    hits = bm25.keyword_search(
-        tables.children(spark, folder), asked.where("in_scope"), retrieve.PUBLIC_LIMIT
-    )
+    hits = bm25.index_search(search_index.of(spark, folder), asked.where("in_scope"), retrieve.PUBLIC_LIMIT)
     found = hydrated(spark, folder, hits)
     return retrieve.tool_status(asked.select("query_id", "in_scope"), found)
 
@@ -175,6 +179,7 @@ def public_source_json(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "keyword_search_topk": keyword_search_topk,
     "bm25_stats": bm25_stats,
+    "index_postings": index_postings,
     "semantic_search_topk": semantic_search_topk,
     "hybrid_rrf_topk": hybrid_rrf_topk,
     "search_sources_budgeted": search_sources_budgeted,
@@ -230,6 +235,10 @@ FROM postings JOIN (SELECT kb_id, count(*) AS n_chunks, round(avg(len(terms)), 6
                     FROM index_terms GROUP BY kb_id) USING (kb_id)
 GROUP BY kb_id, term, n_chunks, avg_length""",
     ),
+    "index_postings": S.sql(
+        S.BASES, S.CHUNKS, S.QUERIES, S.KEYWORD,
+        select="SELECT term, chunk_id, kb_id, tf, length, df FROM postings JOIN term_df USING (term)",
+    ),
     "semantic_search_topk": """
 SELECT query_id, chunk_id, score, position FROM (
   SELECT q.vec_id AS query_id, v.vec_id AS chunk_id,

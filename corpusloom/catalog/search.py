@@ -13,7 +13,7 @@ from corpusloom.operators import mmr
 from corpusloom.plans import evaluate, integrity, page_model, retrieve, wiki_search
 from corpusloom.plugins import token_overlap_score
 from corpusloom.session import pinned
-from corpusloom.sources import tables, wiki_tables
+from corpusloom.sources import search_index, tables, wiki_tables
 
 
 def wiki_queries(spark: SparkSession, folder: str) -> DataFrame:
@@ -71,12 +71,13 @@ def sentence_sources(spark: SparkSession, folder: str) -> DataFrame:
     """Candidate sources of the wiki queries, written once: several steps read them."""
     asked = wiki_queries(spark, folder).select("query_id", F.col("query").alias("text"))
     hits = retrieve.hybrid_hits(
-        tables.children(spark, folder),
+        None,
         tables.document_vectors(spark, folder),
         asked,
         wiki_tables.case_vectors(spark, folder),
         retrieve.candidate_pool(wiki_search.SOURCE_LIMIT),
         retrieval.enabled_bases(spark, folder),
+        search_index.of(spark, folder),
     )
     found = retrieve.sources(retrieval.hydrated(spark, folder, hits), deduplicate_parents=False)
     return pinned(retrieve.cited(found, wiki_search.SOURCE_LIMIT).select("query_id", "chunk_id", "doc_id", "rank"))

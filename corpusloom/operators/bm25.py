@@ -6,13 +6,13 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import scan
 from corpusloom.operators.ordering import top_k
-from corpusloom.session import broadcast_if_small
+from corpusloom.session import broadcast_if_small, pinned
 
 K1 = 1.2
 B = 0.75
@@ -120,6 +120,88 @@ def keyword_search(
     return scan.scan_top_k(with_terms(admitted), asked, kernel_of, k)
 
 
+SEED_CHUNKS = 50
+LEFT_OUT = 0.6  # share of the floor that the terms left out may add up to: more would let nearly all chunks stay hopeful
+MARGIN = 10.0**-scan.SCORE_DIGITS
+
+
+def _matches(index, terms: DataFrame, bases: DataFrame | None, scopes: DataFrame | None, average: float) -> DataFrame:
+    """(query_id, chunk_no, part): what the postings of some query terms give to the chunks they name.
+
+    Every term meets its postings salt by salt, so a frequent term's postings are spread over the join.
+    """
+    asked = terms.select("query_id", "term", "idf", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    rows = index.table("postings")
+    if bases is not None:
+        rows = rows.join(broadcast_if_small(bases), "kb_id", "left_semi")
+    met = rows.join(asked, ["term", "salt"])
+    if scopes is not None:
+        met = met.join(scopes, "query_id").where("scope IS NULL OR array_contains(scope, kb_id)")
+    weight = term_weight(F.col("tf"), F.col("length"), F.lit(average))
+    return met.groupBy("query_id", "chunk_no").agg(F.sum(F.col("idf") * weight).alias("part"))
+
+
+def _whole_scores(index, candidates: DataFrame, terms: DataFrame, average: float) -> DataFrame:
+    """(query_id, chunk_no, chunk_id, score) of candidate chunks, from their own term counts."""
+    counted = index.counted.select("chunk_no", "chunk_id", "length", "terms")
+    rows = candidates.select("query_id", "chunk_no").join(counted, "chunk_no")
+    held = rows.select("query_id", "chunk_no", "chunk_id", "length", F.inline("terms"))
+    met = held.join(terms.select("query_id", "term", "idf"), ["query_id", "term"])
+    weight = term_weight(F.col("tf"), F.col("length"), F.lit(average))
+    total = F.round(F.sum(F.col("idf") * weight), scan.SCORE_DIGITS)
+    return met.groupBy("query_id", "chunk_no", "chunk_id").agg(total.alias("score"))
+
+
+def index_search(index, queries: DataFrame, k: int, bases: DataFrame | None = None) -> DataFrame:
+    """BM25 top-k from a written index, with the answer of `keyword_search`; no text is read.
+
+    A query's rarest terms are looked up first, until they name some `SEED_CHUNKS` x k chunks, which are scored whole.
+    Their k-th best score is a floor: chunks that hold only terms whose largest weights together stay below it cannot
+    be among the best, so the postings of the most frequent terms are left out unless a query has little else. Of the
+    chunks that the remaining terms name, those that could still reach the floor are scored whole.
+
+    `queries` is (query_id, text[, scope]); `bases` (kb_id) and scopes limit the chunks, statistics cover the index.
+    """
+    whole = index.table("sizes").agg(F.sum("n_chunks").alias("n"), F.sum("total_length").alias("length")).first()
+    n = whole["n"] or 0
+    average = whole["length"] / n if whole["length"] else 1.0
+    scopes = pinned(queries.select("query_id", "scope")) if "scope" in queries.columns else None
+    idf = inverse_frequency(F.col("df"), F.lit(n))
+    earlier = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
+    terms = pinned(
+        query_terms(queries)
+        .join(index.table("terms"), "term")
+        .withColumns({"idf": idf, "most": idf * F.col("peak")})
+        .withColumn("seed", F.coalesce(F.sum("df").over(earlier), F.lit(0)) < SEED_CHUNKS * k)
+    )
+    seeds = _matches(index, terms.where("seed"), bases, scopes, average)
+    seeded = pinned(_whole_scores(index, seeds, terms, average))
+    floors = (
+        top_k(seeded, ["query_id"], [F.desc("score")], k)
+        .groupBy("query_id")
+        .agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("floor"))
+    )
+    # From the most frequent term on: the largest weights of these and all more frequent ones together.
+    up_to = Window.partitionBy("query_id").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
+    judged = pinned(
+        terms.join(floors, "query_id", "left")
+        .withColumn("floor", F.coalesce("floor", F.lit(0.0)))
+        .withColumn("needed", F.col("seed") | (F.sum("most").over(up_to) + MARGIN >= LEFT_OUT * F.col("floor")))
+    )
+    scored = seeded
+    more = judged.where("needed AND NOT seed")
+    if not more.isEmpty():
+        rest = judged.groupBy("query_id").agg(
+            F.max("floor").alias("floor"),
+            F.coalesce(F.sum(F.when(~F.col("needed"), F.col("most"))), F.lit(0.0)).alias("rest"),
+        )
+        named = _matches(index, more, bases, scopes, average).join(rest, "query_id")
+        hopeful = named.where(F.col("part") + F.col("rest") + MARGIN >= F.col("floor"))
+        fresh = hopeful.join(seeded.select("query_id", "chunk_no"), ["query_id", "chunk_no"], "left_anti")
+        scored = seeded.unionByName(_whole_scores(index, fresh, terms, average))
+    return top_k(scored.drop("chunk_no"), ["query_id"], [F.desc("score"), "chunk_id"], k, into="position")
+
+
 def keyword_search_on_postings(
     posting_rows: DataFrame, queries: DataFrame, k: int, bases: DataFrame | None = None
 ) -> DataFrame:

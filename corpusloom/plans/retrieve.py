@@ -72,20 +72,26 @@ def query_status(
 
 
 def hybrid_hits(
-    chunks: DataFrame,
+    chunks: DataFrame | None,
     vectors: DataFrame,
     queries: DataFrame,
     query_vectors: DataFrame,
     k: int,
     bases: DataFrame | None = None,
+    index=None,
 ) -> DataFrame:
-    """(query_id, chunk_id, score, position): both channels at 30, fused, cut to `k`."""
+    """(query_id, chunk_id, score, position): both channels at 30, fused, cut to `k`.
+
+    The keyword channel reads the written `index` where one is given, else it scans `chunks`.
+    """
     extra = [c for c in ("scope",) if c in queries.columns]
     asked = query_vectors.join(queries.select("query_id", *extra), "query_id")
     channels = fusion.tagged_union(
         [
             dense.semantic_search(vectors, asked, CHANNEL_K, bases),
-            bm25.keyword_search(chunks, queries, CHANNEL_K, bases),
+            bm25.keyword_search(chunks, queries, CHANNEL_K, bases)
+            if index is None
+            else bm25.index_search(index, queries, CHANNEL_K, bases),
         ]
     )
     fused = fusion.reciprocal_rank_fusion(channels.withColumnRenamed("chunk_id", "item_id"))

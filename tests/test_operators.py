@@ -312,3 +312,39 @@ def test_generation_merges_across_batches_and_fails_whole_versions(spark):
     assert bound == {(1, 0): "chunk-1-1", (1, 1): "chunk-1-25", (1, 2): "chunk-1-13", (2, 0): "chunk-1-1", (3, 0): "chunk-1-13", (4, 0): "chunk-1-25"}
     topics = [(r["name"], r["aliases"]) for r in told.topics.orderBy("topic_no").collect()]
     assert topics == [("t0", ["a1", "a13", "a25"])] + [(f"t{i}", ["t0", "a1", "a13", "a25"]) for i in range(1, 5)]
+
+
+@pytest.mark.parametrize("salt_rows", [40, 10**6])
+def test_index_search_equals_the_scan(spark, tmp_path, salt_rows):
+    """A word in every chunk, rare words, chunks without tokens, scopes, bases, ties, queries without a match."""
+    from corpusloom.operators import bm25
+    from corpusloom.sources import search_index
+
+    rng = random.Random(3)
+    rare = [f"rare{n}" for n in range(60)]
+    texts = [" ".join(["the"] * rng.randint(1, 3) + rng.choices(["of", "and", "to"], k=rng.randint(0, 6)) + rng.choices(rare, k=rng.randint(0, 4))) for _ in range(900)]
+    texts += ["", "...", texts[0], texts[1], texts[1]]
+    chunks = spark.createDataFrame([(f"c{n:04}", f"kb{n % 5}", t) for n, t in enumerate(texts)], "chunk_id string, kb_id string, content string")
+    parents = chunks.limit(3).withColumn("chunk_id", F.concat(F.lit("p"), "chunk_id"))
+    marked = chunks.withColumn("child", F.lit(True)).unionByName(parents.withColumn("child", F.lit(False)))
+    index = search_index.build(marked, F.col("child"), str(tmp_path / "index"), salt_rows)
+    assert index.chunks.count() == len(texts) + 3 and index.counted.count() == len(texts)
+    salted = index.table("terms").where("term = 'the'").first()
+    assert salted["df"] == 903 and salted["salts"] == (23 if salt_rows == 40 else 1)
+    asked = [(1, "the rare1 rare2", None), (2, "the of and", None), (3, "rare3", ["kb1", "kb2"]), (4, "nowhere", None), (5, "", None)]
+    asked += [(10 + n, " ".join(["the", "of", *rng.sample(rare, 5)]), rng.choice([None, [], ["kb4"]])) for n in range(12)]
+    queries = spark.createDataFrame(asked, "query_id long, text string, scope array<string>")
+    bases = spark.createDataFrame([(f"kb{n}",) for n in (0, 1, 2, 4)], "kb_id string")
+    for k, limited in ((3, None), (25, bases)):
+        want = bm25.keyword_search(chunks, queries, k, limited).select("query_id", "chunk_id", "score", "position").collect()
+        got = bm25.index_search(index, queries, k, limited).select("query_id", "chunk_id", "score", "position").collect()
+        assert sorted(want) == sorted(got) and len(got) > 20
+
+
+def test_index_of_nothing(spark, tmp_path):
+    from corpusloom.operators import bm25
+    from corpusloom.sources import search_index
+
+    none = spark.createDataFrame([], "chunk_id string, kb_id string, content string")
+    index = search_index.build(none, F.lit(True), str(tmp_path / "index"))
+    assert bm25.index_search(index, spark.createDataFrame([(1, "a")], "query_id long, text string"), 5).count() == 0
