@@ -12,7 +12,8 @@ incidence matrices, which counts all links of a text and passes on a spanning fo
 
 Words are lower-cased runs without white space. A text of fewer than five words is one shingle. Texts without
 words are copies of each other and have no links. Null texts count as empty; a null doc_id sorts last, and a class
-of such documents alone has a null class_id. Rows that repeat a doc_id each get a row. Extra columns are not read.
+of such documents alone has a null class_id. Rows that repeat a doc_id each get a
+row; one doc_id on different texts makes different documents. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.batches import Hasher, mixed, runs_of, slices, texts_of
 from corpusloom.llm.components import components
-from corpusloom.llm.tables import document_id, given_id, stored
+from corpusloom.llm.tables import numbered_documents, stored
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -161,12 +162,12 @@ def _verify(table: pa.Table) -> pa.Table:
 
 
 def similar_texts(docs: DataFrame) -> DataFrame:
-    """did, class_id, n_links and n_copies of every document.
+    """did, class_id, n_links and n_copies of every document of `numbered_documents`.
 
-    class_id is the least doc_id of the connected group; n_links counts the different texts at a similarity of
+    class_id is the least number of the connected group; n_links counts the different texts at a similarity of
     SIMILARITY or more; n_copies counts the documents of the same shingles, itself included.
     """
-    texts = docs.select(document_id().alias("did"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select(F.col("__did").alias("did"), F.coalesce("text", F.lit("")).alias("text"))
     schema = "did long, d1 long, d2 long, n int, labels binary"
     signed = stored(texts.mapInArrow(_signatures, schema))
     groups = signed.groupBy("d1", "d2", "n").agg(
@@ -207,16 +208,21 @@ def similar_texts(docs: DataFrame) -> DataFrame:
 
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, n_links and n_copies of every document."""
-    doc_id = given_id().alias("doc_id")
-    return similar_texts(docs).select(doc_id, given_id("class_id").alias("class_id"), "n_links", "n_copies")
+    """doc_id, class_id, n_links and n_copies of every document; class_id is the doc_id of the first of its class."""
+    rows, names = numbered_documents(docs)
+    found = similar_texts(rows)
+    if names is None:
+        return found.withColumnRenamed("did", "doc_id")
+    first = names.select(F.col("did").alias("class_id"), F.col("doc_id").alias("first_id"))
+    return found.join(names, "did").join(first, "class_id").select("doc_id", F.col("first_id").alias("class_id"), "n_links", "n_copies")
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, whose doc_id is the least of its connected group.
+    """The documents, all columns, that are the first of their connected group.
 
     Rows that repeat a kept doc_id with the same text are copies too: one stays.
     """
-    kept = similar_texts(docs).where("did = class_id").select(F.col("did").alias("__kept_id")).distinct()
-    joined = docs.join(kept, document_id() == F.col("__kept_id"), "left_semi")
+    rows, _ = numbered_documents(docs)
+    kept = similar_texts(rows).where("did = class_id").select(F.col("did").alias("__kept")).distinct()
+    joined = rows.join(kept, F.col("__did") == F.col("__kept"), "left_semi").drop("__did")
     return joined.dropDuplicates(["doc_id", "text"])

@@ -9,8 +9,8 @@ later places. A document of fewer sentences is one run. Only places and hashes a
 meet the texts, by document.
 
 Null and empty texts have no sentences and are kept. A document whose sentences are all covered keeps an empty
-text. Rows that repeat a doc_id and text are one document; a null doc_id sorts last,
-and documents without one are told apart by their texts. Extra columns are not read.
+text. Rows that repeat a doc_id and text are one document, one doc_id on
+different texts makes different ones, in the order of a hash of the text; a null doc_id sorts last. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.batches import Hasher, Texts, runs_of, slices, texts_of
-from corpusloom.llm.tables import document_id, given_id, stored
+from corpusloom.llm.tables import numbered_documents, stored
 
 SPAN = 3
 PAIR_WORDS = 8
@@ -120,8 +120,8 @@ def later_places(texts: DataFrame) -> DataFrame:
 
 def remove_repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences, n_removed, kept and kept_sha256 of every document."""
-    texts = docs.select(document_id().alias("did"), F.coalesce("text", F.lit("")).alias("text"))
+    rows, _ = numbered_documents(docs)
+    texts = rows.select("doc_id", F.col("__did").alias("did"), F.coalesce("text", F.lit("")).alias("text"))
     joined = texts.join(later_places(texts), "did", "left")
-    doc_id = given_id().alias("doc_id")
     schema = "doc_id long, n_sentences long, n_removed long, kept string, kept_sha256 string"
-    return joined.select(doc_id, "text", "ats").mapInArrow(_cut, schema)
+    return joined.select("doc_id", "text", "ats").mapInArrow(_cut, schema)

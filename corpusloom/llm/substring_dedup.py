@@ -15,7 +15,8 @@ so every repeat is met at an anchor.
 4. Covered ranges are gathered per document and cut out.
 
 Null and empty texts have nothing to remove. Documents shorter than a window are kept whole. Rows that repeat
-a doc_id and its text count as one document and each is returned; a null doc_id sorts last. Other columns are
+a doc_id and its text count as one document and each is returned; one doc_id on different texts makes different
+documents, in the order of a hash of the text; a null doc_id sorts last. Other columns are
 not read. The text is shuffled once (both joins share the exchange); the rest are narrow rows.
 """
 
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.batches import BASE, Hasher, bytes_of, mixed, slices
-from corpusloom.llm.tables import document_id, given_id, stored
+from corpusloom.llm.tables import numbered_documents, stored
 
 WINDOW = 100
 GRAM = 20  # 16 + 4, as gram_hashes builds them
@@ -284,10 +285,10 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (remaining bytes) and kept_sha256 of every document."""
-    texts = docs.select(document_id().alias("did"), F.coalesce("text", F.lit("")).alias("text"))
+    rows, _ = numbered_documents(docs)
+    texts = rows.select("doc_id", F.col("__did").alias("did"), F.coalesce("text", F.lit("")).alias("text"))
     joined = texts.join(repeated_ranges(texts), "did", "left")
-    doc_id = given_id().alias("doc_id")
-    return joined.select(doc_id, "text", "ranges").mapInArrow(
+    return joined.select("doc_id", "text", "ranges").mapInArrow(
         _cut_out,
         "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string",
     )

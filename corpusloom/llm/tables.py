@@ -1,16 +1,15 @@
-"""Intermediate tables in the shared checkpoint folder."""
+"""Intermediate tables in the shared checkpoint folder, and numbers for documents."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.ordering import number_rows
 from corpusloom.session import checkpoint_root
 
-UNNAMED = 1 << 62
-
 
 def stored(df: DataFrame) -> DataFrame:
     """Write `df` as Parquet to the shared checkpoint folder and read it from there: lineage ends here."""
@@ -19,15 +18,21 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def document_id(doc_id: str = "doc_id", text: str = "text") -> Column:
-    """doc_id; where it is null, a number from UNNAMED on that a hash of the text decides.
+def numbered_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """`docs` with a number `__did` for each document, and (did, doc_id) of the numbers.
 
-    Documents without an id so come after all others, are told apart by their texts and never take each
-    other's places. Given ids are below UNNAMED.
+    A document is a doc_id with a text: rows that repeat both are one document, one doc_id on different texts makes
+    different ones. Numbers ascend by doc_id, null ids last, then by a hash of the text. Where every document has an
+    id of its own, which a narrow aggregate tells, the id is the number and the second table is None. Otherwise the
+    distinct pairs are numbered in range blocks and the texts meet their number in one join.
     """
-    return F.coalesce(F.col(doc_id), F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.lit(UNNAMED)) + F.lit(UNNAMED))
-
-
-def given_id(did: str = "did") -> Column:
-    """The doc_id that document_id was made from."""
-    return F.when(F.col(did) < UNNAMED, F.col(did))
+    text = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    pairs = docs.select("doc_id", text.alias("tid"))
+    ids = pairs.groupBy("doc_id").agg(F.min("tid").alias("low"), F.max("tid").alias("high"))
+    if ids.where("doc_id is null or low <> high").isEmpty():
+        return docs.withColumn("__did", F.col("doc_id")), None
+    ordered = pairs.distinct().withColumns({"all": F.lit(""), "unnamed": F.col("doc_id").isNull()})
+    numbers = stored(number_rows(ordered, ["all"], ["unnamed", "doc_id", "tid"], into="did").select("did", "doc_id", "tid"))
+    known = numbers.select(F.col("did").alias("__did"), F.col("doc_id").alias("__id"), F.col("tid").alias("__tid"))
+    same = docs["doc_id"].eqNullSafe(known["__id"]) & (text == known["__tid"])
+    return docs.join(known, same).drop("__id", "__tid"), numbers.select("did", "doc_id")
