@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom import tools
 from corpusloom.catalog import sql as S
 from corpusloom.functions import text as T
 from corpusloom.operators import bm25, dense
@@ -127,6 +128,30 @@ def search_tool_status(spark: SparkSession, folder: str) -> DataFrame:
     return retrieve.tool_status(asked.select("query_id", "in_scope"), found)
 
 
+def tool_search_calls(spark: SparkSession, folder: str) -> DataFrame:
+    """Status rows of the search tool: turns allow two bases, calls ask for none, one or others, some lack a vector."""
+    docs = tables.documents_dim(spark, folder)
+    own = docs.select(F.col("doc_id").alias("query_id"), "kb_id")
+    number = F.col("query_id") % 4
+    requested = (
+        F.when(number == 0, F.array().cast("array<string>"))
+        .when(number == 1, F.array(F.lit("src4")))
+        .when(number == 2, F.array("kb_id"))
+        .otherwise(F.array(F.col("kb_id"), F.lit("src1")))
+    )
+    calls = tables.queries(spark, folder).join(own, "query_id").select(
+        "query_id", "text", F.array(F.col("kb_id"), F.lit("src4")).alias("turn_scope"), requested.alias("requested")
+    )
+    index = search_index.of(spark, folder)
+    corpus = tools.Corpus(
+        index.chunks, tables.children(spark, folder), tables.document_vectors(spark, folder), docs,
+        tables.knowledge_bases(spark, folder), index=index,
+    )
+    vectors = tables.query_vectors(spark, folder).where("query_id % 5 <> 0")
+    _, status = tools.search_knowledge(corpus, calls, vectors, mode="semantic")
+    return status
+
+
 def neighbour_hits(spark: SparkSession, folder: str) -> DataFrame:
     """Reading requests: the last child of every version."""
     children = tables.chunks(spark, folder).where("kind = 'child'")
@@ -186,6 +211,7 @@ QUERIES = {
     "search_candidates": search_candidates,
     "search_reranked": search_reranked,
     "search_tool_status": search_tool_status,
+    "tool_search_calls": tool_search_calls,
     "read_neighbours": read_neighbours,
     "read_document_head": read_document_head,
     "list_documents_title": list_documents_title,
@@ -299,6 +325,32 @@ SELECT q.query_id,
             WHEN f.n IS NULL THEN 'no_relevant_knowledge' ELSE 'ok' END AS status,
        CASE WHEN b.enabled THEN coalesce(f.n, 0) ELSE 0 END AS n_sources
 FROM queries q JOIN knowledge_bases b USING (kb_id) LEFT JOIN found f USING (query_id)""",
+    ),
+    "tool_search_calls": S.sql(
+        S.BASES, S.DIM, S.CHUNKS, S.DENSE, VISIBLE,
+        """calls AS (
+  SELECT b.item_id AS query_id, [d.kb_id, 'src4'] AS turn_scope,
+         CASE b.item_id % 4 WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN ['src4'] WHEN 2 THEN [d.kb_id] ELSE [d.kb_id, 'src1'] END AS requested
+  FROM benchmark b JOIN documents_dim d ON d.doc_id = b.item_id),
+judged AS (
+  SELECT *, list_has_all(turn_scope, requested) AS in_scope, CASE WHEN len(requested) = 0 THEN turn_scope ELSE requested END AS scope,
+         query_id NOT IN (SELECT query_id FROM query_vectors WHERE query_id % 5 <> 0) AS failed
+  FROM calls),
+wanted AS (SELECT DISTINCT query_id, unnest(scope) AS kb_id FROM judged WHERE in_scope AND NOT failed),
+tool_scores AS (
+  SELECT w.query_id, v.chunk_id, round(list_cosine_similarity(q.vector, v.vector), 6) AS score
+  FROM wanted w JOIN query_vectors q ON q.query_id = w.query_id JOIN document_vectors v ON v.kb_id = w.kb_id
+       JOIN knowledge_bases b ON b.kb_id = v.kb_id AND b.enabled),
+pool AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS position FROM tool_scores)
+  WHERE position <= 20)""",
+        hydrate_sql("pool"),
+        "found AS (SELECT query_id, count(*) AS n FROM sourced WHERE rank <= 8 GROUP BY 1)",
+        select="""
+SELECT query_id, CASE WHEN NOT in_scope THEN 'knowledge_scope_unavailable' WHEN failed THEN 'retrieval_unavailable'
+                      WHEN n IS NULL THEN 'no_relevant_knowledge' ELSE 'ok' END AS status,
+       CASE WHEN in_scope AND NOT failed THEN coalesce(n, 0) ELSE 0 END AS n_sources
+FROM judged LEFT JOIN found USING (query_id)""",
     ),
     "read_neighbours": S.sql(
         S.BASES, S.DIM, S.CHUNKS, VISIBLE,

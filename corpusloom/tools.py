@@ -14,6 +14,7 @@ from corpusloom.functions import text as T
 from corpusloom.operators import bm25, dense
 from corpusloom.plans import integrity, retrieve, wiki_search
 from corpusloom.session import pinned
+from corpusloom.sources.search_index import SearchIndex
 
 MODES = ("hybrid", "semantic", "keyword")
 
@@ -25,7 +26,7 @@ class Corpus:
     chunks (chunk_id, version_id, kb_id, kind, ordinal, parent_chunk_id, heading_path, content),
     children (the indexed part of chunks), vectors (chunk_id, kb_id, vector), documents (doc_id,
     kb_id, title, filename, status, active_version_id, deleted), bases (kb_id, enabled), and for the
-    wiki tools pages, claims and claim_sources.
+    wiki tools pages, claims and claim_sources. With a written `index` keyword searches read no text.
     """
 
     chunks: DataFrame
@@ -36,6 +37,7 @@ class Corpus:
     pages: DataFrame | None = None
     claims: DataFrame | None = None
     claim_sources: DataFrame | None = None
+    index: SearchIndex | None = None
 
     def enabled(self) -> DataFrame:
         return self.bases.where("enabled").select("kb_id")
@@ -48,17 +50,41 @@ class Corpus:
         )
 
 
+def scoped(calls: DataFrame) -> DataFrame:
+    """Calls with `in_scope` and, where they carry one, the `scope` they search.
+
+    A call may carry `turn_scope`, the bases its turn allows, and `requested`, those it asks for: it stays inside or is
+    refused as a whole, and an empty request takes the turn's scope over.
+    """
+    if "turn_scope" not in calls.columns:
+        return calls.withColumn("in_scope", F.lit(True))
+    requested = F.coalesce("requested", F.array().cast("array<string>"))
+    scope = F.when(F.size(requested) > 0, requested).otherwise(F.col("turn_scope"))
+    allowed = F.coalesce(retrieve.within_scope(requested, F.col("turn_scope")), F.lit(False))
+    return calls.withColumns({"in_scope": allowed, "scope": scope}).drop("turn_scope", "requested")
+
+
+def with_failures(calls: DataFrame, vectors: DataFrame | None, mode: str) -> DataFrame:
+    """Calls with `failed`: a search by vectors whose query has none did not run, and fails alone."""
+    if mode == "keyword" or vectors is None:
+        return calls.withColumn("failed", F.lit(False))
+    embedded = vectors.where("vector IS NOT NULL").select("query_id", F.lit(True).alias("embedded")).distinct()
+    return calls.join(embedded, "query_id", "left").withColumn("failed", F.col("embedded").isNull()).drop("embedded")
+
+
 def _hits(corpus: Corpus, calls: DataFrame, vectors: DataFrame | None, mode: str, pool: int) -> DataFrame:
     if mode not in MODES:
         raise ValueError("invalid_search_options")
     if mode == "keyword":
+        if corpus.index is not None:
+            return bm25.index_search(corpus.index, calls, pool, corpus.enabled())
         return bm25.keyword_search(corpus.children, calls, pool, corpus.enabled())
     if vectors is None:
         raise ValueError("dense_vector_required")
     if mode == "semantic":
         asked = vectors.join(calls.drop("text"), "query_id")
         return dense.semantic_search(corpus.vectors, asked, pool, corpus.enabled())
-    return retrieve.hybrid_hits(corpus.children, corpus.vectors, calls, vectors, pool, corpus.enabled())
+    return retrieve.hybrid_hits(corpus.children, corpus.vectors, calls, vectors, pool, corpus.enabled(), corpus.index)
 
 
 def search_knowledge(
@@ -70,13 +96,16 @@ def search_knowledge(
     limit: int = retrieve.PUBLIC_LIMIT,
     scorer: Column | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Cited sources and status rows of search calls (query_id, text[, scope]).
+    """Cited sources and status rows of search calls (query_id, text[, scope] or [, turn_scope, requested]).
+
+    Every call has a status row: outside its turn's scope, not run for want of a vector, without a result, or ok.
 
     `scorer` is a rerank score over the columns text and excerpt, null where scoring failed.
     """
     if not 1 <= limit <= retrieve.PUBLIC_LIMIT:
         raise ValueError("invalid_search_options")
-    asked = calls.where(T.strip(F.col("text")) != "")
+    judged = pinned(with_failures(scoped(calls), query_vectors, mode))
+    asked = judged.where("in_scope AND NOT failed").where(T.strip(F.col("text")) != "").drop("in_scope", "failed")
     hits = _hits(corpus, asked, query_vectors, mode, retrieve.PUBLIC_POOL)
     found = retrieve.sources(
         retrieve.hydrate(hits, corpus.chunks, corpus.documents, corpus.bases), deduplicate_parents=True
@@ -84,7 +113,7 @@ def search_knowledge(
     if scorer is not None:
         found = retrieve.rerank(found.join(asked.select("query_id", "text"), "query_id"), scorer, limit)
     cited = pinned(retrieve.cited(found, limit))
-    return cited, retrieve.tool_status(calls.select("query_id", F.lit(True).alias("in_scope")), cited)
+    return cited, retrieve.tool_status(judged.select("query_id", "in_scope", "failed"), cited)
 
 
 def search_candidates(

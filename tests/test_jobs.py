@@ -448,6 +448,31 @@ def test_incremental_ingest_adds_and_skips_failing_versions(spark):
     assert spark.read.parquet(f"{folder}/index").groupBy("version_id").count().count() == 3
 
 
+def test_tool_calls_are_refused_or_fail_one_by_one(spark, folder):
+    index_root = tempfile.mkdtemp()
+    from corpusloom.sources import search_index
+
+    chunks = tables.chunks(spark, folder)
+    index = search_index.build(chunks, (F.col("kind") == "child") & (F.col("version_status") == "ready"), f"{index_root}/index")
+    docs, bases = tables.documents_dim(spark, folder), tables.knowledge_bases(spark, folder)
+    corpus = tools.Corpus(index.chunks, tables.children(spark, folder), tables.document_vectors(spark, folder), docs, bases, index=index)
+    rows = [(1, ["src1", "src2"], []), (2, ["src1"], ["src2"]), (3, ["src1", "src2"], ["src2"]), (4, None, []), (5, ["nowhere"], None)]
+    text = tables.queries(spark, folder).first()["text"]
+    calls = spark.createDataFrame([(i, text, t, r) for i, t, r in rows], "query_id long, text string, turn_scope array<string>, requested array<string>")
+    cited, status = tools.search_knowledge(corpus, calls, mode="keyword")
+    told = {r["query_id"]: r["status"] for r in status.collect()}
+    assert told == {1: "ok", 2: "knowledge_scope_unavailable", 3: "ok", 4: "knowledge_scope_unavailable", 5: "no_relevant_knowledge"}
+    assert {r["kb_id"] for r in cited.where("query_id = 3").collect()} == {"src2"}
+    vector = tables.query_vectors(spark, folder).first()["vector"]
+    vectors = spark.createDataFrame([(1, vector), (3, None)], "query_id long, vector array<float>")
+    _, status = tools.search_knowledge(corpus, calls, vectors, mode="hybrid")
+    told = {r["query_id"]: r["status"] for r in status.collect()}
+    assert told == {
+        1: "ok", 2: "knowledge_scope_unavailable", 3: "retrieval_unavailable",
+        4: "knowledge_scope_unavailable", 5: "retrieval_unavailable",
+    }
+
+
 def test_failed_parse_and_stage_progress(spark):
     outcomes = spark.createDataFrame(
         [("a", None), ("b", "document_parse_failed"), ("c", "index_verification_failed")], "version_id string, error_code string"
