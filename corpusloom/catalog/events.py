@@ -206,6 +206,24 @@ def stream_dedup_ingest(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{run}/events").select("event_key", "event_type", "route")
 
 
+def stream_dedup_history(spark: SparkSession, folder: str) -> DataFrame:
+    """Events sent in two halves and then all again: accepted and acknowledged per micro-batch."""
+    run = streams.run_folder(spark, "history")
+    key = F.concat_ws(":", "event_type", F.col("user_id").cast("string"), F.get_json_object("props", "$.k"))
+    sent = tables.read(spark, folder, "events").select(
+        "event_id", key.alias("event_key"), mapped(EVENT_TYPE).alias("event_type"), F.col("ts").cast("timestamp").alias("ts")
+    )
+    schema = sent.drop("event_id").schema
+    for part in (F.col("event_id") % 2 == 0, F.col("event_id") % 2 == 1, F.lit(True)):
+        sent.where(part).drop("event_id").write.mode("append").parquet(f"{run}/input")
+        streams.consume_events(spark.readStream.schema(schema).parquet(f"{run}/input"), run)
+    accepted = spark.read.parquet(f"{run}/events").groupBy("epoch").agg(F.count(F.lit(1)).alias("accepted"))
+    repeats = spark.read.parquet(f"{run}/acknowledged")
+    return repeats.join(accepted, "epoch", "left").select(
+        F.col("epoch").cast("long").alias("epoch"), F.coalesce("accepted", F.lit(0).cast("long")).alias("accepted"), "acknowledged"
+    )
+
+
 def stream_incremental_ingest(spark: SparkSession, folder: str) -> DataFrame:
     """Build the documents of a file stream and report what became searchable."""
     run = streams.run_folder(spark, "ingest")
@@ -233,25 +251,52 @@ def stream_job_lifecycle(spark: SparkSession, folder: str) -> DataFrame:
     return streams.newest_states(spark, run)
 
 
-def stream_citation_filter(spark: SparkSession, folder: str) -> DataFrame:
-    """Messages arriving in fragments of seven characters, filtered with state per message."""
-    run = streams.run_folder(spark, "citations")
+def message_fragments(spark: SparkSession, folder: str) -> DataFrame:
+    """Messages in fragments of seven characters, sent one second after another."""
     parts = F.regexp_extract_all("text", F.lit("(?s).{1,7}"), F.lit(0))
     fragments = marked_messages(spark, folder).select(
-        F.concat_ws("-", "conv_id", "turn").alias("message_id"), parts.alias("parts")
+        "conv_id", F.concat_ws("-", "conv_id", "turn").alias("message_id"), parts.alias("parts")
     ).select(
+        "conv_id", "message_id", F.posexplode("parts").alias("fragment_no", "fragment"), F.size("parts").alias("n")
+    )
+    return fragments.select(
+        "conv_id",
         "message_id",
-        F.posexplode("parts").alias("fragment_no", "fragment"),
-        F.lit(8).alias("available"),
-        F.size("parts").alias("n"),
+        F.col("fragment_no").cast("long").alias("fragment_no"),
+        "fragment",
+        (F.col("fragment_no") == F.col("n") - 1).alias("last"),
+        F.timestamp_seconds(F.col("fragment_no") + 1_700_000_000).alias("sent_at"),
     )
-    written = fragments.withColumn("last", F.col("fragment_no") == F.col("n") - 1).drop("n")
-    written.write.mode("overwrite").parquet(f"{run}/input")
-    stream = spark.readStream.schema(written.schema).parquet(f"{run}/input")
-    streams.filter_citations(stream, run)
-    messages = streams.whole_messages(spark, run)
+
+
+def keyed_messages(messages: DataFrame) -> DataFrame:
     ids = F.split("message_id", "-")
-    return messages.select(ids[0].cast("long").alias("conv_id"), ids[1].cast("long").alias("turn"), "text")
+    return messages.select(ids[0].cast("long").alias("conv_id"), ids[1].cast("long").alias("turn"), "text", "expired")
+
+
+def stream_citation_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Messages arriving in fragments of seven characters, filtered with state per message."""
+    run = streams.run_folder(spark, "citations")
+    written = message_fragments(spark, folder).drop("conv_id")
+    written.write.mode("overwrite").parquet(f"{run}/input")
+    streams.filter_citations(spark.readStream.schema(written.schema).parquet(f"{run}/input"), run, delay="2 days")
+    return keyed_messages(streams.whole_messages(spark, run)).drop("expired")
+
+
+def stream_citation_lost(spark: SparkSession, folder: str) -> DataFrame:
+    """Fragments over three batches: of a third of the conversations every fragment with an odd number comes a
+    batch late, of another third the second fragment and the last one never come; those expire."""
+    run = streams.run_folder(spark, "lost")
+    sort, odd = F.col("conv_id") % 3, F.col("fragment_no") % 2 == 1
+    sent = message_fragments(spark, folder).where(~((sort == 1) & (F.col("last") | (F.col("fragment_no") == 1))))
+    # The whole third is sent five days later: it moves the watermark past the others.
+    later = F.when(sort == 2, F.col("sent_at") + F.expr("INTERVAL 5 DAYS")).otherwise(F.col("sent_at"))
+    sent = sent.withColumn("sent_at", later)
+    schema = sent.drop("conv_id").schema
+    for part in ((sort < 2) & ~((sort == 0) & odd), (sort == 0) & odd, sort == 2):
+        sent.where(part).drop("conv_id").write.mode("append").parquet(f"{run}/input")
+        streams.filter_citations(spark.readStream.schema(schema).parquet(f"{run}/input"), run, delay="2 days")
+    return keyed_messages(streams.whole_messages(spark, run))
 
 
 QUERIES = {
@@ -270,6 +315,8 @@ QUERIES = {
     "stream_incremental_ingest": stream_incremental_ingest,
     "stream_job_lifecycle": stream_job_lifecycle,
     "stream_citation_filter": stream_citation_filter,
+    "stream_citation_lost": stream_citation_lost,
+    "stream_dedup_history": stream_dedup_history,
 }
 
 STATUS_SQL = (
@@ -436,4 +483,24 @@ FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM docu
         KEYED, select="SELECT user_id AS job_id, arg_max(status, ts) AS status, count(*) AS n_events FROM ev GROUP BY 1"
     ),
     "stream_citation_filter": S.sql(MESSAGES, FILTERED, select="SELECT conv_id, turn, text FROM filtered"),
+    "stream_citation_lost": S.sql(
+        MESSAGES.replace("messages AS", "sent AS"),
+        """messages AS (
+  SELECT conv_id, turn,
+         CASE WHEN conv_id % 3 <> 1 THEN text
+              ELSE substr(text, 1, least(7, length(text) - 1 - (length(text) - 1) % 7))
+                   || substr(text, 15, greatest((length(text) - 1) // 7 * 7 - 14, 0)) END AS text
+  FROM sent)""",
+        FILTERED,
+        select="SELECT conv_id, turn, text, conv_id % 3 = 1 AS expired FROM filtered",
+    ),
+    "stream_dedup_history": """
+WITH keyed AS (
+  SELECT event_id % 2 AS half, event_type || ':' || user_id || ':' || CAST(json_extract(props, '$.k') AS VARCHAR) AS event_key FROM events),
+told AS (SELECT event_key, min(half) AS epoch FROM keyed GROUP BY 1),
+sizes AS (
+  SELECT half AS epoch, count(*) AS n FROM keyed GROUP BY 1 UNION ALL SELECT 2, count(*) FROM keyed)
+SELECT CAST(s.epoch AS BIGINT) AS epoch, (SELECT count(*) FROM told t WHERE t.epoch = s.epoch) AS accepted,
+       CAST(s.n - (SELECT count(*) FROM told t WHERE t.epoch = s.epoch) AS BIGINT) AS acknowledged
+FROM sizes s""",
 }

@@ -175,6 +175,14 @@ def build_versions(
     children = chunks.where(F.col("kind") == "child")
     embedded = embed_children(children, embedder, dimension)
     index = embedded.where("vector_ok")
+    outcomes = version_outcomes(versions, index, child_characters)
+    return {"chunks": chunks, "index": index, "outcomes": outcomes}
+
+
+def version_outcomes(
+    versions: DataFrame, index: DataFrame, child_characters: int = chunking.CHILD_CHARACTERS
+) -> DataFrame:
+    """Per version: children wanted by its sections, children in `index`, status and error code."""
     expected = F.aggregate(
         F.transform("sections", lambda s: F.ceil(F.length(s["text"]) / child_characters)),
         F.lit(0).cast("long"),
@@ -189,10 +197,9 @@ def build_versions(
         F.when(F.col("expected_children") == 0, "document_parse_failed")
         .when(F.col("expected_children") != F.col("indexed_children"), "index_verification_failed")
     )
-    outcomes = counted.withColumn("error_code", code).withColumn(
+    return counted.withColumn("error_code", code).withColumn(
         "status", F.when(F.col("error_code").isNull(), "ready").otherwise("failed")
     )
-    return {"chunks": chunks, "index": index, "outcomes": outcomes}
 
 
 def stage_rows(outcomes: DataFrame) -> DataFrame:

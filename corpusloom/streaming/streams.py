@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
@@ -13,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpusloom.operators import chunking
-from corpusloom.plans.ingest import build_versions
-from corpusloom.session import checkpoint_root
+from corpusloom.plans.ingest import build_versions, version_outcomes
+from corpusloom.session import checkpoint_root, pinned
 from corpusloom.streaming.jobs import route
 
 FLUSH_ABOVE = 16
@@ -46,26 +48,86 @@ def _epochs_before(spark: SparkSession, folder: str, epoch: int, schema: str) ->
     return spark.read.schema(f"{schema}, epoch long").parquet(folder).where(F.col("epoch") < epoch).drop("epoch")
 
 
-def consume_events(events: DataFrame, folder: str, delay: str = "30 days") -> None:
-    """Consume a stream of (event_key, event_type, ts) once per key and route it by type.
+BUCKETS = 4096
+WORDS = 1 << 20
+MARKS = 4
+HISTORY = "event_key string, event_type string, route string, bucket int"
+BLOOM = "bucket int, word int, bits long"
 
-    Repeats inside the watermark are dropped by the stream state; later ones are caught by an anti
-    join with the written keys. Accepted events go to `folder/events`, the number acknowledged
-    without effect to `folder/acknowledged`, both by epoch, so a retried batch rewrites itself.
+
+def key_places(key: Column) -> dict[str, Column]:
+    """Bucket, word and bits of a key in the Bloom table: one word per key, `MARKS` bits in it.
+
+    There are `BUCKETS` * `WORDS` words, so about 2^34 keys stay below four keys a word; beyond that
+    more keys pass the table and are looked up in the history, with the same result.
+    """
+    place = F.xxhash64(key)
+    marks = F.xxhash64(key, F.lit("bits"))
+    bits = F.lit(0).cast("long")
+    for n in range(MARKS):
+        bits = bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(marks, 6 * n).bitwiseAND(F.lit(63)).cast("int")))
+    return {
+        "bucket": F.pmod(place, F.lit(BUCKETS)).cast("int"),
+        "word": F.pmod(F.shiftrightunsigned(place, 16), F.lit(WORDS)).cast("int"),
+        "bits": bits,
+    }
+
+
+def _known_keys(spark: SparkSession, arrived: DataFrame, folder: str, epoch: int) -> DataFrame:
+    """Keys of `arrived` that an earlier micro-batch accepted.
+
+    The Bloom table, some two bytes a key, tells which keys may be known. Only those are joined with the
+    history, and only the buckets they fall in are read: the history is sorted by bucket, so other row
+    groups are skipped by their bounds.
+    """
+    words = _epochs_before(spark, f"{folder}/bloom", epoch, BLOOM).groupBy("bucket", "word").agg(
+        F.bit_or("bits").alias("seen")
+    )
+    perhaps = pinned(
+        arrived.join(words, ["bucket", "word"]).where(F.col("seen").bitwiseAND(F.col("bits")) == F.col("bits")).select(
+            "bucket", "event_key"
+        )
+    )
+    buckets = [row["bucket"] for row in perhaps.select("bucket").distinct().collect()]  # at most BUCKETS numbers
+    history = _epochs_before(spark, f"{folder}/events", epoch, HISTORY).where(F.col("bucket").isin(buckets))
+    return perhaps.join(history.select("bucket", "event_key"), ["bucket", "event_key"], "left_semi")
+
+
+def consume_events(events: DataFrame, folder: str) -> None:
+    """Consume a stream of (event_key, event_type) once per key and route it by type.
+
+    A micro-batch is evaluated once: one row per key with its number of arrivals is written, then told
+    apart by the keys that earlier batches accepted. Of one key's events in a batch the least type counts.
+    An event without a key cannot be told from others and is dropped as acknowledged. Accepted events go
+    to `folder/events`, their Bloom words to `folder/bloom`, the number acknowledged without effect to
+    `folder/acknowledged`, all by epoch, so a retried batch rewrites itself.
     """
-    fresh = events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_key"])
 
     def step(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        known = _epochs_before(spark, f"{folder}/events", epoch, "event_key string, event_type string, route string")
-        routed = batch.select("event_key", "event_type", route(F.col("event_type")).alias("route"))
-        marked = routed.join(known.select("event_key", F.lit(True).alias("known")), "event_key", "left")
-        accepted = marked.where("known IS NULL").drop("known")
-        accepted.write.mode("overwrite").parquet(f"{folder}/events/epoch={epoch}")
-        repeats = marked.agg(F.count_if("known").alias("acknowledged"))
-        repeats.write.mode("overwrite").parquet(f"{folder}/acknowledged/epoch={epoch}")
+        counted = batch.groupBy("event_key").agg(F.min("event_type").alias("event_type"), F.count(F.lit(1)).alias("n"))
+        arrivals = counted.withColumn("route", route(F.col("event_type"))).withColumns(key_places(F.col("event_key")))
+        arrivals.write.mode("overwrite").parquet(f"{folder}/arrived/epoch={epoch}")
+        arrived = spark.read.schema(arrivals.schema).parquet(f"{folder}/arrived/epoch={epoch}")
+        keyed = arrived.where("event_key IS NOT NULL")
+        fresh = keyed.join(_known_keys(spark, keyed, folder, epoch), ["bucket", "event_key"], "left_anti")
+        target = f"{folder}/events/epoch={epoch}"
+        (
+            fresh.select("event_key", "event_type", "route", "bucket")
+            .repartitionByRange("bucket", "event_key")
+            .sortWithinPartitions("bucket", "event_key")
+            .write.mode("overwrite")
+            .parquet(target)
+        )
+        accepted = spark.read.schema(HISTORY).parquet(target)
+        marked = accepted.select(*(c.alias(name) for name, c in key_places(F.col("event_key")).items()))
+        words = marked.groupBy("bucket", "word").agg(F.bit_or("bits").alias("bits"))
+        words.write.mode("overwrite").parquet(f"{folder}/bloom/epoch={epoch}")
+        both = arrived.select(F.col("n").alias("n")).unionByName(accepted.select(F.lit(-1).cast("long").alias("n")))
+        told = both.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("acknowledged"))
+        told.write.mode("overwrite").parquet(f"{folder}/acknowledged/epoch={epoch}")
 
-    run_available(fresh, step, f"{folder}/checkpoint")
+    run_available(events, step, f"{folder}/checkpoint")
 
 
 def ingest_versions(
@@ -78,18 +140,20 @@ def ingest_versions(
     """Build the versions of a stream (version_id, sections, ...) as they arrive.
 
     Only versions that verify are added to the index; earlier index rows are not touched, so new
-    uploads become searchable without a rebuild.
+    uploads become searchable without a rebuild. Children are embedded once, into `folder/built`; the
+    outcomes count what was written there.
     """
 
     def step(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
         built = build_versions(batch, embedder, dimension, child_characters)
+        rows = built["index"].select("version_id", "chunk_id", "kb_id", "content", "vector")
+        rows.write.mode("overwrite").parquet(f"{folder}/built/epoch={epoch}")
+        index = spark.read.schema(rows.schema).parquet(f"{folder}/built/epoch={epoch}")
         target = f"{folder}/outcomes/epoch={epoch}"
-        built["outcomes"].write.mode("overwrite").parquet(target)
-        ready = batch.sparkSession.read.parquet(target).where("status = 'ready'").select("version_id")
-        index = built["index"].join(ready, "version_id", "left_semi")
-        index.select("version_id", "chunk_id", "kb_id", "content", "vector").write.mode("overwrite").parquet(
-            f"{folder}/index/epoch={epoch}"
-        )
+        version_outcomes(batch, index, child_characters).write.mode("overwrite").parquet(target)
+        ready = spark.read.parquet(target).where("status = 'ready'").select("version_id")
+        index.join(ready, "version_id", "left_semi").write.mode("overwrite").parquet(f"{folder}/index/epoch={epoch}")
 
     run_available(versions, step, f"{folder}/checkpoint")
 
@@ -144,34 +208,93 @@ def filter_fragment(pending: str, fragment: str, available: int) -> tuple[str, s
     return "".join(kept), text[at:]
 
 
-def filter_citations(fragments: DataFrame, folder: str) -> None:
-    """Filter the citation marks of message fragments that arrive one after another.
-
-    `fragments` is a stream (message_id, fragment_no, fragment, available, last); state per message
-    is the held-back text. Filtered pieces go to `folder/pieces`.
+MESSAGE_STATE = "next_no long, pending string, waiting string, done boolean"
+PIECES = "message_id string, fragment_no long, piece string, expired boolean"
+
+
+def _emit(state: MessageState, available: int) -> list[tuple[int, str]]:
+    """Filtered pieces of the waiting fragments that follow without a gap; updates the state."""
+    pieces = []
+    while not state.done and state.next_no in state.waiting:
+        fragment, last = state.waiting.pop(state.next_no)
+        piece, state.pending = filter_fragment(state.pending, fragment, available)
+        if last:
+            piece, state.pending, state.done = piece + state.pending, "", True
+        pieces.append((state.next_no, piece))
+        state.next_no += 1
+    if state.done:
+        state.waiting.clear()
+    return pieces
+
+
+def _flush(state: MessageState, available: int) -> list[tuple[int, str]]:
+    """What is left of a message without an end, in order, as if the lost fragments were empty."""
+    pieces, number = [], state.next_no
+    for number in sorted(state.waiting):
+        piece, state.pending = filter_fragment(state.pending, state.waiting[number][0], available)
+        pieces.append((number, piece))
+    if state.pending:
+        pieces.append((number + 1, state.pending))
+    return pieces
+
+
+@dataclass
+class MessageState:
+    """Next fragment wanted, text held back, fragments ahead of a gap, whether the message has ended."""
+
+    next_no: int
+    pending: str
+    waiting: dict[int, tuple[str, bool]]
+    done: bool
+
+    @classmethod
+    def of(cls, state: GroupState) -> MessageState:
+        if not state.exists:
+            return cls(0, "", {}, False)
+        next_no, pending, waiting, done = state.get
+        return cls(next_no, pending, {int(n): tuple(f) for n, f in json.loads(waiting).items()}, done)
+
+    def row(self) -> tuple[int, str, str, bool]:
+        return self.next_no, self.pending, json.dumps(self.waiting), self.done
+
+
+def filter_citations(fragments: DataFrame, folder: str, available: int = 8, delay: str = "1 hour") -> None:
+    """Filter the citation marks of message fragments that arrive in any order over micro-batches.
+
+    `fragments` is a stream (message_id, fragment_no from 0, fragment, last, sent_at). State per message
+    holds the text after an open bracket and the fragments ahead of a gap. A repeated fragment has no
+    effect; a null one is empty. Once the watermark is `delay` past a message's newest fragment, its state
+    is dropped: a message that had not ended is flushed over its gaps, with `expired` true. An ended
+    message keeps its state until then, so that late repeats are not taken for a new message; rows older
+    than the watermark of the batch before are dropped by Spark. Filtered pieces go to `folder/pieces`.
     """
-    schema = "message_id string, fragment_no long, piece string"
+    late = int(pd.Timedelta(delay).total_seconds() * 1000)
 
     def step_message(
         key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        pending = state.get[0] if state.exists else ""
-        rows = pd.concat(list(batches)).sort_values("fragment_no")
-        pieces = []
-        for row in rows.itertuples():
-            piece, pending = filter_fragment(pending, row.fragment, int(row.available))
-            if row.last:
-                piece, pending = piece + pending, ""
-            pieces.append((key[0], row.fragment_no, piece))
-        if bool(rows["last"].any()):
-            if state.exists:
-                state.remove()
+        message = MessageState.of(state)
+        expired = state.hasTimedOut
+        if expired:
+            pieces = [] if message.done else _flush(message, available)
+            state.remove()
         else:
-            state.update((pending,))
-        yield pd.DataFrame(pieces, columns=["message_id", "fragment_no", "piece"])
-
-    filtered = fragments.groupBy("message_id").applyInPandasWithState(
-        step_message, schema, "pending string", "append", GroupStateTimeout.NoTimeout
+            newest = 0
+            for rows in batches:
+                newest = max(newest, int(rows["sent_at"].max().timestamp() * 1000))
+                for row in rows.itertuples():
+                    if row.fragment_no >= message.next_no and not message.done:
+                        message.waiting.setdefault(int(row.fragment_no), (row.fragment or "", bool(row.last)))
+            pieces = _emit(message, available)
+            state.update(message.row())
+            state.setTimeoutTimestamp(max(newest + late, state.getCurrentWatermarkMs() + 1))
+        columns = PIECES.replace(",", "").split()[::2]
+        yield pd.DataFrame([(key[0], number, piece, expired) for number, piece in pieces], columns=columns)
+
+    filtered = (
+        fragments.withWatermark("sent_at", delay)
+        .groupBy("message_id")
+        .applyInPandasWithState(step_message, PIECES, MESSAGE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )
 
     def write(batch: DataFrame, epoch: int) -> None:
@@ -181,10 +304,11 @@ def filter_citations(fragments: DataFrame, folder: str) -> None:
 
 
 def whole_messages(spark: SparkSession, folder: str) -> DataFrame:
-    """(message_id, text): the filtered pieces joined in order; a message is one bounded text."""
-    pieces = spark.read.parquet(f"{folder}/pieces")
+    """(message_id, text, expired): the filtered pieces joined in order; a message is one bounded text."""
+    pieces = spark.read.schema(f"{PIECES}, epoch long").parquet(f"{folder}/pieces")
     return pieces.groupBy("message_id").agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("fragment_no", "piece"))), lambda p: p["piece"]), ""
-        ).alias("text")
+        ).alias("text"),
+        F.bool_or("expired").alias("expired"),
     )

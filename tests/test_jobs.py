@@ -401,11 +401,27 @@ def test_events_are_consumed_once_over_batches_and_runs(spark):
     folder = streams.run_folder(spark, "test")
     schema = df.drop("part").schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
-    streams.consume_events(stream, folder, delay="1 minute")
-    streams.consume_events(spark.readStream.schema(schema).parquet(path), folder, delay="1 minute")
+    streams.consume_events(stream, folder)
+    streams.consume_events(spark.readStream.schema(schema).parquet(path), folder)
     got = spark.read.parquet(f"{folder}/events").collect()
     assert sorted(r["event_key"] for r in got) == [f"k{n}" for n in range(7)]
     assert {r["route"] for r in got if r["event_key"] == "k0"} == {"dead_letter"}
+    assert sorted(r[0] for r in spark.read.parquet(f"{folder}/acknowledged").select("acknowledged").collect()) == [3, 10, 10]
+
+
+def test_event_history_with_a_hot_key_and_a_crowded_bloom_table(spark, monkeypatch):
+    # One word for all keys: every key passes the Bloom table, the history still decides.
+    monkeypatch.setattr(streams, "BUCKETS", 2)
+    monkeypatch.setattr(streams, "WORDS", 1)
+    rows = [("hot" if n % 3 else f"k{n}", "x", n // 30) for n in range(90)] + [(None, "x", 2)]
+    df = spark.createDataFrame(rows, "event_key string, event_type string, part int")
+    folder = streams.run_folder(spark, "history")
+    stream = spark.readStream.schema(df.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(split_input(df, 3))
+    streams.consume_events(stream, folder)
+    keys = [r["event_key"] for r in spark.read.parquet(f"{folder}/events").collect()]
+    assert sorted(keys) == sorted({k for k, _, _ in rows if k})
+    told = {r["epoch"]: r["acknowledged"] for r in spark.read.parquet(f"{folder}/acknowledged").collect()}
+    assert told == {0: 19, 1: 20, 2: 21}
 
 
 @pytest.mark.parametrize("size", [1, 3, 9])
@@ -423,14 +439,34 @@ def test_long_open_bracket_is_flushed():
     assert piece == "a [" + "b" * 20 and pending == ""
 
 
+FRAGMENTS = "message_id string, fragment_no long, fragment string, last boolean, second long, part int"
+
+
+def filtered_messages(spark, rows, parts, delay="1 hour"):
+    df = spark.createDataFrame(rows, FRAGMENTS).withColumn("sent_at", F.timestamp_seconds(F.col("second") + 1_700_000_000)).drop("second")
+    folder = streams.run_folder(spark, "fragments")
+    stream = spark.readStream.schema(df.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(split_input(df, parts))
+    streams.filter_citations(stream, folder, delay=delay)
+    return {r["message_id"]: (r["text"], r["expired"]) for r in streams.whole_messages(spark, folder).collect()}
+
+
 def test_citation_stream_keeps_state_between_batches(spark):
     parts = ["a [", "9] b [", "2] c"]
-    rows = [("m", n, p, 8, n == 2, n) for n, p in enumerate(parts)]
-    df = spark.createDataFrame(rows, "message_id string, fragment_no int, fragment string, available int, last boolean, part int")
-    folder = streams.run_folder(spark, "fragments")
-    stream = spark.readStream.schema(df.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(split_input(df, 3))
-    streams.filter_citations(stream, folder)
-    assert [r["text"] for r in streams.whole_messages(spark, folder).collect()] == ["a  b [2] c"]
+    rows = [("m", n, p, n == 2, n, n) for n, p in enumerate(parts)]
+    assert filtered_messages(spark, rows, 3) == {"m": ("a  b [2] c", False)}
+
+
+def test_late_and_repeated_fragments_are_put_in_order(spark):
+    rows = [("m", 2, "2] c", True, 2, 0), ("m", 0, "a [", False, 0, 1), ("m", 0, "a [", False, 0, 1), ("m", 1, "9] b [", False, 1, 2)]
+    rows += [("m", 1, "9] b [", False, 5, 3), ("n", 0, None, True, 5, 3)]
+    assert filtered_messages(spark, rows, 4) == {"m": ("a  b [2] c", False), "n": ("", False)}
+
+
+def test_messages_without_an_end_are_flushed_and_forgotten(spark):
+    rows = [("lost", 0, "a [9", False, 0, 0), ("lost", 2, "] b [", False, 2, 0), ("open", 0, "x [1", False, 0, 0)]
+    rows += [("next", 0, "z", True, 9000, 1), ("end", 0, "[1]", True, 9001, 2), ("lost", 1, "late", False, 1, 3)]
+    got = filtered_messages(spark, rows, 4)
+    assert got == {"lost": ("a  b [", True), "open": ("x [1", True), "next": ("z", False), "end": ("[1]", False)}
 
 
 def test_incremental_ingest_adds_and_skips_failing_versions(spark):
