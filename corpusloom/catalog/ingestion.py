@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from corpusloom.catalog import sql as S
 from corpusloom.functions import text as T
 from corpusloom.plans import ingest
 from corpusloom.plugins import hash_embedder
-from corpusloom.sources import sinks, tables, uploads
+from corpusloom.session import checkpoint_root
+from corpusloom.sources import sinks, tables, uploads, version_table
 
 MAX_UPLOAD_BYTES = 20_000
 
@@ -373,6 +376,25 @@ def replace_version_chunks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def delete_version_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The written child table after second versions were replaced and failed documents were deleted, twice each."""
+    path = f"{checkpoint_root(spark)}/version-table-{uuid.uuid4().hex}"
+    children = tables.children(spark, folder).select("version_id", "chunk_id", "version_no", "doc_id", "content")
+    version_table.create(children, path)
+    first = version_table.read(spark, path)
+    changed = first.where("version_no = 2").select("version_id")
+    rebuilt = first.where("version_no = 2").withColumn("chunk_id", F.concat(F.lit("new-"), "chunk_id"))
+    gone = digests(spark, folder).where("doc_id % 5 = 0").select("version_id")
+    for _ in range(2):
+        version_table.replace(rebuilt, changed, path)
+    for _ in range(2):
+        version_table.delete(gone, path)
+    version_table.vacuum(spark, path)
+    return version_table.read(spark, path).groupBy("version_id").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min("chunk_id").alias("first_chunk"), F.sum(F.length("content")).alias("n_chars")
+    )
+
+
 def insert_only_new(spark: SparkSession, folder: str) -> DataFrame:
     """Events by key: one row per new key; keys below a bound exist already."""
     events = tables.read(spark, folder, "events").select(
@@ -422,6 +444,7 @@ QUERIES = {
     "cleanup_selection": cleanup_selection,
     "orphan_files": orphan_files,
     "replace_version_chunks": replace_version_chunks,
+    "delete_version_rows": delete_version_rows,
     "insert_only_new": insert_only_new,
     "document_listing": document_listing,
     "embedding_fingerprints": embedding_fingerprints,
@@ -754,6 +777,14 @@ FROM digests JOIN documents_dim d USING (doc_id) WHERE d.deleted""",
         select="""
 SELECT version_id, count(*) AS n_rows,
        min(CASE WHEN version_no = 2 THEN 'new-' || chunk_id ELSE chunk_id END) AS first_chunk
+FROM children WHERE doc_id % 5 <> 0 GROUP BY version_id""",
+    ),
+    "delete_version_rows": S.sql(
+        S.CHUNKS,
+        select="""
+SELECT version_id, count(*) AS n_rows,
+       min(CASE WHEN version_no = 2 THEN 'new-' || chunk_id ELSE chunk_id END) AS first_chunk,
+       CAST(sum(length(content)) AS BIGINT) AS n_chars
 FROM children WHERE doc_id % 5 <> 0 GROUP BY version_id""",
     ),
     "insert_only_new": S.sql(

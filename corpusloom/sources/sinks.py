@@ -1,21 +1,12 @@
-"""Idempotent writers: replace or delete versions, insert only new keys."""
+"""Content of idempotent writes: replaced or deleted versions, only new keys."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 256
-
-
-def with_version_bucket(df: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """Add the partition column of a version-keyed table: a hash bucket of the version id."""
-    return df.withColumn("version_bucket", F.pmod(F.xxhash64("version_id"), F.lit(buckets)).cast("int"))
-
-
 def replaced(old: DataFrame, new: DataFrame, changed: DataFrame) -> DataFrame:
     """Table content after replacing the rows of the `changed` versions by `new` rows."""
     return old.join(changed.select("version_id").distinct(), "version_id", "left_anti").unionByName(new)
@@ -26,45 +17,6 @@ def without_versions(old: DataFrame, gone: DataFrame) -> DataFrame:
     return old.join(gone.select("version_id").distinct(), "version_id", "left_anti")
 
 
-def overwrite_versions(new: DataFrame, changed: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Rewrite only the buckets that hold a changed version of a table at `path`.
-
-    The new bucket contents are written beside the table first, because a partition cannot be read
-    and overwritten in one job. Buckets left without rows are deleted, since an overwrite by partition
-    does not touch them. A repeated run gives the same table.
-    """
-    spark = new.sparkSession
-    touched = with_version_bucket(changed.select("version_id"), buckets).select("version_bucket").distinct()
-    old = spark.read.parquet(path)
-    affected = old.join(touched, "version_bucket", "left_semi")
-    staged = f"{path}.staged-{uuid.uuid4().hex}"
-    content = replaced(affected, with_version_bucket(new, buckets), changed)
-    content.write.parquet(staged)
-    rows = spark.read.schema(old.schema).parquet(staged)
-    emptied = touched.join(rows.select("version_bucket").distinct(), "version_bucket", "left_anti").collect()
-    (
-        rows.repartition("version_bucket")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("version_bucket")
-        .parquet(path)
-    )
-    for bucket in emptied:
-        _delete(spark, f"{path}/version_bucket={bucket['version_bucket']}")
-    _delete(spark, staged)
-
-
-def _delete(spark: SparkSession, folder: str) -> None:
-    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
-def write_versions(df: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Create a version-keyed table at `path`."""
-    rows = with_version_bucket(df, buckets).repartition("version_bucket")
-    rows.write.mode("overwrite").partitionBy("version_bucket").parquet(path)
-
-
 def only_new(incoming: DataFrame, existing: DataFrame, key: Sequence[str]) -> DataFrame:
     """Rows to insert: one per key (the least row), none whose key exists already."""
     rest = [c for c in incoming.columns if c not in key]

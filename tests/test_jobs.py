@@ -14,7 +14,7 @@ from corpusloom.functions import replies
 from corpusloom.operators import chunking
 from corpusloom.plans import evaluate, ingest, integrity, retrieve, wiki_build, wiki_search
 from corpusloom.schemas import MODEL
-from corpusloom.sources import sinks, store, tables, uploads, wiki_tables
+from corpusloom.sources import store, tables, uploads, version_table, wiki_tables
 from corpusloom.streaming import streams
 
 
@@ -97,26 +97,74 @@ def test_chunk_invariants(spark, folder):
     assert chunks.where((F.col("kind") == "child") & (F.length("content") > 200)).count() == 0
 
 
-def test_sinks_replace_only_changed_versions(spark):
-    path = tempfile.mkdtemp(prefix="sink-") + "/t"
+SINK = "version_id string, chunk_id string"
+
+
+def sink_rows(spark, path):
+    return {tuple(r) for r in version_table.read(spark, path).select("version_id", "chunk_id").collect()}
+
+
+def test_sinks_replace_only_changed_versions(spark, tmp_path):
+    path = f"{tmp_path}/t"
     rows = [(f"v{n}", f"c{n}-{i}") for n in range(6) for i in range(3)]
-    sinks.write_versions(spark.createDataFrame(rows, "version_id string, chunk_id string"), path, 4)
+    version_table.create(spark.createDataFrame(rows, SINK), path, 4)
+    before = version_table.commit_at(spark, path).live
     changed = spark.createDataFrame([("v1",), ("v9",)], "version_id string")
-    new = spark.createDataFrame([("v1", "new"), ("v9", "first")], "version_id string, chunk_id string")
+    new = spark.createDataFrame([("v1", "new"), ("v9", "first")], SINK)
     for _ in range(2):
-        sinks.overwrite_versions(new, changed, path, 4)
-        got = {(r["version_id"], r["chunk_id"]) for r in spark.read.parquet(path).collect()}
-        assert got == {r for r in rows if r[0] != "v1"} | {("v1", "new"), ("v9", "first")}
-
-
-def test_sinks_delete_the_last_version_of_a_bucket(spark):
-    path = tempfile.mkdtemp(prefix="sink-") + "/t"
-    schema = "version_id string, chunk_id string"
-    sinks.write_versions(spark.createDataFrame([("v1", "a"), ("v2", "b")], schema), path, 64)
+        version_table.replace(new, changed, path)
+        assert sink_rows(spark, path) == {r for r in rows if r[0] != "v1"} | {("v1", "new"), ("v9", "first")}
+    after = version_table.commit_at(spark, path).live
+    assert any(after.get(b) == g for b, g in before.items()) and after != before
+
+
+def test_sinks_delete_the_last_version_of_a_bucket(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    version_table.create(spark.createDataFrame([("v1", "a"), ("v2", "b")], SINK), path, 64)
+    for left in ({("v2", "b")}, {("v2", "b")}, set()):
+        gone = "v1" if left else "v2"
+        version_table.delete(spark.createDataFrame([(gone,)], "version_id string"), path)
+        assert sink_rows(spark, path) == left
+
+
+def test_sinks_bound_files_of_a_hot_version(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(version_table, "BUCKET_ROWS", 50)
+    monkeypatch.setattr(version_table, "FILE_ROWS", 20)
+    path = f"{tmp_path}/t"
+    version_table.create(spark.createDataFrame([("hot" if n % 3 else f"v{n}", str(n)) for n in range(300)], SINK), path)
+    assert version_table.commit_at(spark, path).buckets == 6
+    files = version_table.read(spark, path).groupBy(F.input_file_name()).count().collect()
+    assert max(r["count"] for r in files) <= 20 and sum(r["count"] for r in files) == 300
+
+
+def test_a_write_broken_before_its_commit_leaves_the_old_state(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/t"
+    version_table.create(spark.createDataFrame([("v1", "a"), ("v2", "b")], SINK), path, 2)
     gone = spark.createDataFrame([("v1",)], "version_id string")
-    for _ in range(2):
-        sinks.overwrite_versions(spark.createDataFrame([], schema), gone, path, 64)
-        assert [tuple(r)[:2] for r in spark.read.parquet(path).select("version_id", "chunk_id").collect()] == [("v2", "b")]
+
+    def broken(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(version_table, "_publish", broken)
+        with pytest.raises(OSError, match="lost"):
+            version_table.replace(spark.createDataFrame([("v1", "new")], SINK), gone, path)
+    assert sink_rows(spark, path) == {("v1", "a"), ("v2", "b")}
+    version_table.delete(gone, path)
+    version_table.vacuum(spark, path)
+    assert sink_rows(spark, path) == {("v2", "b")} and version_table.commits(spark, path) == [1]
+    with pytest.raises(ValueError, match="version_table_not_found"):
+        version_table.read(spark, path, 0)
+
+
+def test_the_second_of_two_writers_fails(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    version_table.create(spark.createDataFrame([("v1", "a")], SINK), path, 2)
+    stale = version_table.commit_at(spark, path)
+    version_table.delete(spark.createDataFrame([("v1",)], "version_id string"), path)
+    with pytest.raises(RuntimeError, match="version_table_changed"):
+        version_table._publish(spark, path, version_table.Commit(stale.number + 1, stale.schema, 2, stale.live))
+    assert sink_rows(spark, path) == set()
 
 
 def test_store_round_trip(spark):
