@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom import tools
 from corpusloom.catalog import sql as S
 from corpusloom.functions import text as T
-from corpusloom.operators import bm25, dense
+from corpusloom.operators import bm25, cells, dense
 from corpusloom.plans import retrieve
 from corpusloom.plugins import token_overlap_score
+from corpusloom.session import checkpoint_root
 from corpusloom.sources import search_index, tables
 
 
@@ -70,6 +73,13 @@ def semantic_search_topk(spark: SparkSession, folder: str) -> DataFrame:
     return hits.select("query_id", "chunk_id", "score", F.col("position").cast("long").alias("position"))
 
 
+def semantic_search_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """The search of `semantic_search_topk` over a written table of cells."""
+    index = cells.build(tables.chunk_vectors(spark, folder), f"{checkpoint_root(spark)}/cells-{uuid.uuid4().hex}")
+    hits = cells.search(index, tables.query_vectors(spark, folder), retrieve.PUBLIC_POOL)
+    return hits.select("query_id", "chunk_id", "score", F.col("position").cast("long").alias("position"))
+
+
 def hybrid_rrf_topk(spark: SparkSession, folder: str) -> DataFrame:
     hits = hybrid_hits(spark, folder, retrieve.PUBLIC_POOL)
     return hits.select("query_id", "chunk_id", "score", F.col("position").cast("long").alias("position"))
@@ -206,6 +216,7 @@ QUERIES = {
     "bm25_stats": bm25_stats,
     "index_postings": index_postings,
     "semantic_search_topk": semantic_search_topk,
+    "semantic_search_cells": semantic_search_cells,
     "hybrid_rrf_topk": hybrid_rrf_topk,
     "search_sources_budgeted": search_sources_budgeted,
     "search_candidates": search_candidates,
@@ -218,6 +229,15 @@ QUERIES = {
     "public_source_json": public_source_json,
 }
 
+SEMANTIC = """
+SELECT query_id, chunk_id, score, position FROM (
+  SELECT q.vec_id AS query_id, v.vec_id AS chunk_id,
+         round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score,
+         row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(
+           CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) DESC, v.vec_id) AS position
+  FROM embeddings q JOIN benchmark b ON b.item_id = q.vec_id, embeddings v)
+WHERE position <= 20"""
+
 VISIBLE = """
 visible AS (
   SELECT d.* FROM documents_dim d JOIN knowledge_bases b ON b.kb_id = d.kb_id AND b.enabled
@@ -265,14 +285,8 @@ GROUP BY kb_id, term, n_chunks, avg_length""",
         S.BASES, S.CHUNKS, S.QUERIES, S.KEYWORD,
         select="SELECT term, chunk_id, kb_id, tf, length, df FROM postings JOIN term_df USING (term)",
     ),
-    "semantic_search_topk": """
-SELECT query_id, chunk_id, score, position FROM (
-  SELECT q.vec_id AS query_id, v.vec_id AS chunk_id,
-         round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score,
-         row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(
-           CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) DESC, v.vec_id) AS position
-  FROM embeddings q JOIN benchmark b ON b.item_id = q.vec_id, embeddings v)
-WHERE position <= 20""",
+    "semantic_search_topk": SEMANTIC,
+    "semantic_search_cells": SEMANTIC,
     "hybrid_rrf_topk": S.sql(
         *BASE_PARTS, S.KEYWORD, S.DENSE, S.HYBRID,
         select="SELECT query_id, chunk_id, score, rank AS position FROM fused WHERE rank <= 20",

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import bm25, chunking, components, dense, fusion, mmr, ordering, scan
+from corpusloom.operators import bm25, cells, chunking, components, dense, fusion, mmr, ordering, scan
 from corpusloom.plans import wiki_admin
 from corpusloom.session import pinned
 
@@ -348,3 +348,50 @@ def test_index_of_nothing(spark, tmp_path):
     none = spark.createDataFrame([], "chunk_id string, kb_id string, content string")
     index = search_index.build(none, F.lit(True), str(tmp_path / "index"))
     assert bm25.index_search(index, spark.createDataFrame([(1, "a")], "query_id long, text string"), 5).count() == 0
+
+
+def grouped_vectors(spark, n, hot):
+    """Vectors around twelve directions, a third of them around one; some without a direction or a vector."""
+    draw = random.Random(3)
+    middles = [[draw.gauss(0, 1) for _ in range(16)] for _ in range(12)]
+    rows = []
+    for i in range(n):
+        middle = middles[0 if i % 3 == 0 and hot else i % 12]
+        rows.append((i, f"b{i % 2}", [x + draw.gauss(0, 0.05) for x in middle]))
+    rows += [(n, "b0", [0.0] * 16), (n + 1, "b1", None), (n + 2, "b0", rows[0][2])]
+    return spark.createDataFrame(rows, "chunk_id long, kb_id string, vector array<double>")
+
+
+def test_cell_search_equals_the_scan(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cells, "PART_ROWS", 40)
+    monkeypatch.setattr(cells, "PART_QUERIES", 3)
+    vectors = grouped_vectors(spark, 600, hot=True)
+    index = cells.build(vectors, f"{tmp_path}/cells", 12)
+    assert index.cells.agg(F.sum("n")).first()[0] == 602
+    queries = vectors.where("chunk_id % 20 = 0 AND vector IS NOT NULL").select(
+        F.col("chunk_id").alias("query_id"), "vector", F.when(F.col("chunk_id") % 40 == 0, F.array(F.lit("b1"))).alias("scope")
+    )
+    given = vectors.where("vector IS NOT NULL")
+
+    def rows(df):
+        return sorted(tuple(r) for r in df.select("query_id", "chunk_id", "score", "position").collect())
+
+    expected = rows(dense.semantic_search(given, queries, 10))
+    assert expected and rows(cells.search(index, queries, 10, probes=2)) == expected
+    found = {}
+    for probes in (2, 4):
+        near = rows(cells.search(index, queries, 10, probes=probes, exact=False))
+        found[probes] = len({r[:2] for r in near} & {r[:2] for r in expected}) / len(expected)
+    print("recall by cells read", found)
+    assert found[4] >= 0.9
+
+
+def test_cell_search_without_rows(spark, tmp_path):
+    vectors = grouped_vectors(spark, 3, hot=False)
+    index = cells.build(vectors.where("false"), f"{tmp_path}/none")
+    queries = vectors.select(F.col("chunk_id").alias("query_id"), "vector")
+    assert cells.search(index, queries, 5).count() == 0
+    only = cells.build(vectors.where("chunk_id = 3"), f"{tmp_path}/zero")
+    assert {r["score"] for r in cells.search(only, queries, 5).collect()} == {0.0}
+    single = cells.build(vectors.where("chunk_id = 1"), f"{tmp_path}/single")
+    assert {r["query_id"]: r["score"] for r in cells.search(single, queries, 5).collect()}[1] == 1.0
