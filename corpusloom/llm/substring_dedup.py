@@ -5,10 +5,12 @@ doc_id, or earlier in the same one. Sorting all suffixes would move many times t
 taken at anchors only: the least-hashed `GRAM`-byte string of each window. Equal windows have equal anchors,
 so every repeat is met at an anchor.
 
-1. Each text is cut into *blocks*: runs of consecutive windows with one anchor (at most `SPAN` windows).
+1. Of equal texts, told by their SHA-256, only the one of least number goes on; the others are repeats from end
+   to end. Each text is cut into *blocks*: runs of consecutive windows with one anchor (at most `SPAN` windows).
    Anchors met once in the corpus are dropped after a map-side aggregate.
 2. The blocks of repeated anchors are range-partitioned by sampled splitters on the anchored suffix's leading
-   bytes, then block, document and position, so that a hot anchor is dealt over several buckets.
+   bytes, then block, document and position, so that a hot anchor is dealt over several buckets. Their number
+   follows from the bytes of text, so a bucket fits in a task whatever the size of the corpus.
 3. A bucket collapses equal blocks, sorts the windows that may repeat by multikey quicksort on 8-byte tokens
    and compares neighbours. The first and the last anchor of a bucket may go on in the next one: their
    distinct windows are compared across the boundaries by an aggregate.
@@ -17,7 +19,8 @@ so every repeat is met at an anchor.
 Null and empty texts have nothing to remove. Documents shorter than a window are kept whole. Rows that repeat
 a doc_id and its text count as one document and each is returned; one doc_id on different texts makes different
 documents, in the order of a hash of the text; a null doc_id sorts last. Other columns are
-not read. The text is shuffled once (both joins share the exchange); the rest are narrow rows.
+not read. The text is shuffled once: all joins by document read that one exchange, for which they take the same
+columns of it. The rest are narrow rows and the blocks of repeated anchors.
 """
 
 from __future__ import annotations
@@ -31,11 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.batches import BASE, Hasher, bytes_of, mixed, slices
-from corpusloom.llm.tables import numbered_documents, stored
+from corpusloom.llm.tables import numbered_documents
 
 WINDOW = 100
 GRAM = 20  # 16 + 4, as gram_hashes builds them
 SPAN = WINDOW - GRAM + 1
+BUCKET_BYTES = 12 << 20  # of text for each bucket of the sort; a task holds about thirty times that
 
 
 def gram_hashes(values: np.ndarray, data: np.ndarray) -> np.ndarray:
@@ -187,7 +191,7 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rep_did, rep_start = did[new], start[new]  # by code, as codes are dense
     rep_head = heads.take(pa.array(order[new]))
     number = length - WINDOW + 1
-    block = np.repeat(np.arange(len(number)), number)
+    block = np.repeat(np.arange(len(number), dtype=np.int32), number)
     offset = np.arange(len(block)) - np.repeat(np.cumsum(number) - number, number)
     at = cut[block] + offset
     hasher = Hasher()
@@ -198,6 +202,7 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     single = np.append(True, differs) & np.append(differs, True)
     maybe = np.sort(by_hash[~single])
     group = multikey_groups(data, at[maybe])
+    del hashes, by_hash, sorted_hashes, differs, single
     tied = group >= 0
     maybe, group = maybe[tied], group[tied]
     order = np.lexsort((rep_start[block[maybe]] + offset[maybe], rep_did[block[maybe]], group))
@@ -239,8 +244,11 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         data, offsets = bytes_of(batch.column("text"))
         kept, removed, spans = [], [], []
+        copies = batch.column("copy").to_pylist()
         for i, ranges in enumerate(batch.column("ranges").to_pylist()):
             body = data[offsets[i] : offsets[i + 1]]
+            if copies[i] and len(body) >= WINDOW:
+                ranges = [{"start": 0, "end": len(body)}]
             if not ranges:
                 kept.append(body.tobytes())
                 removed.append(0)
@@ -267,14 +275,21 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def repeated_ranges(texts: DataFrame) -> DataFrame:
-    """(did, ranges): the byte ranges to remove from each document that has any."""
-    blocks = texts.mapInArrow(_block_rows, "key long, did long, at long")
-    repeated = stored(blocks.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
+def first_texts(texts: DataFrame) -> DataFrame:
+    """did: the least number of each text."""
+    return texts.groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("did").alias("did")).select("did")
+
+
+def repeated_ranges(texts: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(did, ranges): the byte ranges to remove from each document that has any, of those in `firsts`."""
+    originals = texts.join(firsts.hint("shuffle_hash"), "did", "left_semi")
+    blocks = originals.mapInArrow(_block_rows, "key long, did long, at long")
+    repeated = blocks.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     candidates = blocks.join(repeated, "key").groupBy("did").agg(F.collect_list("at").alias("ats"))
-    found = texts.join(candidates, "did").select("did", "text", "ats")
-    suffixes = found.mapInArrow(_block_texts, "head binary, block binary, did long, start long")
-    buckets = suffixes.repartitionByRange("head", "block", "did", "start")
+    size = texts.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
+    number = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    suffixes = texts.join(candidates, "did").mapInArrow(_block_texts, "head binary, block binary, did long, start long")
+    buckets = suffixes.repartitionByRange(number, "head", "block", "did", "start")
     judged = buckets.mapInArrow(_bucket, "did long, start long, end long, window binary")
     own = F.when(F.col("window").isNull(), F.col("did")).alias("own")
     places = judged.groupBy("window", own).agg(F.collect_list(F.struct("did", "start", "end")).alias("places"))
@@ -287,8 +302,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (remaining bytes) and kept_sha256 of every document."""
     rows, _ = numbered_documents(docs)
     texts = rows.select("doc_id", F.col("__did").alias("did"), F.coalesce("text", F.lit("")).alias("text"))
-    joined = texts.join(repeated_ranges(texts), "did", "left")
-    return joined.select("doc_id", "text", "ranges").mapInArrow(
+    # Every document has a number; said here, the joins read the same rows whichever kind they are.
+    texts = texts.where("did is not null")
+    firsts = first_texts(texts)
+    marked = firsts.select("did", F.lit(True).alias("first")).hint("shuffle_hash")
+    joined = texts.join(repeated_ranges(texts, firsts), "did", "left").join(marked, "did", "left")
+    return joined.select("doc_id", "text", "ranges", F.col("first").isNull().alias("copy")).mapInArrow(
         _cut_out,
         "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string",
     )
