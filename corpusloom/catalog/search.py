@@ -9,7 +9,7 @@ from corpusloom.catalog import retrieval
 from corpusloom.catalog import sql as S
 from corpusloom.catalog.wiki import CLAIMS, PAGES
 from corpusloom.functions import text as T
-from corpusloom.operators import mmr
+from corpusloom.operators import containment, mmr
 from corpusloom.plans import evaluate, integrity, page_model, retrieve, wiki_search
 from corpusloom.plugins import token_overlap_score
 from corpusloom.session import pinned
@@ -259,7 +259,7 @@ def constraint_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def expected(spark: SparkSession, folder: str) -> DataFrame:
-    return evaluate.expected_documents(
+    return containment.containing(
         tables.queries(spark, folder), tables.read(spark, folder, "documents", spread=True)
     )
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import bm25, cells, chunking, components, dense, fusion, mmr, ordering, scan
+from corpusloom.operators import bm25, cells, chunking, components, containment, dense, fusion, mmr, ordering, scan
 from corpusloom.plans import wiki_admin
 from corpusloom.session import pinned
 
@@ -395,3 +395,35 @@ def test_cell_search_without_rows(spark, tmp_path):
     assert {r["score"] for r in cells.search(only, queries, 5).collect()} == {0.0}
     single = cells.build(vectors.where("chunk_id = 1"), f"{tmp_path}/single")
     assert {r["query_id"]: r["score"] for r in cells.search(single, queries, 5).collect()}[1] == 1.0
+
+
+def test_containment_equals_brute_force(spark, monkeypatch):
+    """A run that a third of all texts share, passages cut inside words, short ones and repeated ids."""
+    monkeypatch.setattr(containment, "BLOCK_ROWS", 3)
+    rng = random.Random(8)
+    words = ["ab", "b", "abc", "c", "", "x\ny", "caf\u00e9", "bb"]
+    texts = [" ".join(rng.choices(words, k=rng.randint(1, 40))) for _ in range(120)]
+    texts = [("all rights are reserved here " + t) if i % 3 == 0 else t for i, t in enumerate(texts)]
+    docs = [(i, t) for i, t in enumerate(texts)] + [(3, "another b text of three"), (200, None), (201, ""), (None, "ab")]
+    asked = [(500, "rights are reserved here"), (501, "ights are reserved her"), (502, "no such words in any"), (503, None), (504, "")]
+    for i in range(60):
+        text = rng.choice(texts)
+        at = rng.randrange(len(text))
+        asked.append((i, text[at : at + rng.randint(1, 30)]))
+    asked += [(0, "another b text"), (7, " "), (8, "b"), (None, "b")]
+    got = containment.containing(
+        spark.createDataFrame(asked, "query_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    )
+    want = {(q, d) for q, p in asked for d, t in docs if q is not None and d is not None and p and t and p in t}
+    assert len(want) > 500
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows))
+    assert set(rows) == want
+
+
+def test_containment_of_nothing(spark):
+    queries = spark.createDataFrame([], "query_id long, text string")
+    docs = spark.createDataFrame([(1, "some text of words")], "doc_id long, text string")
+    assert containment.containing(queries, docs).count() == 0
+    some = spark.createDataFrame([(1, "text of words"), (2, "of")], "query_id long, text string")
+    assert containment.containing(some, docs.limit(0)).count() == 0
