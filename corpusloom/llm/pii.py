@@ -3,17 +3,18 @@
 Four base kinds are found by pattern and arithmetic and always stay. High-recall generators propose overlapping
 spans: digit groups, addresses written with words, keys after their names, and long mixed codes. Each proposal is
 described by its form (digits, groups, letters, separators, length) and its context (the word before, the characters
-around it). Gradient-boosted trees are fitted on a bounded sample of proposals, labelled by strict checks whose
+around it). Gradient-boosted trees are fitted on all proposals, labelled by strict checks whose
 outcomes are no features: a digit group is personal if it overlaps a base span, a code if a key's name
 stands before it. The limit is the least score at which proposals of the held-out fold are right with
 `PRECISION`. Selected proposals that overlap no base span and lie in no longer selected one are added.
 
 Everything happens inside a document's row: matches, positions, checks, the trees (as nested conditions) and
-the join of spans are column expressions, so nothing is shuffled but the sample. Positions count code points,
-ends are exclusive. Documents without a digit or an at sign skip the patterns.
+the join of spans are column expressions, so nothing is shuffled but the counts of proposals. Positions count code
+points, ends are exclusive. Documents without a digit or an at sign skip the patterns.
 
-The sample is at most `MAX_SAMPLE` proposals, the ones least by a hash. Null and empty texts have no spans. If the
-sample has one class only, no proposal is added. Repeated rows are treated alike.
+Proposals with the same features, label and fold are one row of the training table with their number as weight: all
+count, and the table grows with the kinds of proposals rather than with the texts. Null and empty texts have no spans.
+If the proposals have one class only, none is added. Repeated rows are treated alike.
 """
 
 from __future__ import annotations
@@ -41,8 +42,8 @@ GENERATORS = (
     ("key", r"(?i)\b(?:password|passwd|secret|token|api[_-]?key|access[_-]?key)\x20?[=:]\x20?[^\s]++"),
     ("code", r"(?<![A-Za-z0-9_/+=-])(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_/+=-]{12,}+"),
 )
-MAX_SAMPLE = 20_000
 TREES, DEPTH = 12, 3
+BINS = 1024  # Spark looks at all rows for its split points up to BINS squared of them
 PRECISION = 0.95
 FEATURES = ("kind", "length", "digits", "groups", "letters", "marks", "plus", "paren", "lead", "tail", "colon_before", "word_before")
 
@@ -139,14 +140,15 @@ def overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
-def sample(rows: DataFrame) -> DataFrame:
-    """Labelled proposals, the features of each, and whether it belongs to the held-out fold."""
+def counted(rows: DataFrame) -> DataFrame:
+    """All labelled proposals by features, label and whether they belong to the held-out fold, with their number."""
     hit = F.exists("base", lambda b: overlaps(F.col("p"), b))
     strict = F.exists("proposals", lambda q: (q["kind"] == len(BASE) + 2) & overlaps(F.col("p"), q))
     flat = rows.where(F.size("proposals") > 0).select("doc_id", "base", "proposals", F.explode("proposals").alias("p"))
     label = F.when(F.col("p.kind") >= len(BASE) + 2, hit | strict).otherwise(hit)
-    picked = flat.select("doc_id", "p.start", "p.f.*", label.cast("double").alias("label"), F.xxhash64("doc_id", "p.start").alias("rank"))
-    return stored(picked.orderBy("rank", "doc_id", "start").limit(MAX_SAMPLE))
+    held = F.pmod(F.xxhash64("doc_id", "p.start"), F.lit(4)) == 0
+    told = flat.select("p.f.*", label.cast("double").alias("label"), held.alias("held"))
+    return stored(told.groupBy(*FEATURES, "label", "held").agg(F.count(F.lit(1)).cast("double").alias("weight")))
 
 
 def tree_column(node, features: Column) -> Column:
@@ -159,25 +161,24 @@ def tree_column(node, features: Column) -> Column:
 
 
 def fitted(rows: DataFrame):
-    """(score of a proposal, limit), or None where the sample cannot teach."""
-    known = sample(rows)
+    """(score of a proposal, limit), or None where the proposals cannot teach."""
+    known = counted(rows)
     classes = {r["label"] for r in known.select("label").distinct().collect()}
     if len(classes) < 2:
         return None
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(known)
-    fold = F.pmod("rank", F.lit(4)) == 0
-    learn = vectors.where(~fold)
+    learn = vectors.where("NOT held")
     if learn.select("label").distinct().count() < 2:
         return None
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=11, maxBins=32).fit(learn)
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=11, maxBins=BINS, weightCol="weight").fit(learn)
     trees = [(w, tree._call_java("rootNode")) for w, tree in zip(model.treeWeights, model.trees, strict=True)]
 
     def score(features: Column) -> Column:
         margin = reduce(lambda a, b: a + b, [tree_column(root, features) * F.lit(float(w)) for w, root in trees])
         return 1 / (1 + F.exp(-2 * margin))
 
-    held = model.transform(vectors.where(fold)).select("label", F.round(vector_to_array("probability")[1], 2).alias("p"))
-    rows = held.groupBy("p").agg(F.sum("label").alias("right"), F.count(F.lit(1)).alias("all")).orderBy(F.desc("p")).collect()
+    held = model.transform(vectors.where("held")).select("label", "weight", F.round(vector_to_array("probability")[1], 2).alias("p"))
+    rows = held.groupBy("p").agg(F.sum(F.col("label") * F.col("weight")).alias("right"), F.sum("weight").alias("all")).orderBy(F.desc("p")).collect()
     limit, right, total = 0.99, 0.0, 0
     for r in rows:
         right, total = right + r["right"], total + r["all"]

@@ -299,6 +299,16 @@ def test_base_spans_match_the_patterns(spark, empty):
     assert pii.report(empty).count() == 0
 
 
+def test_all_proposals_teach(spark, monkeypatch):
+    texts = [f"call +49 30 {1000000 + 7919 * i} or room {i % 90 + 10} token=ab{i}cd9xyzq7 end" for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(pii, "MAX_SAMPLE", 10, raising=False)
+    rows = pii.with_candidates(docs)
+    known = pii.counted(rows)
+    assert known.agg(F.sum("weight")).first()[0] == rows.select(F.explode("proposals")).count() > 1000
+    assert known.count() < 400 and pii.fitted(rows) is not None
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(8)
     rows, labels = [], []
