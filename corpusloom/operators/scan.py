@@ -12,6 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -109,15 +110,27 @@ def keep_best(frame: pd.DataFrame, k: int) -> pd.DataFrame:
     return ordered.groupby("query_id", sort=False).head(k)
 
 
-def slices(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
+Batch = pd.DataFrame | pa.RecordBatch
+
+
+def column_of(batch: Batch, name: str) -> np.ndarray:
+    if isinstance(batch, pa.RecordBatch):
+        return batch.column(name).to_numpy(zero_copy_only=False)
+    return batch[name].to_numpy()
+
+
+def slices(batches: Iterator[Batch], width: int) -> Iterator[Batch]:
     """Batches cut so that rows x queries stays below MAX_CELLS, which bounds a task's memory."""
     rows = max(1, MAX_CELLS // max(width, 1))
     for batch in batches:
+        if isinstance(batch, pa.RecordBatch):
+            yield from (batch.slice(start, rows) for start in range(0, batch.num_rows, rows))
+            continue
         for start in range(0, len(batch), rows):
             yield batch.iloc[start : start + rows]
 
 
-Kernel = Callable[[pd.DataFrame], tuple]
+Kernel = Callable[[Batch], tuple]
 
 
 def scan_top_k(
@@ -127,12 +140,13 @@ def scan_top_k(
     k: int,
     max_block_queries: int = MAX_BLOCK_QUERIES,
     extras: dict[str, str] | None = None,
+    arrow: bool = False,
 ) -> DataFrame:
     """(query_id, chunk_id, score, position): the k best corpus rows per query.
 
     `kernel_of(block)` builds the scorer of a query block; it maps a batch of corpus rows to a
     scores matrix (rows x queries), an eligibility mask and, for the columns named in `extras`
-    (name to type), further matrices that are carried along.
+    (name to type), further matrices that are carried along. With `arrow` a batch is a record batch.
     """
     types = dict(corpus.dtypes), dict(queries.dtypes)
     schema = f"query_id {types[1]['query_id']}, chunk_id {types[0]['chunk_id']}, score double"
@@ -143,7 +157,7 @@ def scan_top_k(
         kernel = kernel_of(block)
         ids = np.array([row["query_id"] for row in block])
 
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def scan(batches: Iterator[Batch]) -> Iterator[pd.DataFrame]:
             best: pd.DataFrame | None = None
             for batch in slices(batches, len(block)):
                 scores, eligible, *carried = kernel(batch)
@@ -152,7 +166,7 @@ def scan_top_k(
                 found = pd.DataFrame(
                     {
                         "query_id": ids[columns],
-                        "chunk_id": batch["chunk_id"].to_numpy()[rows],
+                        "chunk_id": column_of(batch, "chunk_id")[rows],
                         "score": scores[rows, columns],
                         **{name: m[rows, columns] for name, m in zip(extras, carried, strict=True)},
                     }
@@ -161,7 +175,11 @@ def scan_top_k(
             if best is not None and len(best):
                 yield best
 
-        return corpus.mapInPandas(scan, schema)
+        def scan_arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for found in scan(batches):
+                yield pa.RecordBatch.from_pandas(found, preserve_index=False)
+
+        return corpus.mapInArrow(scan_arrow, schema) if arrow else corpus.mapInPandas(scan, schema)
 
     passes = [pass_over(block) for block in query_blocks(queries, "query_id", max_block_queries)]
     hits = reduce(DataFrame.unionByName, passes)

@@ -341,6 +341,27 @@ def test_index_search_equals_the_scan(spark, tmp_path, salt_rows):
         assert sorted(want) == sorted(got) and len(got) > 20
 
 
+def test_index_search_by_chunks_and_by_postings(spark, tmp_path, monkeypatch):
+    """Queries of frequent words are scored where the chunks lie: their postings are not read."""
+    from corpusloom.operators import bm25
+    from corpusloom.sources import search_index
+
+    rng = random.Random(7)
+    texts = [" ".join(rng.choices(["the", "of", "and", "to", "ab", "cd"], k=rng.randint(0, 12))) for _ in range(400)]
+    chunks = spark.createDataFrame([(f"c{n:04}", f"kb{n % 3}", t) for n, t in enumerate(texts)], "chunk_id string, kb_id string, content string")
+    index = search_index.build(chunks, F.lit(True), str(tmp_path / "index"), 50)
+    asked = [(n, " ".join(rng.choices(["the", "of", "cd", "zz"], k=3)), rng.choice([None, [], ["kb1"]])) for n in range(9)]
+    queries = spark.createDataFrame(asked, "query_id long, text string, scope array<string>")
+    bases = spark.createDataFrame([("kb0",), ("kb1",)], "kb_id string")
+    columns = ["query_id", "chunk_id", "score", "position"]
+    for limited in (None, bases):
+        want = sorted(bm25.keyword_search(chunks, queries, 10, limited).select(*columns).collect())
+        assert sorted(bm25.index_search(index, queries, 10, limited, max_pairs=10**9).select(*columns).collect()) == want
+        with monkeypatch.context() as patched:
+            patched.setattr(bm25, "_matches", None)
+            assert sorted(bm25.index_search(index, queries, 10, limited).select(*columns).collect()) == want
+
+
 def test_index_of_nothing(spark, tmp_path):
     from corpusloom.operators import bm25
     from corpusloom.sources import search_index
