@@ -1,18 +1,18 @@
 """Benchmark decontamination by CGK embedding and bit-sampling LSH over item-sized windows.
 
+No place at `SIMILARITY` or more is left out. Edits that leave a piece that similar destroy a bounded number of the
+item's runs of four characters, and the others stand in the text on neighbouring diagonals (`spared`): only regions
+with that many are looked at. There the item's parts of up to 64 characters are run through the region bit by bit,
+many regions at once; the sum of their least distances is a lower bound of the edit distance (`hopeful`).
+
 The CGK walk reads a string with random bits: at each step it writes the current character and moves on if the
 bit for (step, character) is one, so strings at a small edit distance give outputs at a small Hamming distance.
-Windows of a text, as many words long as an item, are embedded together with the item; `tables` samples of
-`BITS` positions are compared, and a window that agrees with the item in one of them is a candidate. The number
-of tables follows from how often positions agree for items mutated down to `SIMILARITY`, measured on all items of
-the block, so that a window there is met with probability `RECALL`. A walk forgets much at that similarity, so the
-samples are short and choose little; what bounds the work are the places below. Candidates are verified by the
-exact edit distance between the item and the best piece of the text around the window; all at SIMILARITY or
-more are reported.
-
-Windows are laid where two words in a row of an item occur in a text, or a word that few items have (any word for
-items of fewer than eight words, where one place is enough); a longer item needs two such places of a kind on about
-the same diagonal. A window without them is not embedded: that bounds the walks by what looks like an item.
+In each region that is left the window at its start diagonal is embedded together with the item; `tables` samples of
+`BITS` positions are compared. The number of tables follows from how often positions agree for items mutated down to
+`SIMILARITY`, measured on all items of the block. A window that agrees in one of them is verified closely around;
+the rest of a region, and regions without agreement, are verified as a whole, so what the walk forgets is not lost.
+Verification is the exact edit distance between the item and the piece of the text with the fewest edits; what lies
+before and after that piece is searched again. All pieces at SIMILARITY or more are reported.
 
 Strings are lower-cased words joined by one space. Items come in blocks of bounded size; each block is one pass
 over the texts. Null and empty texts and items match nothing; repeated items and rows are each reported; a null
@@ -27,18 +27,18 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.batches import Hasher, runs_of, slices, texts_of
+from corpusloom.llm.batches import Hasher, slices
 
 SIMILARITY = 0.8
 RECALL = 0.95
 BITS = 2
 BLOCK_ITEMS, BLOCK_BYTES = 4096, 4 << 20
-SHORT_ITEM, DRIFT = 8, 3
-RARE_ITEMS = 4
+GRAM, SPARED = 4, 4
+CELLS = 8  # cells of diagonals for each stretch that an item's edits may shift
+LANES, PART = 4096, 64
 
 
 def walk(chars: np.ndarray, length: np.ndarray, steps: int) -> np.ndarray:
@@ -88,50 +88,77 @@ def edits_within(item: str, text: str) -> tuple[int, int]:
     return best, end
 
 
+def spared(m: int, q: int) -> int:
+    """Runs of `q` characters of an item of `m` that are left in every piece at SIMILARITY or more."""
+    worst = 0
+    for inserted in range(shift_of(m) + 1):
+        others = math.floor((1 - SIMILARITY) * (m + inserted) - inserted + 1e-9)
+        if others >= 0:
+            worst = max(worst, q * others + (q - 1) * inserted)
+    return m - q + 1 - worst
+
+
+def shift_of(m: int) -> int:
+    """The most edits of a piece at SIMILARITY or more: it is at most that much longer than the item."""
+    return math.floor((1 / SIMILARITY - 1) * m + 1e-9)
+
+
+def codes_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def grams_of(codes: np.ndarray, q: int) -> np.ndarray:
+    """Every run of `q` characters as a number; four characters of 16 bits or less are told apart exactly."""
+    n = max(0, len(codes) - q + 1)
+    out = np.zeros(n, dtype=np.uint64)
+    for j in range(q):
+        out = (out << np.uint64(16)) + codes[j : j + n]
+    return out
+
+
 class Items:
-    """One block of items: their words, word-pair index and sampled positions."""
+    """One block of items: their runs of characters, the bit masks of their parts and sampled positions."""
 
     def __init__(self, rows: list[tuple[int | None, str | None]]) -> None:
         rows = [(i, " ".join(t.lower().split())) for i, t in rows if t and t.split()]
         self.ids = [i for i, _ in rows]
         self.texts = [t for _, t in rows]
-        texts = texts_of(pa.array(self.texts, pa.string()))
-        hasher = Hasher()
-        starts, ends, owner = texts.words()
-        words = hasher.spans(hasher.prefix(texts.data), starts, ends)
-        self.count = np.bincount(owner, minlength=len(rows))
-        self.needed = np.where(self.count < SHORT_ITEM, 1, 2)
-        first = np.cumsum(self.count) - self.count
-        keys, item, place = [], [], []
-        for k in (1, 2):
-            runs = runs_of(words, k)
-            at = np.arange(len(runs))
-            short = self.count[owner[at]] < SHORT_ITEM
-            # Words of longer items count alone where few items have them.
-            alone = short | self.rare(runs, owner) if k == 1 else ~short
-            real = (owner[at] == owner[at + k - 1]) & alone
-            keys.append(runs[real])
-            item.append(owner[at[real]])
-            place.append((at - first[owner[at]])[real])
-        self.indexes = []
-        for k in (0, 1):
-            order = np.argsort(keys[k], kind="stable")
-            self.indexes.append((keys[k][order], item[k][order], place[k][order]))
-        self.length = np.array([len(t) for t in self.texts], dtype=np.int64)
+        codes = [codes_of(t) for t in self.texts]
+        self.length = np.array([len(c) for c in codes], dtype=np.int64)
+        # Long runs where enough of them must be left, shorter ones for short items.
+        self.size, self.needed = [], []
+        for m in self.length:
+            q = next((q for q in range(GRAM, 1, -1) if spared(int(m), q) >= SPARED), 1)
+            self.size.append(q)
+            self.needed.append(max(1, spared(int(m), q)))
+        self.vocabulary: dict[int, np.ndarray] = {}
+        self.grams: list[np.ndarray] = [np.empty(0, dtype=np.int64)] * len(rows)
+        for q in sorted(set(self.size)):
+            own = [i for i, size in enumerate(self.size) if size == q]
+            runs = [grams_of(codes[i], q) for i in own]
+            self.vocabulary[q], number = np.unique(np.concatenate(runs), return_inverse=True)
+            for i, part in zip(own, np.split(number, np.cumsum([len(r) for r in runs])[:-1]), strict=True):
+                self.grams[i] = part
+        # Bit masks of the parts of each item by character; the last column is for all other characters.
+        self.alphabet = np.unique(np.concatenate(codes)) if codes else np.empty(0, dtype=np.uint32)
+        self.parts = [math.ceil(len(c) / PART) for c in codes]
+        self.first_part = np.cumsum(self.parts) - self.parts if codes else np.empty(0, dtype=np.int64)
+        self.masks = np.zeros((sum(self.parts), len(self.alphabet) + 1), dtype=np.uint64)
+        self.width = np.zeros(sum(self.parts), dtype=np.int64)
+        for i, c in enumerate(codes):
+            letters = np.searchsorted(self.alphabet, c)
+            part = self.first_part[i] + np.arange(len(c)) // PART
+            width = np.bincount(part - self.first_part[i])
+            self.width[self.first_part[i] : self.first_part[i] + self.parts[i]] = width
+            spare = np.repeat(PART - width, width)
+            np.bitwise_or.at(self.masks, (part, letters), np.uint64(1) << (np.arange(len(c)) % PART + spare).astype(np.uint64))
+        self.masks |= ((np.uint64(1) << (PART - self.width - 1).astype(np.uint64)) * np.uint64(2) - np.uint64(1))[:, None] * (self.width < PART)[:, None]
         self.samples = np.random.default_rng(99).random((self.tables(), BITS))
         # What the walk over each item writes at the sampled positions, which lie in the steps that read it.
         self.sampled = np.zeros((len(rows), *self.samples.shape), dtype=np.int16)
         for i, text in enumerate(self.texts):
             self.sampled[i] = embed([text], 2 * len(text))[0][(self.samples * 2 * len(text)).astype(np.int64)]
 
-    @staticmethod
-    def rare(words: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        """Whether a word occurs in at most RARE_ITEMS items."""
-        _, word = np.unique(words, return_inverse=True)
-        many = int(owner.max()) + 1 if len(owner) else 1
-        of = np.unique(word.astype(np.int64) * many + owner) // many
-        return np.bincount(of, minlength=int(word.max()) + 1 if len(word) else 0)[word] <= RARE_ITEMS
-
     def tables(self) -> int:
         """Tables needed for RECALL at SIMILARITY, on average over all items mutated that much."""
         rng = np.random.default_rng(5)
@@ -163,96 +190,192 @@ class Items:
             many = math.ceil(many * 1.1)
         return many
 
-    def windows(self, words: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, word number of the window's start) of every window to embed; starts may precede the text."""
-        found_item, found_start = [], []
-        for k, (keys, item, place) in ((1, self.indexes[0]), (2, self.indexes[1])):
-            runs = runs_of(words, k)
-            if not len(keys) or not len(runs):
+    def regions(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, start, end) of every region of a slice that may hold an item; regions of an item may overlap."""
+        found: list[tuple[np.ndarray, ...]] = []
+        for q, vocabulary in self.vocabulary.items():
+            runs = grams_of(codes, q)
+            if not len(runs):
                 continue
-            at = np.flatnonzero(owner[: len(runs)] == owner[k - 1 :])
-            low = np.searchsorted(keys, runs[at], side="left")
-            hit = keys[np.minimum(low, len(keys) - 1)] == runs[at]
-            at, low = at[hit], low[hit]
-            many = np.searchsorted(keys, runs[at], side="right") - low
-            index = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            items, start = item[index], np.repeat(at, many) - place[index]
-            texts = np.repeat(owner[at], many)
-            order = np.lexsort((start, texts, items))
-            items, start, texts = items[order], start[order], texts[order]
-            ahead = self.needed[items] - 1
-            last = np.minimum(np.arange(len(items)) + ahead, max(0, len(items) - 1))
-            dense = (items[last] == items) & (texts[last] == texts) & (start[last] - start <= DRIFT)
-            dense &= np.arange(len(items)) + ahead < len(items)
-            items, start = items[dense], start[dense]
-            found_item.append(items)
-            found_start.append(start)
-        if not found_item:
+            number = np.minimum(np.searchsorted(vocabulary, runs), len(vocabulary) - 1)
+            at = np.flatnonzero(vocabulary[number] == runs)
+            number = number[at]
+            places = at[np.argsort(number.astype(np.int32), kind="stable")].astype(np.int32)
+            many = np.bincount(number, minlength=len(vocabulary))
+            first = np.cumsum(many) - many
+            for i, size in enumerate(self.size):
+                if size == q:
+                    found.append((np.int64(i), *self.dense(i, places, first, many, len(codes))))
+        if not found:
+            none = np.empty(0, dtype=np.int64)
+            return none, none, none
+        items = np.concatenate([np.full(len(a), i) for i, a, _ in found])
+        return items, np.concatenate([a for _, a, _ in found]), np.concatenate([b for _, _, b in found])
+
+    def dense(self, i: int, places: np.ndarray, first: np.ndarray, many: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the regions in which enough runs of an item stand on neighbouring diagonals."""
+        own, m = self.grams[i], int(self.length[i])
+        shift = shift_of(m)
+        cell = max(1, (shift + 1) // CELLS)
+        count = many[own]
+        total = int(count.sum())
+        if total < self.needed[i]:
             none = np.empty(0, dtype=np.int64)
             return none, none
-        return np.concatenate(found_item), np.concatenate(found_start)
+        # The run at place p of the item, found at x, lies on diagonal x - p; m is added so that none is negative.
+        begin = np.cumsum(count) - count
+        index = np.repeat((first[own] - begin).astype(np.int32), count) + np.arange(total, dtype=np.int32)
+        diagonal = places[index] + np.repeat((m - np.arange(len(own))).astype(np.int32), count)
+        span = -(-shift // cell) + 1
+        cells = np.bincount(diagonal // np.int32(cell), minlength=(n + m) // cell + span + 1)
+        sums = np.concatenate(([0], np.cumsum(cells)))
+        hit = np.flatnonzero(sums[span:] - sums[:-span] >= self.needed[i])
+        if not len(hit):
+            return hit, hit
+        # Windows that follow each other become one region, but none much longer than the item.
+        fresh = np.append(True, np.diff(hit) > 1)
+        run = np.cumsum(fresh) - 1
+        piece = (hit - hit[fresh][run]) // max(1, m // cell)
+        fresh |= np.append(True, np.diff(piece) != 0)
+        last = np.append(np.flatnonzero(fresh)[1:] - 1, len(hit) - 1)
+        starts, ends = hit[fresh] * cell - m, (hit[last] + span) * cell
+        return np.maximum(0, starts), np.minimum(n, ends)
+
+    def hopeful(self, codes: np.ndarray, item: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether the least distances of an item's parts to a region sum up to few enough edits (bit-parallel)."""
+        letters = np.searchsorted(self.alphabet, codes)
+        letters[self.alphabet[np.minimum(letters, len(self.alphabet) - 1)] != codes] = len(self.alphabet)
+        letters = np.append(letters, len(self.alphabet))
+        allowed = (1 / SIMILARITY - 1) * self.length[item] + 1e-9
+        total = np.zeros(len(item), dtype=np.int64)
+        parts = np.array(self.parts)[item]
+        for number in range(int(parts.max()) if len(item) else 0):
+            # Regions whose first parts already need too many edits are done.
+            live = np.flatnonzero((parts > number) & (total <= allowed))
+            live = live[np.argsort((end - start)[live], kind="stable")]
+            for at in range(0, len(live), LANES):
+                lanes = live[at : at + LANES]
+                total[lanes] += self.least(letters, self.first_part[item[lanes]] + number, start[lanes], end[lanes])
+        return total <= allowed
+
+    def least(self, letters: np.ndarray, part: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The least edit distance of each part to any piece of its region, all regions side by side."""
+        table, base, beyond = self.masks.ravel(), part * self.masks.shape[1], len(letters) - 1
+        # Parts end at the highest bit; what lies below a shorter one matches everything.
+        distance = self.width[part].copy()
+        best = distance.copy()
+        up = ~np.uint64(0) << (PART - distance).astype(np.uint64)
+        down = np.zeros(len(part), dtype=np.uint64)
+        one, x = np.uint64(1), start.copy()
+        for _ in range(int((end - start).max())):
+            eq = table.take(base + letters.take(x, mode="clip"))
+            d0 = eq & up
+            d0 += up
+            d0 ^= up
+            d0 |= eq
+            d0 |= down
+            plus = d0 | up
+            np.invert(plus, out=plus)
+            plus |= down
+            minus = np.bitwise_and(d0, up, out=up)
+            distance -= plus.view(np.int64) >> 63
+            distance += minus.view(np.int64) >> 63
+            np.minimum(best, distance, out=best)
+            plus <<= one
+            minus <<= one
+            down = plus & d0
+            np.bitwise_or(plus, d0, out=d0)
+            np.invert(d0, out=d0)
+            up = np.bitwise_or(minus, d0, out=d0)
+            x += 1
+        return best
+
+    def agree(self, item: np.ndarray, windows: list[str]) -> np.ndarray:
+        """Whether a window's walk meets the item's in one of the tables."""
+        out = np.zeros(len(item), dtype=bool)
+        order = np.argsort(self.length[item], kind="stable")
+        for at in range(0, len(order), 1024):
+            part = order[at : at + 1024]
+            steps = 2 * self.length[item[part]]
+            embedded = embed([windows[i] for i in part], int(steps.max()))
+            places = (self.samples[None] * steps[:, None, None]).astype(np.int64)
+            got = embedded[np.arange(len(part))[:, None, None], places]
+            out[part] = (got == self.sampled[item[part]]).all(axis=2).any(axis=1)
+        return out
+
+
+def pieces(item: str, text: str, near: tuple[int, int] | None) -> Iterator[tuple[int, int, float]]:
+    """(start, end, similarity) of the pieces of a text that are similar to the item; `near` is looked at first."""
+    m = len(item)
+    left = [(0, len(text))]
+    while left:
+        low, high = left.pop()
+        a, b = (low, high) if near is None else near
+        whole, near = near is None, None
+        distance, end = edits_within(item, text[a:b])
+        if distance <= (1 / SIMILARITY - 1) * m + 1e-9 and end:
+            _, back = edits_within(item[::-1], text[a : a + end][::-1])
+            start, end = a + end - back, a + end
+            similarity = 1 - distance / max(m, back)
+            good = similarity >= SIMILARITY - 1e-9
+            if good:
+                yield start, end, similarity
+            if whole or good:
+                left += [(x, y) for x, y in ((low, start), (end, high)) if y - x >= SIMILARITY * m - 1e-9 and y - x < high - low]
+                continue
+        if not whole:
+            left.append((low, high))
 
 
 def matches(items: Items, column: pa.Array, hasher: Hasher) -> list[tuple[int, int, int, int, float]]:
     """(text, item, first word, last word, similarity) of every contaminated place of a slice of texts."""
-    lowered = pc.utf8_lower(column.fill_null("") if column.null_count else column)
-    texts = texts_of(lowered)
-    starts, ends, owner = texts.words()
-    if not len(starts) or not items.ids:
+    texts = [" ".join(t.lower().split()) if t else "" for t in column.to_pylist()]
+    if not items.ids or not any(texts):
         return []
-    words = hasher.spans(hasher.prefix(texts.data), starts, ends)
-    count = np.bincount(owner, minlength=len(texts))
-    first = np.cumsum(count) - count
-    which, begin = items.windows(words, owner)
-    if not len(which):
+    joined = "\n".join(texts)
+    codes = codes_of(joined)
+    offset = np.cumsum([0] + [len(t) + 1 for t in texts])
+    item, start, end = items.regions(codes)
+    if not len(item):
         return []
-
-    def piece(a: int, b: int) -> str:
-        raw = texts.data[starts[a] : ends[b - 1]].tobytes().decode("utf-8", "replace")
-        return " ".join(raw.split())
-
-    order = np.lexsort((begin, which))
-    which, begin = which[order], begin[order]
-    new = np.append(True, (which[1:] != which[:-1]) | (begin[1:] != begin[:-1]))
-    which, begin = which[new], begin[new]
-    n = items.count[which]
-    near = owner[np.clip(begin + n // 2, 0, len(owner) - 1)]
-    low = np.maximum(begin, first[near])
-    high = np.minimum(low + n, first[near] + count[near])
-    agree = np.zeros(len(which), dtype=bool)
-    by_size = np.argsort(items.length[which], kind="stable")
-    by_size = by_size[(high > low)[by_size]]
-    for at in range(0, len(by_size), 1024):
-        part = by_size[at : at + 1024]
-        steps = 2 * items.length[which[part]]
-        embedded = embed([piece(a, b) for a, b in zip(low[part], high[part], strict=True)], int(steps.max()))
-        places = (items.samples[None] * steps[:, None, None]).astype(np.int64)
-        got = embedded[np.arange(len(part))[:, None, None], places]
-        agree[part] = (got == items.sampled[which[part]]).all(axis=2).any(axis=1)
+    kept = items.hopeful(codes, item, start, end)
+    item, start, end = item[kept], start[kept], end[kept]
+    # Regions of an item that touch become one, then they are cut at the ends of texts.
+    order = np.lexsort((start, item))
+    item, start, end = item[order], start[order], end[order]
+    spans: list[list[int]] = []
+    for i, a, b in zip(item.tolist(), start.tolist(), end.tolist(), strict=True):
+        if spans and spans[-1][0] == i and a <= spans[-1][2]:
+            spans[-1][2] = max(spans[-1][2], b)
+        else:
+            spans.append([i, a, b])
+    looked = []
+    for i, a, b in spans:
+        row = int(np.searchsorted(offset, a, side="right")) - 1
+        while row < len(texts) and offset[row] < b:
+            low, high = max(a, int(offset[row])), min(b, int(offset[row + 1]) - 1)
+            if high - low >= SIMILARITY * items.length[i] - 1e-9:
+                looked.append((row, i, low, high))
+            row += 1
+    if not looked:
+        return []
+    which = np.array([i for _, i, _, _ in looked])
+    laid = []
+    for _, i, low, high in looked:
+        m = int(items.length[i])
+        a = low + max(0, min(shift_of(m) // 2, high - low - m))
+        laid.append((a, min(high, a + m)))
+    agree = items.agree(which, [joined[a:b] for a, b in laid])
     out: dict[tuple[int, int, int], tuple[int, float]] = {}
-    done = {}
-    for i in np.flatnonzero(agree):
-        item, row, a, b = int(which[i]), int(near[i]), int(low[i]), int(high[i])
-        if a < done.get((item, row), -1):
-            continue
-        text = items.texts[item]
-        slack = 2 + int(n[i]) // 8
-        left, right = max(first[row], a - 2 * slack), min(first[row] + count[row], b + 2 * slack)
-        # The piece reaches far enough to hold what starts up to a slack later.
-        done[item, row] = a + slack
-        around = piece(left, right)
-        distance, end = edits_within(text, around)
-        if distance > (1 - SIMILARITY) * 1.25 * len(text):
-            continue
-        _, back = edits_within(text[::-1], around[:end][::-1])
-        start = end - back
-        similarity = 1 - distance / max(len(text), back)
-        if similarity >= SIMILARITY:
-            word = left + around[:start].count(" ")
-            last = left + around[: max(end - 1, 0)].count(" ")
-            out.setdefault((row, item, int(word - first[row])), (int(last - first[row]), similarity))
-            done[item, row] = max(last, a + slack)
-    return [(row, item, word, last, s) for (row, item, word), (last, s) in out.items()]
+    for (row, i, low, high), (a, b), met in zip(looked, laid, agree, strict=True):
+        slack = shift_of(int(items.length[i]))
+        near = (max(0, a - slack - low), min(high, b + slack) - low) if met else None
+        for begin, stop, similarity in pieces(items.texts[i], joined[low:high], near):
+            begin, stop = low + begin, low + stop
+            word = joined.count(" ", int(offset[row]), begin)
+            last = joined.count(" ", int(offset[row]), max(stop - 1, begin))
+            out.setdefault((row, i, word), (last, similarity))
+    return [(row, i, word, last, s) for (row, i, word), (last, s) in out.items()]
 
 
 def blocks(benchmark: DataFrame) -> Iterator[Items]:

@@ -277,6 +277,35 @@ def test_leaks_down_to_the_reported_similarity():
     assert near > 40 and found >= 0.9 * near
 
 
+def test_every_leak_down_to_the_similarity_is_found():
+    """Single characters changed all over items of any length, two places in a text, against brute force."""
+    rng = random.Random(41)
+    texts = [prose(rng, n)[:m] for n, m in ((1, 3), (2, 5), (3, 9), (4, 14), (5, 21), (8, 35), (10, 63), (10, 64), (12, 65))]
+    texts += [prose(rng, rng.randint(12, 50)) for _ in range(25)]
+    items = decontamination.Items(list(enumerate(texts)))
+
+    def edited(text: str, share: float) -> str:
+        chars = list(text)
+        for _ in range(int(share * len(text))):
+            at = rng.randrange(len(chars))
+            chars[at : at + rng.choice([0, 1, 1])] = rng.choice(["", "q", "x", "yz"][: 4 if len(chars) > 3 else 2])
+        return "".join(chars)
+
+    def similar(item: str, text: str) -> bool:
+        distance, end = decontamination.edits_within(item, text)
+        _, back = decontamination.edits_within(item[::-1], text[:end][::-1])
+        return 1 - distance / max(len(item), back) >= decontamination.SIMILARITY
+
+    docs = [f"{prose(rng, 20)} {edited(t, share)} {prose(rng, 20)}" for t in texts for share in (0.1, 0.15, 0.18, 0.2)]
+    docs += [None, "", f"{texts[-1]} {prose(rng, 60)} {texts[-1]}"]
+    got = decontamination.matches(items, pa.array(docs), decontamination.Hasher())
+    norm = [" ".join((t or "").lower().split()) for t in docs]
+    want = {(d, i) for d, text in enumerate(norm) for i, item in enumerate(items.texts) if text and similar(item, text)}
+    assert {(g[0], g[1]) for g in got} == want and len({w for w in want if w[1] >= 9}) > 60
+    assert len([g for g in got if g[:2] == (len(docs) - 1, len(texts) - 1)]) == 2
+    assert not decontamination.matches(items, pa.array([None, "", "zz"]), decontamination.Hasher())
+
+
 def luhn_ok(digits: str) -> bool:
     total = sum(int(d) if k % 2 == 0 else sum(divmod(2 * int(d), 10)) for k, d in enumerate(reversed(digits)))
     return 12 <= len(digits) <= 19 and total % 10 == 0
