@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 MARK = "▁"
-MAX_WORDS = 200_000
+MAX_WORDS = 400_000
 
 
 def model_file() -> str:
@@ -47,28 +47,42 @@ class WordTable:
         # An isolated marker cannot be asked for as a text, since the library adds one in front by itself.
         self.mark = self.processor.piece_to_id(MARK)
         self.split = re.compile(" *[^ ]+| +").findall
+        self.names = [str(i) for i in range(self.processor.get_piece_size())]
+        # Words go without the marker they start with.
         self.ids: dict[str, str] = {}
-        self.text: dict[str, str] = {}
+        self.changed: dict[str, str] = {}  # what a word decodes to, where that is not the word itself
 
     def learn(self, words: set[str]) -> None:
         """Segment new words, each of which starts with the marker that the library puts in front."""
         if len(self.ids) + len(words) > MAX_WORDS:
             self.ids.clear()
-            self.text.clear()
-        new = [w for w in words if w not in self.ids]
-        for word, ids in zip(new, self.processor.encode([w[1:] for w in new], num_threads=1), strict=True):
-            ids = ids or [self.mark]
-            self.ids[word] = ",".join(map(str, ids))
-            # decode() drops the first marker: one more in front keeps the word's own.
-            self.text[word] = self.processor.decode([self.mark, *ids])
+            self.changed.clear()
+        new = list(words.difference(self.ids))
+        encoded = [ids or [self.mark] for ids in self.processor.encode(new, num_threads=1)]
+        # decode() drops the first marker: one more in front keeps the word's own.
+        decoded = self.processor.decode([[self.mark, *ids] for ids in encoded], num_threads=1)
+        for word, ids, text in zip(new, encoded, decoded, strict=True):
+            self.ids[word] = ",".join(map(self.names.__getitem__, ids))
+            if text != f" {word}":
+                self.changed[word] = text
+
+    def words(self, marked: str) -> list[str]:
+        """The marked words of a text with a marker in front; most texts hold single markers between words."""
+        if "  " in marked or marked.endswith(" "):
+            return [word[1:] for word in self.split(marked)]
+        return marked[1:].split(" ")
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[str, str]]:
         """Ids joined by commas, and the decoded text, of each text."""
-        split = [self.split(" " + t.replace(MARK, " ")) if t else [] for t in texts]
+        marked = [" " + t.replace(MARK, " ") if t else "" for t in texts]
+        split = [self.words(m) if m else [] for m in marked]
         self.learn(set().union(*split))
-        for words in split:
+        for whole, words in zip(marked, split, strict=True):
             ids = ",".join(map(self.ids.__getitem__, words))
-            yield ids, "".join(map(self.text.__getitem__, words))[1:]
+            if not self.changed or self.changed.keys().isdisjoint(words):
+                yield ids, whole[1:]
+            else:
+                yield ids, "".join([self.changed.get(word, f" {word}") for word in words])[1:]
 
 
 def encoder(path: str | None = None, ids_as_lists: bool = False):

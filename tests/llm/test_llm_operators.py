@@ -306,6 +306,21 @@ def test_every_leak_down_to_the_similarity_is_found():
     assert not decontamination.matches(items, pa.array([None, "", "zz"]), decontamination.Hasher())
 
 
+def test_words_are_kept_once_and_decode_in_batches(monkeypatch):
+    """Texts of all kinds against the library, with a table that is emptied again and again."""
+    import sentencepiece
+
+    processor = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.model_file())
+    texts = ["  a  b ▁c ", "▁", "▁▁x", " lead", "trail ", "a　b", "ﬁ ① x", "\n \n", "日本 é", "plain words here", "a\tb", "é é"] * 3
+    for limit in (3, 10**6):
+        monkeypatch.setattr(sentencepiece_codec, "MAX_WORDS", limit)
+        table = sentencepiece_codec.WordTable(sentencepiece_codec.model_file())
+        got = [pair for text in texts for pair in table.encode([text])]
+        ids = [processor.encode(text) for text in texts]
+        assert got == [(",".join(map(str, i)), processor.decode(i)) for i in ids]
+    assert "plain" in table.ids and "plain" not in table.changed
+
+
 def luhn_ok(digits: str) -> bool:
     total = sum(int(d) if k % 2 == 0 else sum(divmod(2 * int(d), 10)) for k, d in enumerate(reversed(digits)))
     return 12 <= len(digits) <= 19 and total % 10 == 0
