@@ -42,7 +42,7 @@ class Hasher:
 
     def _grow(self, n: int) -> None:
         if len(self.powers) < n:
-            size = max(n, 2 * SLICE_BYTES)
+            size = 2 * max(n, 1 << 16)
             for name, base in (("powers", BASE), ("inverse", INVERSE)):
                 steps = np.full(size, base, dtype=np.uint64)
                 steps[0] = 1

@@ -28,6 +28,7 @@ from corpusloom.llm.tables import numbered_documents, stored
 
 SPAN = 3
 PAIR_WORDS = 8
+SLICE = 1 << 18  # bytes of text worked on at once: bounds the memory of a task's arrays
 
 
 def sentences(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,7 +47,7 @@ def sentences(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = Hasher()
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SLICE):
         texts = texts_of(batch.column("text"))
         starts, ends, owner = sentences(texts)
         hashes = hasher.spans(hasher.prefix(texts.data), starts, ends)
@@ -77,7 +78,7 @@ def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SLICE):
         texts = texts_of(batch.column("text"))
         starts, _, owner = sentences(texts)
         count = np.bincount(owner, minlength=len(texts))
