@@ -362,6 +362,25 @@ def test_index_search_by_chunks_and_by_postings(spark, tmp_path, monkeypatch):
             assert sorted(bm25.index_search(index, queries, 10, limited).select(*columns).collect()) == want
 
 
+def test_postings_are_written_when_first_read(spark, tmp_path):
+    from corpusloom.operators import bm25
+    from corpusloom.sources import search_index
+
+    texts = ["the cat and the dog", "the straße", "a cat cat cat"]
+    rows = spark.createDataFrame([(f"c{i}", "k", text) for i, text in enumerate(texts)], "chunk_id string, kb_id string, content string")
+    root = tmp_path / "index"
+    index = search_index.build(rows, F.lit(True), str(root))
+    asked = spark.createDataFrame([(1, "the cat a and dog")], "query_id long, text string")
+    scanned = bm25.index_search(index, asked, 3, max_pairs=0).collect()
+    assert not (root / "postings").exists()
+    postings = index.table("postings").join(index.counted.select("chunk_no", "chunk_id"), "chunk_no")
+    got = {(r["term"], r["chunk_id"]): r["tf"] for r in postings.collect()}
+    want = {("the", "c0"): 2, ("cat", "c0"): 1, ("and", "c0"): 1, ("dog", "c0"): 1, ("the", "c1"): 1, ("strasse", "c1"): 1}
+    assert got == want | {("a", "c2"): 1, ("cat", "c2"): 3}
+    by_postings = bm25.index_search(index, asked, 3, max_pairs=10**9).select("query_id", "chunk_id", "score", "position")
+    assert sorted(by_postings.collect()) == sorted((r["query_id"], r["chunk_id"], r["score"], r["position"]) for r in scanned)
+
+
 def test_index_of_nothing(spark, tmp_path):
     from corpusloom.operators import bm25
     from corpusloom.sources import search_index
