@@ -83,11 +83,16 @@ def topic_merge(spark: SparkSession, folder: str) -> DataFrame:
     """Topics drafted per batch (all its long tokens, the most frequent first), merged per document.
 
     A batch of twelve children holds a few hundred tokens at most, so its window and the place in it are bounded.
+    Counting, ranking, merging and the first topics all stay within a document, so the tokens are dealt once by document,
+    to so many tasks that each gets a bounded number of documents however large the input is.
     """
-    tokens = wiki_tables.long_tokens(spark, folder).withColumn(
+    tokens = wiki_tables.long_tokens(spark, folder).select("doc_id", "version_id", "child_index", "token")
+    # The key needs Python, which would hide from Spark that the rows are dealt: it comes first.
+    tokens = tokens.withColumn("merge_key", T.merge_key(F.col("token")))
+    tokens = tables.by_document(tokens, tables.read(spark, folder, "documents").count()).withColumn(
         "batch", wiki_build.batch_number(F.col("child_index"))
     )
-    counted = tokens.groupBy("doc_id", "version_id", "batch", "token").agg(
+    counted = tokens.groupBy("doc_id", "version_id", "batch", "token", "merge_key").agg(
         F.count(F.lit(1)).alias("n"), F.min("child_index").alias("first_child")
     )
     place = Window.partitionBy("doc_id", "version_id", "batch").orderBy(F.desc("n"), "token")
@@ -96,6 +101,7 @@ def topic_merge(spark: SparkSession, folder: str) -> DataFrame:
         "version_id",
         (F.col("batch") * 1000 + F.col("rank")).alias("position"),
         F.col("token").alias("name"),
+        "merge_key",
         F.array(
             F.substring("token", 1, 5), F.col("token"), F.concat(F.substring("token", 1, 3), F.col("batch").cast("string"))
         ).alias("aliases"),

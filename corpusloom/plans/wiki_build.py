@@ -81,9 +81,9 @@ def numbered_claims(merged: DataFrame) -> DataFrame:
 def merge_topics(partials: DataFrame, keep: int = TOPICS_KEPT) -> DataFrame:
     """Merge topic drafts (doc_id, version_id, position, name, aliases, source_indices) by key.
 
-    Aliases are united without the own name; the first five topics of a document stay.
+    Aliases are united without the own name; the first five topics of a document stay. Drafts may bring their `merge_key`.
     """
-    keyed = partials.withColumn("merge_key", T.merge_key(F.col("name")))
+    keyed = partials if "merge_key" in partials.columns else partials.withColumn("merge_key", T.merge_key(F.col("name")))
     merged = keyed.groupBy("doc_id", "version_id", "merge_key").agg(
         F.min_by("name", "position").alias("name"),
         F.min("position").alias("position"),

@@ -17,6 +17,7 @@ from corpusloom.schemas import GIVEN
 
 CHILD_CHARACTERS = 200
 DISABLED_BASES = ("src7", "src13")
+TASK_DOCUMENTS = 4096
 AS_OF = "2024-01-31 00:00:00"
 
 
@@ -54,6 +55,12 @@ def read(spark: SparkSession, folder: str, table: str, spread: bool = False) ->
     return df
 
 
+def by_document(df: DataFrame, documents: int) -> DataFrame:
+    """Rows dealt by doc_id over the session's shuffle partitions, or more of them where a task would get too many documents."""
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(usual, -(-documents // TASK_DOCUMENTS)), "doc_id")
+
+
 def read_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """A given table as a file stream, whether it is one file or a folder of part files."""
     # The pattern names this table only; a file stream accepts one file no other way.

@@ -580,3 +580,14 @@ def test_streams_read_a_file_or_a_folder_of_parts(spark, folder, tmp_path, name)
         spark.read.parquet(f"{folder}/{table}.parquet").repartition(3).write.parquet(f"{tmp_path}/{table}.parquet")
     rows = [sorted(map(str, QUERIES[name](spark, f).collect())) for f in (folder, str(tmp_path))]
     assert rows[0] and rows[0] == rows[1]
+
+
+def test_topics_are_merged_where_their_documents_are(spark, folder):
+    """Tokens are shuffled once, and a task's share of documents does not grow with the input."""
+    from corpusloom.catalog import QUERIES
+
+    plan = QUERIES["topic_merge"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning(doc_id" in line and "ENSURE_REQUIREMENTS" in line]
+    rows = spark.range(10).withColumnRenamed("id", "doc_id")
+    tasks = [tables.by_document(rows, n).rdd.getNumPartitions() for n in (10, 10**6)]
+    assert tasks == [int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(10**6) // tables.TASK_DOCUMENTS)]
