@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Row
@@ -9,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import scan
+from corpusloom.session import pinned
 
 THRESHOLD = 0.1
 EXACT = 4.0
@@ -96,7 +100,8 @@ def metadata_top_k(pages: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Best records per query by exact, slug, relevance, id, with their scores and matched fields.
 
     `pages` is (page_id string, kb_id, title, slug, summary, aliases array), `queries` is
-    (query_id, query normalised[, scope]).
+    (query_id, query normalised[, scope]). Queries of the same text and scope have one answer and are scored once.
+    Where more than one block of queries is asked, the records are written once with their trigrams.
     """
     corpus = pages.select(
         F.col("page_id").alias("chunk_id"),
@@ -108,7 +113,11 @@ def metadata_top_k(pages: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         T.trigrams(F.col("summary")).alias("summary_grams"),
         F.transform("aliases", lambda a: T.trigrams(a)).alias("alias_grams"),
     )
-    asked = queries.withColumn("grams", T.trigrams(F.col("query")))
+    text = [c for c in ("query", "scope") if c in queries.columns]
+    members = pinned(queries.select("query_id", *text))
+    asked = pinned(members.groupBy(*text).agg(F.min("query_id").alias("query_id"))).withColumn("grams", T.trigrams(F.col("query")))
+    if asked.limit(scan.MAX_BLOCK_QUERIES + 1).count() > scan.MAX_BLOCK_QUERIES:
+        corpus, asked = pinned(corpus), pinned(asked)
     hits = scan.scan_top_k(corpus, asked, metadata_kernel, k, extras=FIELDS)
     fields = F.array_compact(
         F.array(
@@ -118,8 +127,11 @@ def metadata_top_k(pages: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             F.when(F.col("slug_matched"), "slug"),
         )
     )
-    return hits.select(
-        "query_id",
+    named = asked.select(F.col("query_id").alias("asked_id"), *[F.col(c).alias(f"asked_{c}") for c in text])
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"asked_{c}")) for c in text])
+    twins = members.join(named, same).select(F.col("query_id").alias("member"), "asked_id")
+    return hits.join(twins, hits["query_id"] == twins["asked_id"]).select(
+        F.col("member").alias("query_id"),
         F.col("chunk_id").alias("page_id"),
         *FIELDS,
         F.greatest("title_score", "summary_score", "alias_score").alias("relevance"),

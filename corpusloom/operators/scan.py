@@ -110,6 +110,13 @@ def keep_best(frame: pd.DataFrame, k: int) -> pd.DataFrame:
     return ordered.groupby("query_id", sort=False).head(k)
 
 
+def full_floors(best: pd.DataFrame, ids: np.ndarray, k: int) -> np.ndarray:
+    """The k-th best score of every query that has k rows: what scores less cannot be among its best."""
+    scores = best.groupby("query_id")["score"].agg(["size", "min"])
+    lowest = scores["min"].where(scores["size"] >= k, -np.inf)
+    return lowest.reindex(ids).fillna(-np.inf).to_numpy()
+
+
 Batch = pd.DataFrame | pa.RecordBatch
 
 
@@ -158,11 +165,14 @@ def scan_top_k(
         ids = np.array([row["query_id"] for row in block])
 
         def scan(batches: Iterator[Batch]) -> Iterator[pd.DataFrame]:
-            best: pd.DataFrame | None = None
+            held: list[pd.DataFrame] = []
+            n_held, floors = 0, np.full(len(block), -np.inf)
             for batch in slices(batches, len(block)):
                 scores, eligible, *carried = kernel(batch)
                 scores = rounded(scores)
-                rows, columns = best_rows(scores, eligible, k)
+                rows, columns = best_rows(scores, eligible & (scores >= floors), k)
+                if not len(rows):
+                    continue
                 found = pd.DataFrame(
                     {
                         "query_id": ids[columns],
@@ -171,9 +181,14 @@ def scan_top_k(
                         **{name: m[rows, columns] for name, m in zip(extras, carried, strict=True)},
                     }
                 )
-                best = keep_best(found if best is None else pd.concat([best, found]), k)
-            if best is not None and len(best):
-                yield best
+                held.append(found)
+                n_held += len(found)
+                # Sorting costs more than scoring: rows are held until there are as many again as can be kept.
+                if n_held > 2 * k * len(block):
+                    held = [keep_best(pd.concat(held), k)]
+                    n_held, floors = len(held[0]), full_floors(held[0], ids, k)
+            if held:
+                yield keep_best(pd.concat(held), k)
 
         def scan_arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for found in scan(batches):

@@ -362,6 +362,61 @@ def test_index_search_by_chunks_and_by_postings(spark, tmp_path, monkeypatch):
             assert sorted(bm25.index_search(index, queries, 10, limited).select(*columns).collect()) == want
 
 
+def test_equal_queries_are_scored_once(spark, monkeypatch):
+    from corpusloom.operators import fuzzy
+
+    pages = spark.createDataFrame(
+        [(f"p{n:02}", "kb1" if n % 3 else "kb2", f"title {n % 4}", f"slug-{n}", "some words", [f"name {n % 5}"]) for n in range(20)],
+        "page_id string, kb_id string, title string, slug string, summary string, aliases array<string>",
+    )
+    asked = [(1, "title 1", None), (2, "title 1", None), (3, "title 1", ["kb2"]), (4, "name 2", None), (5, "title 1", ["kb2"])]
+    queries = spark.createDataFrame(asked, "query_id long, query string, scope array<string>")
+    scored, whole = [], scan.scan_top_k
+    with monkeypatch.context() as patched:
+        patched.setattr(scan, "scan_top_k", lambda corpus, queries, *rest, **more: scored.append(queries.count()) or whole(corpus, queries, *rest, **more))
+        rows = fuzzy.metadata_top_k(pages, queries, 4).collect()
+    assert scored == [3]
+    found = {q: sorted(tuple(r)[1:] for r in rows if r["query_id"] == q) for q, *_ in asked}
+    assert found[1] == found[2] and found[3] == found[5] != found[1] and len(found[4]) == 4
+    alone = fuzzy.metadata_top_k(pages, queries.where("query_id = 5"), 4).collect()
+    assert found[5] == sorted(tuple(r)[1:] for r in alone)
+
+
+def test_scan_sorts_only_what_may_stay(spark, monkeypatch):
+    """Many small slices, ties and queries with few matches: the best rows are those of one sorted list."""
+    import numpy as np
+
+    rng = random.Random(5)
+    values = [rng.randint(0, 30) for _ in range(400)]
+    corpus = spark.createDataFrame([(f"c{n:04}", v) for n, v in enumerate(values)], "chunk_id string, value int").coalesce(1)
+    queries = spark.createDataFrame([(1, 1), (2, 7), (3, 29)], "query_id long, step int")
+    sorts = spark.sparkContext.accumulator(0)
+    whole = scan.keep_best
+
+    def counted(frame, k):
+        sorts.add(1)
+        return whole(frame, k)
+
+    def kernel_of(block):
+        steps = np.array([row["step"] for row in block])
+
+        def kernel(batch):
+            scores = batch["value"].to_numpy()[:, None] % (steps[None, :] + 1) + 0.0
+            return scores, scores > 0
+
+        return kernel
+
+    monkeypatch.setattr(scan, "MAX_CELLS", 30)
+    monkeypatch.setattr(scan, "keep_best", counted)
+    got = scan.scan_top_k(corpus, queries, kernel_of, 5).select("query_id", "chunk_id", "score").collect()
+    want = []
+    for query, step in ((1, 1), (2, 7), (3, 29)):
+        ranked = sorted((-(v % (step + 1)), f"c{n:04}") for n, v in enumerate(values) if v % (step + 1))
+        want += [(query, chunk, float(-score)) for score, chunk in ranked[:5]]
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert 0 < sorts.value < 40  # one sort for each of the 40 slices before
+
+
 def test_postings_are_written_when_first_read(spark, tmp_path):
     from corpusloom.operators import bm25
     from corpusloom.sources import search_index
