@@ -522,3 +522,24 @@ def test_containment_of_nothing(spark):
     assert containment.containing(queries, docs).count() == 0
     some = spark.createDataFrame([(1, "text of words"), (2, "of")], "query_id long, text string")
     assert containment.containing(some, docs.limit(0)).count() == 0
+
+
+def test_index_counts_tokens_without_listing_them(spark, tmp_path, monkeypatch):
+    """Words, single CJK characters, characters beside that range, null and empty texts; no list of tokens is made."""
+    import re
+    from collections import Counter
+
+    from corpusloom.sources import search_index
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choices("aB9z -\n_é中㐀鿿㏿ꀀ一😀ａAゖß", k=rng.randint(0, 30))) for _ in range(300)] + [None, "", "中", "a"]
+    chunks = spark.createDataFrame([(f"c{n:04}", "kb", t) for n, t in enumerate(texts)], "chunk_id string, kb_id string, content string")
+    with monkeypatch.context() as patched:
+        patched.setattr(T, "terms", None)
+        index = search_index.build(chunks, F.lit(True), str(tmp_path / "index"))
+    folded = {r[0]: r[1] for r in chunks.select("chunk_id", T.fold(F.col("content"))).collect()}
+    got = {r["chunk_id"]: r for r in index.counted.collect()}
+    assert set(got) == {f"c{n:04}" for n, t in enumerate(texts) if t is not None}
+    for chunk, row in got.items():
+        want = Counter(re.findall("[a-z0-9]+|[㐀-鿿]", folded[chunk]))
+        assert {t["term"]: t["tf"] for t in row["terms"]} == want and row["length"] == sum(want.values())
