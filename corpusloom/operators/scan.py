@@ -21,6 +21,7 @@ from corpusloom.operators.ordering import top_k
 MAX_BLOCK_QUERIES = 2048
 MAX_CELLS = 1_000_000
 SCORE_DIGITS = 6
+MARGIN = 10.0**-SCORE_DIGITS
 
 
 def query_blocks(queries: DataFrame, key: str, max_rows: int) -> Iterator[list[Row]]:
@@ -45,9 +46,12 @@ def rounded(scores: np.ndarray) -> np.ndarray:
 def allowed_matrix(scopes: list[list | None], bases: np.ndarray) -> np.ndarray:
     """Rows x queries: whether the row's base is in the query's scope; no scope admits all."""
     allowed = np.ones((len(bases), len(scopes)), dtype=bool)
-    for column, scope in enumerate(scopes):
-        if scope is not None:
-            allowed[:, column] = np.isin(bases, np.array(list(scope), dtype=bases.dtype))
+    scoped = [column for column, scope in enumerate(scopes) if scope is not None]
+    if scoped:
+        codes, different = pd.factorize(bases, use_na_sentinel=False)
+        members = [set(scopes[column]) for column in scoped]
+        of_base = np.array([[base in member for member in members] for base in different], dtype=bool)
+        allowed[:, scoped] = of_base.reshape(len(different), len(scoped))[codes]
     return allowed
 
 
@@ -87,7 +91,7 @@ class OwnerIndex:
         columns = self.columns[np.repeat(self.starts[terms], fan) + within]
         cells = np.repeat(rows, fan) * self.width + columns
         flat = np.bincount(cells, np.repeat(values, fan), height * self.width)
-        return flat.astype(np.float64).reshape(height, self.width)
+        return flat.astype(np.float64, copy=False).reshape(height, self.width)
 
 
 def best_rows(scores: np.ndarray, eligible: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,6 +108,25 @@ def best_rows(scores: np.ndarray, eligible: np.ndarray, k: int) -> tuple[np.ndar
     return np.concatenate(rows), np.concatenate(columns)
 
 
+def rows_to_hold(
+    scores: np.ndarray, eligible: np.ndarray, floors: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, query) positions that reach their query's floor, and their rounded scores.
+
+    Few do once floors are high: they are found in one pass over all queries and only they are rounded. Where many do,
+    each query is cut to its k best rows.
+    """
+    hopeful = eligible & (scores >= floors - MARGIN)
+    if np.count_nonzero(hopeful) > 2 * k * scores.shape[1]:
+        scores = rounded(scores)
+        rows, columns = best_rows(scores, eligible & (scores >= floors), k)
+        return rows, columns, scores[rows, columns]
+    rows, columns = np.nonzero(hopeful)
+    values = rounded(scores[rows, columns])
+    kept = values >= floors[columns]
+    return rows[kept], columns[kept], values[kept]
+
+
 def keep_best(frame: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k best rows per query by score, then by id."""
     ordered = frame.sort_values(["query_id", "score", "chunk_id"], ascending=[True, False, True])
@@ -169,15 +192,14 @@ def scan_top_k(
             n_held, floors = 0, np.full(len(block), -np.inf)
             for batch in slices(batches, len(block)):
                 scores, eligible, *carried = kernel(batch)
-                scores = rounded(scores)
-                rows, columns = best_rows(scores, eligible & (scores >= floors), k)
+                rows, columns, values = rows_to_hold(scores, eligible, floors, k)
                 if not len(rows):
                     continue
                 found = pd.DataFrame(
                     {
                         "query_id": ids[columns],
                         "chunk_id": column_of(batch, "chunk_id")[rows],
-                        "score": scores[rows, columns],
+                        "score": values,
                         **{name: m[rows, columns] for name, m in zip(extras, carried, strict=True)},
                     }
                 )

@@ -543,3 +543,27 @@ def test_index_counts_tokens_without_listing_them(spark, tmp_path, monkeypatch):
     for chunk, row in got.items():
         want = Counter(re.findall("[a-z0-9]+|[㐀-鿿]", folded[chunk]))
         assert {t["term"]: t["tf"] for t in row["terms"]} == want and row["length"] == sum(want.values())
+
+
+def test_scan_cuts_queries_one_by_one_only_where_many_rows_reach_the_floors(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    scores, floors = rng.random((200, 40)), np.full(40, 0.97)
+    floors[7], eligible = -np.inf, rng.random((200, 40)) < 0.9
+    eligible[:, 7] = np.arange(200) < 3
+    with monkeypatch.context() as patched:
+        patched.setattr(scan, "best_rows", None)
+        rows, columns, values = scan.rows_to_hold(scores, eligible, floors, 5)
+    whole = scan.rounded(scores)
+    at = np.nonzero(eligible & (whole >= floors))
+    assert set(zip(rows, columns, values, strict=True)) == set(zip(*at, whole[at], strict=True)) and len(rows) > 3
+    assert len(scan.rows_to_hold(scores, eligible, np.full(40, -np.inf), 5)[0]) == 39 * 5 + 3
+
+
+def test_scopes_are_decided_once_for_each_base():
+    import numpy as np
+
+    bases = np.array(["a", "b", None, "a", "c"], dtype=object)
+    got = scan.allowed_matrix([None, ["a"], [], ["c", "b"]], bases)
+    assert got.T.tolist() == [[True] * 5, [True, False, False, True, False], [False] * 5, [False, True, False, False, True]]
