@@ -12,7 +12,7 @@ from corpusloom.functions import text as T
 from corpusloom.operators import containment, mmr
 from corpusloom.plans import evaluate, integrity, page_model, retrieve, wiki_search
 from corpusloom.plugins import token_overlap_score
-from corpusloom.session import pinned
+from corpusloom.session import broadcast_if_small, pinned
 from corpusloom.sources import search_index, tables, wiki_tables
 
 
@@ -54,19 +54,24 @@ def trigram_title_match(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def evidence(spark: SparkSession, folder: str) -> DataFrame:
-    """Current evidence, written once: several steps read it."""
+def evidence(spark: SparkSession, folder: str, chunks: DataFrame | None = None) -> DataFrame:
+    """Current evidence, written once: several steps read it. Searches give the `chunks` that their index holds."""
+    chunks = tables.chunks(spark, folder) if chunks is None else chunks
     return pinned(
         integrity.current_evidence(
             wiki_tables.wiki_pages(spark, folder),
-            wiki_tables.claims(spark, folder),
-            wiki_tables.claim_sources(spark, folder),
+            wiki_tables.claims_of(spark, folder, chunks),
+            wiki_tables.claim_sources_of(chunks),
             tables.documents_dim(spark, folder),
-            tables.chunks(spark, folder),
+            chunks,
         )
     )
 
 
+def indexed_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    return evidence(spark, folder, search_index.of(spark, folder).chunks)
+
+
 def sentence_sources(spark: SparkSession, folder: str) -> DataFrame:
     """Candidate sources of the wiki queries, written once: several steps read them."""
     asked = wiki_queries(spark, folder).select("query_id", F.col("query").alias("text"))
@@ -84,7 +89,7 @@ def sentence_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def provenance_channel(spark: SparkSession, folder: str) -> DataFrame:
-    rows = wiki_search.provenance_channel(sentence_sources(spark, folder), evidence(spark, folder))
+    rows = wiki_search.provenance_channel(sentence_sources(spark, folder), indexed_evidence(spark, folder))
     return rows.select(
         "query_id", "page_id", F.col("source_rank").cast("long").alias("source_rank"),
         F.col("position").cast("long").alias("position"),
@@ -93,7 +98,7 @@ def provenance_channel(spark: SparkSession, folder: str) -> DataFrame:
 
 def scored_claims(spark: SparkSession, folder: str) -> DataFrame:
     """Claims of the pages in the provenance channel, scored for its queries."""
-    sources, facts = sentence_sources(spark, folder), evidence(spark, folder)
+    sources, facts = sentence_sources(spark, folder), indexed_evidence(spark, folder)
     asked = wiki_search.provenance_channel(sources, facts).join(
         wiki_queries(spark, folder).select("query_id", "query"), "query_id"
     )
@@ -131,7 +136,7 @@ def searched(spark: SparkSession, folder: str) -> DataFrame:
 def search_inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Queries, pages, evidence and candidate sources."""
     asked, pages = wiki_queries(spark, folder), wiki_tables.wiki_pages(spark, folder)
-    return asked, pages, evidence(spark, folder), sentence_sources(spark, folder)
+    return asked, pages, indexed_evidence(spark, folder), sentence_sources(spark, folder)
 
 
 def wiki_search_sources(spark: SparkSession, folder: str) -> DataFrame:
@@ -316,7 +321,8 @@ def eval_no_match(spark: SparkSession, folder: str) -> DataFrame:
     answerable = expected(spark, folder).select(F.col("query_id").alias("case_id")).distinct()
     asked = wiki_queries(spark, folder)
     unanswerable = asked.join(answerable, "case_id", "left_anti").select("query_id")
-    texts = found.join(wiki_tables.claims(spark, folder).select("claim_id", "text"), "claim_id")
+    claims = wiki_tables.claims_of(spark, folder, search_index.of(spark, folder).chunks).select("claim_id", "text")
+    texts = claims.join(broadcast_if_small(found), "claim_id")
     words = F.filter(T.token_set(F.col("text")), lambda w: F.length(w) >= 12)
     forbidden = asked.select("query_id", F.explode(words).alias("term"))
     return evaluate.false_matches(unanswerable, found, texts, forbidden)
@@ -324,8 +330,15 @@ def eval_no_match(spark: SparkSession, folder: str) -> DataFrame:
 
 def eval_leaks(spark: SparkSession, folder: str) -> DataFrame:
     """Leaks if search returned every claim citing a found source instead of the admissible ones."""
-    cited = sentence_sources(spark, folder).join(wiki_tables.claim_sources(spark, folder), "chunk_id")
-    return evaluate.leak_counts(cited, wiki_tables.claims(spark, folder), checked_sources(spark, folder))
+    chunks = search_index.of(spark, folder).chunks
+    sources = wiki_tables.claim_sources_of(chunks)
+    found = broadcast_if_small(sentence_sources(spark, folder).select("chunk_id"))
+    ids = broadcast_if_small(sources.join(found, "chunk_id").select("claim_id").distinct())
+    claims = wiki_tables.claims_of(spark, folder, chunks).join(ids, "claim_id", "left_semi")
+    checked = integrity.narrowed_validity(
+        sources.join(ids, "claim_id", "left_semi"), tables.documents_dim(spark, folder), chunks
+    )
+    return evaluate.leak_counts(ids, claims, checked)
 
 
 QUERIES = {

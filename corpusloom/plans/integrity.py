@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.session import broadcast_if_small, pinned
+
+SHORT_ROWS = 500_000  # rows of one or two short ids that may be sent to every task
 
 
 def chunk_digests(chunks: DataFrame) -> DataFrame:
@@ -36,6 +39,13 @@ def source_validity(sources: DataFrame, documents: DataFrame, chunks: DataFrame)
     )
 
 
+def narrowed_validity(sources: DataFrame, documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """`source_validity` of a part of the sources: only chunks of the versions they name are digested and moved."""
+    named = pinned(sources)
+    versions = broadcast_if_small(named.select("version_id").distinct(), SHORT_ROWS)
+    return source_validity(named, documents, chunks.join(versions, "version_id", "left_semi"))
+
+
 def displayed_trust(claims: DataFrame, checked: DataFrame) -> DataFrame:
     """Claims as shown on a page: verified only with sources of which every one is valid."""
     rolled = checked.groupBy("claim_id").agg(
@@ -111,13 +121,19 @@ def current_evidence(
 
     (page_id, kb_id, claim_id, text, position, claim_type, chunk_id, doc_id): the page is live in
     an enabled base with its wiki on, the document belongs to the same base.
+
+    Only the claims of such pages, their sources and the chunks of the versions these name are compared; the rest goes
+    first, so that neither side of the comparison is shuffled whole.
     """
-    shown = pages.where("enabled AND wiki_enabled").select("page_id", "kb_id")
-    facts = claims.where("trust_state = 'verified'").select(
-        "claim_id", "page_id", "text", "position", "claim_type"
+    shown = broadcast_if_small(pages.where("enabled AND wiki_enabled").select("page_id", "kb_id"), SHORT_ROWS)
+    own = claims.join(shown, "page_id", "left_semi")
+    facts = pinned(
+        own.where("trust_state = 'verified'")
+        .select("claim_id", "page_id", "text", "position", "claim_type")
+        .join(shown, "page_id")
     )
     homes = documents.select("doc_id", "kb_id")
-    valid = source_validity(sources, documents, chunks).where("valid").select("claim_id", "doc_id", "chunk_id")
-    return (
-        facts.join(shown, "page_id").join(valid, "claim_id").join(homes, ["doc_id", "kb_id"])
-    )
+    asked = broadcast_if_small(facts.select("claim_id", "kb_id").distinct(), SHORT_ROWS)
+    named = sources.join(asked, "claim_id").join(homes, ["doc_id", "kb_id"])
+    valid = narrowed_validity(named, documents, chunks).where("valid")
+    return facts.join(valid.select("claim_id", "kb_id", "doc_id", "chunk_id"), ["claim_id", "kb_id"])

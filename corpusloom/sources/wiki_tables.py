@@ -59,15 +59,13 @@ def wiki_pages(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _first_version_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return tables.chunks(spark, folder).where("version_no = 1")
+def claims_of(spark: SparkSession, folder: str, chunks: DataFrame) -> DataFrame:
+    """One claim per section of a document's first version, with its stored trust state.
 
-
-@tables.plan_once
-def claims(spark: SparkSession, folder: str) -> DataFrame:
-    """One claim per section of a document's first version, with its stored trust state."""
+    `chunks` are those of `tables.chunks`, cut anew or as the search index holds them.
+    """
     quality = tables.read(spark, folder, "labels").select("doc_id", "quality")
-    parents = _first_version_chunks(spark, folder).where("kind = 'parent'")
+    parents = chunks.where("version_no = 1 AND kind = 'parent'")
     claim = F.concat_ws("-", F.lit("c"), F.col("doc_id").cast("string"), F.col("section_no").cast("string"))
     facts = parents.select(
         claim.alias("claim_id"),
@@ -85,9 +83,13 @@ def claims(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @tables.plan_once
-def claim_sources(spark: SparkSession, folder: str) -> DataFrame:
+def claims(spark: SparkSession, folder: str) -> DataFrame:
+    return claims_of(spark, folder, tables.chunks(spark, folder))
+
+
+def claim_sources_of(chunks: DataFrame) -> DataFrame:
     """Locator snapshots: the children of a claim's section; some digests have drifted."""
-    children = _first_version_chunks(spark, folder).where("kind = 'child'")
+    children = chunks.where("version_no = 1 AND kind = 'child'")
     drifted = (F.col("doc_id") % 7 == 0) & (F.col("child_no") > 1)
     claim = F.concat_ws("-", F.lit("c"), F.col("doc_id").cast("string"), F.col("section_no").cast("string"))
     return children.select(
@@ -103,6 +105,11 @@ def claim_sources(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@tables.plan_once
+def claim_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return claim_sources_of(tables.chunks(spark, folder))
+
+
 @tables.plan_once
 def active_children(spark: SparkSession, folder: str) -> DataFrame:
     """Children of active versions with their 1-based number inside the version."""

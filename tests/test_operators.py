@@ -567,3 +567,30 @@ def test_scopes_are_decided_once_for_each_base():
     bases = np.array(["a", "b", None, "a", "c"], dtype=object)
     got = scan.allowed_matrix([None, ["a"], [], ["c", "b"]], bases)
     assert got.T.tolist() == [[True] * 5, [True, False, False, True, False], [False] * 5, [False, True, False, False, True]]
+
+
+def test_evidence_compares_only_chunks_its_claims_name(spark, monkeypatch):
+    from corpusloom.plans import integrity
+
+    pages = [("1", "kb1", True, True), ("2", "kb1", True, False), ("3", "kb2", False, True), ("5", "kb1", True, True)]
+    claims = [(f"c{d}-{n}", str(d), f"text {n}", n, "fact", "verified" if n < 2 else "needs_review") for d in range(1, 6) for n in range(3)]
+    sources = [(f"c{d}-{n}", d, f"{d}-v1", f"{d}-{n}", "child", n, T.sha256_hex(F.lit(""))) for d in range(1, 6) for n in range(3)]
+    digests = {f"{d}-{n}": f"body {d} {n}" for d in range(1, 6) for n in range(3)}
+    chunks = spark.createDataFrame([(f"{d}-v1", "child", n, f"{d}-{n}", digests[f"{d}-{n}"]) for d in range(1, 6) for n in range(3)],
+                                   "version_id string, kind string, ordinal int, chunk_id string, content string")
+    told = spark.createDataFrame([row[:6] + (digests[row[3]] if row[5] else "drifted",) for row in sources],
+                                 "claim_id string, doc_id long, version_id string, chunk_id string, chunk_kind string, chunk_ordinal int, body string")
+    told = told.withColumn("content_sha256", T.sha256_hex(F.col("body"))).drop("body")
+    documents = [(d, "kb2" if d == 3 else "kb9" if d == 5 else "kb1", False, "ready", f"{d}-v1") for d in range(1, 6)]
+    compared, whole = [], integrity.chunk_digests
+    with monkeypatch.context() as patched:
+        patched.setattr(integrity, "chunk_digests", lambda rows: compared.append(rows.count()) or whole(rows))
+        got = integrity.current_evidence(
+            spark.createDataFrame(pages, "page_id string, kb_id string, enabled boolean, wiki_enabled boolean"),
+            spark.createDataFrame(claims, "claim_id string, page_id string, text string, position int, claim_type string, trust_state string"),
+            told,
+            spark.createDataFrame(documents, "doc_id long, kb_id string, deleted boolean, status string, active_version_id string"),
+            chunks,
+        ).collect()
+    assert [(r["page_id"], r["kb_id"], r["claim_id"], r["chunk_id"], r["doc_id"]) for r in got] == [("1", "kb1", "c1-1", "1-1", 1)]
+    assert compared == [3]
