@@ -64,13 +64,15 @@ def metadata_kernel(block: list[Row]) -> scan.Kernel:
         prefix = np.zeros((len(batch), len(block)), dtype=bool)
         names = zip(batch["low_title"], batch["low_slug"], batch["low_aliases"], strict=True)
         for row, (title, slug, aliases) in enumerate(names):
-            exact[row, by_slug.get(slug, [])] = True
-            for name in (title, *aliases):
-                exact[row, by_name.get(name, [])] = True
+            for columns in (by_slug.get(slug), *(by_name.get(name) for name in (title, *aliases))):
+                if columns:
+                    exact[row, columns] = True
             for length in lengths:
                 if length > len(slug):
                     break
-                prefix[row, by_slug.get(slug[:length], [])] = True
+                columns = by_slug.get(slug[:length])
+                if columns:
+                    prefix[row, columns] = True
         return exact, prefix
 
     def kernel(batch: pd.DataFrame) -> tuple:
@@ -101,9 +103,15 @@ def metadata_top_k(pages: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     `pages` is (page_id string, kb_id, title, slug, summary, aliases array), `queries` is
     (query_id, query normalised[, scope]). Queries of the same text and scope have one answer and are scored once.
-    Where more than one block of queries is asked, the records are written once with their trigrams.
+    Where more than one block of queries is asked, the records are written once with their trigrams; else they are dealt
+    over the cores, for narrow records that come out of a join would be merged into a task or two.
     """
-    corpus = pages.select(
+    text = [c for c in ("query", "scope") if c in queries.columns]
+    members = pinned(queries.select("query_id", *text))
+    asked = pinned(members.groupBy(*text).agg(F.min("query_id").alias("query_id"))).withColumn("grams", T.trigrams(F.col("query")))
+    blocks = asked.limit(scan.MAX_BLOCK_QUERIES + 1).count() > scan.MAX_BLOCK_QUERIES
+    dealt = pages if blocks else pages.repartition(pages.sparkSession.sparkContext.defaultParallelism, "page_id")
+    corpus = dealt.select(
         F.col("page_id").alias("chunk_id"),
         "kb_id",
         F.lower("title").alias("low_title"),
@@ -113,10 +121,7 @@ def metadata_top_k(pages: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         T.trigrams(F.col("summary")).alias("summary_grams"),
         F.transform("aliases", lambda a: T.trigrams(a)).alias("alias_grams"),
     )
-    text = [c for c in ("query", "scope") if c in queries.columns]
-    members = pinned(queries.select("query_id", *text))
-    asked = pinned(members.groupBy(*text).agg(F.min("query_id").alias("query_id"))).withColumn("grams", T.trigrams(F.col("query")))
-    if asked.limit(scan.MAX_BLOCK_QUERIES + 1).count() > scan.MAX_BLOCK_QUERIES:
+    if blocks:
         corpus, asked = pinned(corpus), pinned(asked)
     hits = scan.scan_top_k(corpus, asked, metadata_kernel, k, extras=FIELDS)
     fields = F.array_compact(

@@ -594,3 +594,19 @@ def test_evidence_compares_only_chunks_its_claims_name(spark, monkeypatch):
         ).collect()
     assert [(r["page_id"], r["kb_id"], r["claim_id"], r["chunk_id"], r["doc_id"]) for r in got] == [("1", "kb1", "c1-1", "1-1", 1)]
     assert compared == [3]
+
+
+def test_narrow_records_are_dealt_over_the_cores(spark, monkeypatch):
+    from corpusloom.operators import fuzzy
+
+    pages = spark.createDataFrame(
+        [(f"p{n:02}", "kb1", f"title {n % 4}", f"title-{n}", "some words", [f"name {n % 5}"]) for n in range(40)],
+        "page_id string, kb_id string, title string, slug string, summary string, aliases array<string>",
+    ).coalesce(1)
+    queries = spark.createDataFrame([(1, "title 1"), (2, "name 2"), (3, "title")], "query_id long, query string")
+    parts, whole = [], scan.scan_top_k
+    with monkeypatch.context() as patched:
+        patched.setattr(scan, "scan_top_k", lambda corpus, *rest, **more: parts.append(corpus.rdd.getNumPartitions()) or whole(corpus, *rest, **more))
+        rows = fuzzy.metadata_top_k(pages, queries, 4).collect()
+    assert parts == [spark.sparkContext.defaultParallelism]
+    assert sorted(r["page_id"] for r in rows if r["query_id"] == 1) == ["p01", "p05", "p13", "p17"]
