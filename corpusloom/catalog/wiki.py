@@ -142,8 +142,12 @@ def page_alias_set(spark: SparkSession, folder: str) -> DataFrame:
     return aliases.select("page_id", "alias", "normalized_alias", F.col("position").cast("long").alias("position"))
 
 
+def with_short_alias(topics: DataFrame) -> DataFrame:
+    return topics.withColumn("aliases", F.array(F.substring("name", 1, 5)))
+
+
 def wiki_topics(spark: SparkSession, folder: str) -> DataFrame:
-    return wiki_tables.topics(spark, folder).withColumn("aliases", F.array(F.substring("name", 1, 5)))
+    return with_short_alias(wiki_tables.topics(spark, folder))
 
 
 def topic_components(spark: SparkSession, folder: str) -> DataFrame:
@@ -156,13 +160,14 @@ def topic_components(spark: SparkSession, folder: str) -> DataFrame:
 
 def wiki_topic_parts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Topics, their identities and evidence, each written once: several steps read them."""
-    topics = pinned(wiki_topics(spark, folder))
+    mentions = pinned(wiki_tables.topic_mentions(spark, folder))
+    topics = with_short_alias(mentions.drop("chunk_ids"))
     identities = pinned(wiki_build.topic_identities(topics))
     evidence = pinned(
         wiki_build.topic_evidence(
             topics,
             identities,
-            wiki_tables.topic_sources(spark, folder),
+            wiki_tables.topic_sources_of(mentions),
             wiki_tables.claims(spark, folder),
             wiki_tables.claim_sources(spark, folder),
         )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -132,21 +132,33 @@ def long_tokens(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _first_topics(spark: SparkSession, folder: str, *more: Column) -> DataFrame:
+    """Five most frequent long tokens of each document, with `more` aggregates of their mentions.
+
+    A document has one active version, by which its tokens lie together already: with the version in every key, neither
+    counting nor ranking shuffles them again.
+    """
+    document = ["kb_id", "doc_id", "version_id"]
+    counted = long_tokens(spark, folder).groupBy(*document, F.col("token").alias("name")).agg(F.count(F.lit(1)).alias("n"), *more)
+    return top_k(counted, document, [F.desc("n"), "name"], 5)
+
+
 @tables.plan_once
 def topics(spark: SparkSession, folder: str) -> DataFrame:
     """Five most frequent long tokens of each document as its topics, in rank order."""
-    counted = long_tokens(spark, folder).groupBy("kb_id", "doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
-    return top_k(counted, ["kb_id", "doc_id"], [F.desc("n"), "token"], 5).select(
-        "kb_id", "doc_id", F.col("token").alias("name"), "rank"
-    )
+    return _first_topics(spark, folder).select("kb_id", "doc_id", "name", "rank")
 
 
 @tables.plan_once
-def topic_sources(spark: SparkSession, folder: str) -> DataFrame:
+def topic_mentions(spark: SparkSession, folder: str) -> DataFrame:
+    """(kb_id, doc_id, name, rank, chunk_ids): the topics, each with the children of its document that mention it."""
+    chunk_ids = F.collect_set("chunk_id").alias("chunk_ids")
+    return _first_topics(spark, folder, chunk_ids).select("kb_id", "doc_id", "name", "rank", "chunk_ids")
+
+
+def topic_sources_of(mentions: DataFrame) -> DataFrame:
     """(kb_id, doc_id, name, chunk_id): the children that mention a document's topic."""
-    mentioned = long_tokens(spark, folder).select("kb_id", "doc_id", F.col("token").alias("name"), "chunk_id")
-    own = topics(spark, folder).select("kb_id", "doc_id", "name")
-    return mentioned.join(own, ["kb_id", "doc_id", "name"]).distinct()
+    return mentions.select("kb_id", "doc_id", "name", F.explode("chunk_ids").alias("chunk_id"))
 
 
 @tables.plan_once

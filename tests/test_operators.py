@@ -610,3 +610,26 @@ def test_narrow_records_are_dealt_over_the_cores(spark, monkeypatch):
         rows = fuzzy.metadata_top_k(pages, queries, 4).collect()
     assert parts == [spark.sparkContext.defaultParallelism]
     assert sorted(r["page_id"] for r in rows if r["query_id"] == 1) == ["p01", "p05", "p13", "p17"]
+
+
+def test_topics_lie_by_version_and_are_not_dealt_again(spark, monkeypatch):
+    from collections import Counter
+
+    from corpusloom.sources import wiki_tables
+
+    rng = random.Random(4)
+    words = [f"{c * 5}word" for c in "abcdefgh"] + ["short"]
+    rows = [("kb1" if d < 20 else "kb2", d, f"{d}-v1", f"{d}/{n}", n, rng.choice(words)) for d in range(30) for n in range(8) for _ in range(rng.randint(0, 4))]
+    tokens = spark.createDataFrame(rows, "kb_id string, doc_id long, version_id string, chunk_id string, child_index int, token string")
+    monkeypatch.setattr(wiki_tables, "long_tokens", lambda spark, folder: tokens.repartition(6, "version_id"))
+    mentions = wiki_tables.topic_mentions(spark, "tokens of a test")
+    assert mentions._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    want = {}
+    for doc in {row[1] for row in rows}:
+        counted = Counter(row[5] for row in rows if row[1] == doc)
+        for rank, (name, _) in enumerate(sorted(counted.items(), key=lambda item: (-item[1], item[0]))[:5], 1):
+            want[doc, name] = rank, sorted({row[3] for row in rows if row[1] == doc and row[5] == name})
+    got = mentions.collect()
+    assert {(r["doc_id"], r["name"]): (r["rank"], sorted(r["chunk_ids"])) for r in got} == want and len(got) == len(want)
+    pairs = {(r["doc_id"], r["name"], r["chunk_id"]) for r in wiki_tables.topic_sources_of(mentions).collect()}
+    assert pairs == {(doc, name, chunk) for (doc, name), (_, chunks) in want.items() for chunk in chunks}
