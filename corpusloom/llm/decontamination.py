@@ -2,8 +2,10 @@
 
 No place at `SIMILARITY` or more is left out. Edits that leave a piece that similar destroy a bounded number of the
 item's runs of four characters, and the others stand in the text on neighbouring diagonals (`spared`): only regions
-with that many are looked at. There the item's parts of up to 64 characters are run through the region bit by bit,
-many regions at once; the sum of their least distances is a lower bound of the edit distance (`hopeful`).
+with that many are looked at. A run counts once, however often it stands there, and the item's most frequent runs may
+be left out if as many fewer are asked for. In a region the item's parts of up to 64 characters are run bit by bit
+through the text on its diagonals, many regions at once; the sum of their least distances is a lower bound of the edit
+distance (`hopeful`).
 
 The CGK walk reads a string with random bits: at each step it writes the current character and moves on if the
 bit for (step, character) is one, so strings at a small edit distance give outputs at a small Hamming distance.
@@ -37,7 +39,10 @@ RECALL = 0.95
 BITS = 2
 BLOCK_ITEMS, BLOCK_BYTES = 4096, 4 << 20
 GRAM, SPARED = 4, 4
-CELLS = 8  # cells of diagonals for each stretch that an item's edits may shift
+RUN_TABLE = 1 << 23
+TEXT_BYTES = 2 << 20
+CELLS = 2  # cells of diagonals for each stretch that an item's edits may shift
+CROWD = 200  # windows of an item in a slice from which on repeated runs are told apart
 LANES, PART = 4096, 64
 
 
@@ -153,6 +158,9 @@ class Items:
             spare = np.repeat(PART - width, width)
             np.bitwise_or.at(self.masks, (part, letters), np.uint64(1) << (np.arange(len(c)) % PART + spare).astype(np.uint64))
         self.masks |= ((np.uint64(1) << (PART - self.width - 1).astype(np.uint64)) * np.uint64(2) - np.uint64(1))[:, None] * (self.width < PART)[:, None]
+        # Numbers of letters and of runs by their letters, made where they are used.
+        self.letter: np.ndarray | None = None
+        self.run: dict[int, np.ndarray] = {}
         self.samples = np.random.default_rng(99).random((self.tables(), BITS))
         # What the walk over each item writes at the sampled positions, which lie in the steps that read it.
         self.sampled = np.zeros((len(rows), *self.samples.shape), dtype=np.int16)
@@ -190,17 +198,54 @@ class Items:
             many = math.ceil(many * 1.1)
         return many
 
-    def regions(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def letters(self, codes: np.ndarray) -> np.ndarray:
+        """The place of every character in the alphabet; one past its end for all others."""
+        other = len(self.alphabet)
+        if other and self.alphabet[-1] < 1 << 16:
+            if self.letter is None:
+                self.letter = np.full(1 << 16, other, dtype=np.int32)
+                self.letter[self.alphabet] = np.arange(other)
+            out = self.letter[np.minimum(codes, 0xFFFF)]
+            if codes.size and codes.max() >= 1 << 16:
+                out[codes >= 1 << 16] = other
+            return out
+        out = np.searchsorted(self.alphabet, codes).astype(np.int32)
+        out[self.alphabet[np.minimum(out, other - 1)] != codes] = other
+        return out
+
+    def known_runs(self, codes: np.ndarray, letters: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
+        """The runs of `q` characters that an item has: their numbers and where they start."""
+        vocabulary, base = self.vocabulary[q], len(self.alphabet) + 1
+        if base**q > RUN_TABLE or self.alphabet[-1] >= 1 << 16:
+            runs = grams_of(codes, q)
+            number = np.minimum(np.searchsorted(vocabulary, runs), len(vocabulary) - 1)
+            at = np.flatnonzero(vocabulary[number] == runs)
+            return number[at], at
+        if q not in self.run:
+            spelt = np.zeros(len(vocabulary), dtype=np.int64)
+            for j in range(q):
+                letter = (vocabulary >> np.uint64(16 * (q - 1 - j))) & np.uint64(0xFFFF)
+                spelt = spelt * base + np.searchsorted(self.alphabet, letter.astype(np.uint32))
+            self.run[q] = np.full(base**q, -1, dtype=np.int32)
+            self.run[q][spelt] = np.arange(len(vocabulary))
+        many = max(0, len(letters) - q + 1)
+        runs = letters[:many].copy()
+        for j in range(1, q):
+            runs *= np.int32(base)
+            runs += letters[j : j + many]
+        number = self.run[q][runs]
+        at = np.flatnonzero(number >= 0)
+        return number[at], at
+
+    def regions(self, codes: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(item, start, end) of every region of a slice that may hold an item; regions of an item may overlap."""
         found: list[tuple[np.ndarray, ...]] = []
         for q, vocabulary in self.vocabulary.items():
-            runs = grams_of(codes, q)
-            if not len(runs):
+            number, at = self.known_runs(codes, letters, q)
+            if not len(at):
                 continue
-            number = np.minimum(np.searchsorted(vocabulary, runs), len(vocabulary) - 1)
-            at = np.flatnonzero(vocabulary[number] == runs)
-            number = number[at]
-            places = at[np.argsort(number.astype(np.int32), kind="stable")].astype(np.int32)
+            narrow = number.astype(np.uint16 if len(vocabulary) <= 1 << 16 else np.int32)
+            places = at[np.argsort(narrow, kind="stable")].astype(np.int32)
             many = np.bincount(number, minlength=len(vocabulary))
             first = np.cumsum(many) - many
             for i, size in enumerate(self.size):
@@ -217,19 +262,43 @@ class Items:
         own, m = self.grams[i], int(self.length[i])
         shift = shift_of(m)
         cell = max(1, (shift + 1) // CELLS)
+        span = -(-shift // cell) + 1
         count = many[own]
-        total = int(count.sum())
-        if total < self.needed[i]:
+        if np.count_nonzero(count) < self.needed[i]:
             none = np.empty(0, dtype=np.int64)
             return none, none
+        # Of the runs that must be left, some may be the most frequent ones: without these as many fewer must be found.
+        order = np.argsort(-count, kind="stable")
+        chance = (count.sum() - np.cumsum(count[order]) + count[order])[: self.needed[i]] * (span * cell / n)
+        # By how many standard deviations that is more than a window has by chance.
+        sure = (self.needed[i] - np.arange(len(chance)) - chance) / np.sqrt(chance + 1e-9)
+        dropped = int(np.argmax(sure))
+        needed = self.needed[i] - dropped
+        at = np.sort(order[dropped:])
+        at = at[count[at] > 0]
+        own, count = own[at], count[at]
+        if len(own) < needed:
+            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
         # The run at place p of the item, found at x, lies on diagonal x - p; m is added so that none is negative.
         begin = np.cumsum(count) - count
-        index = np.repeat((first[own] - begin).astype(np.int32), count) + np.arange(total, dtype=np.int32)
-        diagonal = places[index] + np.repeat((m - np.arange(len(own))).astype(np.int32), count)
-        span = -(-shift // cell) + 1
-        cells = np.bincount(diagonal // np.int32(cell), minlength=(n + m) // cell + span + 1)
-        sums = np.concatenate(([0], np.cumsum(cells)))
-        hit = np.flatnonzero(sums[span:] - sums[:-span] >= self.needed[i])
+        found = [places[a : a + c] for a, c in zip(first[own].tolist(), count.tolist(), strict=True)]
+        # One cell more, so that sums begin with none.
+        at_cell = np.concatenate(found)
+        at_cell += np.repeat((m + cell - at).astype(np.int32), count)
+        at_cell //= np.int32(cell)
+        sums = np.bincount(at_cell, minlength=(n + m) // cell + span + 2)
+        np.cumsum(sums, out=sums)
+        sums = sums[span:] - sums[:-span]
+        hit = np.flatnonzero(sums >= needed)
+        if len(hit) > CROWD:
+            # A run counts once in a window of cells, however often it stands there.
+            twice = at_cell[1:] - at_cell[:-1] < span
+            twice[begin[1:] - 1] = False
+            twice = np.flatnonzero(twice)
+            less = np.bincount(np.maximum(0, at_cell[1:][twice] - span), minlength=len(sums))
+            less -= np.bincount(at_cell[twice], minlength=len(sums))
+            sums -= np.cumsum(less, out=less)
+            hit = np.flatnonzero(sums >= needed)
         if not len(hit):
             return hit, hit
         # Windows that follow each other become one region, but none much longer than the item.
@@ -238,28 +307,30 @@ class Items:
         piece = (hit - hit[fresh][run]) // max(1, m // cell)
         fresh |= np.append(True, np.diff(piece) != 0)
         last = np.append(np.flatnonzero(fresh)[1:] - 1, len(hit) - 1)
-        starts, ends = hit[fresh] * cell - m, (hit[last] + span) * cell
-        return np.maximum(0, starts), np.minimum(n, ends)
+        return hit[fresh] * cell - m, (hit[last] + span) * cell
 
-    def hopeful(self, codes: np.ndarray, item: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def hopeful(self, letters: np.ndarray, item: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Whether the least distances of an item's parts to a region sum up to few enough edits (bit-parallel)."""
-        letters = np.searchsorted(self.alphabet, codes)
-        letters[self.alphabet[np.minimum(letters, len(self.alphabet) - 1)] != codes] = len(self.alphabet)
-        letters = np.append(letters, len(self.alphabet))
+        n = len(letters)
+        letters = np.append(letters, np.int32(len(self.alphabet)))
         allowed = (1 / SIMILARITY - 1) * self.length[item] + 1e-9
         total = np.zeros(len(item), dtype=np.int64)
         parts = np.array(self.parts)[item]
         for number in range(int(parts.max()) if len(item) else 0):
             # Regions whose first parts already need too many edits are done.
             live = np.flatnonzero((parts > number) & (total <= allowed))
-            live = live[np.argsort((end - start)[live], kind="stable")]
+            # A part stands on the region's diagonals, so only there is it looked for.
+            part = self.first_part[item[live]] + number
+            low = np.maximum(0, start[live] + number * PART)
+            size = np.minimum(n, (end - self.length[item])[live] + number * PART + self.width[part]) - low
+            order = np.argsort(size, kind="stable")
             for at in range(0, len(live), LANES):
-                lanes = live[at : at + LANES]
-                total[lanes] += self.least(letters, self.first_part[item[lanes]] + number, start[lanes], end[lanes])
+                lanes = order[at : at + LANES]
+                total[live[lanes]] += self.least(letters, part[lanes], low[lanes], int(size[lanes].max()))
         return total <= allowed
 
-    def least(self, letters: np.ndarray, part: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The least edit distance of each part to any piece of its region, all regions side by side."""
+    def least(self, letters: np.ndarray, part: np.ndarray, start: np.ndarray, steps: int) -> np.ndarray:
+        """The least edit distance of each part to any piece of the text from its start on, all parts side by side."""
         table, base, beyond = self.masks.ravel(), part * self.masks.shape[1], len(letters) - 1
         # Parts end at the highest bit; what lies below a shorter one matches everything.
         distance = self.width[part].copy()
@@ -267,7 +338,7 @@ class Items:
         up = ~np.uint64(0) << (PART - distance).astype(np.uint64)
         down = np.zeros(len(part), dtype=np.uint64)
         one, x = np.uint64(1), start.copy()
-        for _ in range(int((end - start).max())):
+        for _ in range(steps):
             eq = table.take(base + letters.take(x, mode="clip"))
             d0 = eq & up
             d0 += up
@@ -318,6 +389,11 @@ def pieces(item: str, text: str, near: tuple[int, int] | None) -> Iterator[tuple
             start, end = a + end - back, a + end
             similarity = 1 - distance / max(m, back)
             good = similarity >= SIMILARITY - 1e-9
+            if good and (start == a > low or end == b < high):
+                # What reaches the edge may go on beyond it.
+                near = (max(low, a - m), min(high, b + m))
+                left.append((low, high))
+                continue
             if good:
                 yield start, end, similarity
             if whole or good:
@@ -335,11 +411,12 @@ def matches(items: Items, column: pa.Array, hasher: Hasher) -> list[tuple[int, i
     joined = "\n".join(texts)
     codes = codes_of(joined)
     offset = np.cumsum([0] + [len(t) + 1 for t in texts])
-    item, start, end = items.regions(codes)
+    letters = items.letters(codes)
+    item, start, end = items.regions(codes, letters)
     if not len(item):
         return []
-    kept = items.hopeful(codes, item, start, end)
-    item, start, end = item[kept], start[kept], end[kept]
+    kept = items.hopeful(letters, item, start, end)
+    item, start, end = item[kept], np.maximum(0, start[kept]), np.minimum(len(codes), end[kept])
     # Regions of an item that touch become one, then they are cut at the ends of texts.
     order = np.lexsort((start, item))
     item, start, end = item[order], start[order], end[order]
@@ -394,7 +471,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     def finder(items: Items):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hasher = Hasher()
-            for batch in slices(batches, "text"):
+            for batch in slices(batches, "text", TEXT_BYTES):
                 found = matches(items, batch.column("text"), hasher)
                 ids = batch.column("doc_id").to_pylist()
                 yield pa.RecordBatch.from_arrays(
@@ -422,7 +499,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def clean(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             hasher = Hasher()
-            for batch in slices(batches, "text"):
+            for batch in slices(batches, "text", TEXT_BYTES):
                 keep = np.ones(batch.num_rows, dtype=bool)
                 keep[[f[0] for f in matches(items, batch.column("text"), hasher)]] = False
                 yield batch.filter(pa.array(keep))

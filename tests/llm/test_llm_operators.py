@@ -306,6 +306,36 @@ def test_every_leak_down_to_the_similarity_is_found():
     assert not decontamination.matches(items, pa.array([None, "", "zz"]), decontamination.Hasher())
 
 
+def test_a_place_is_not_cut_where_it_is_looked_for_first():
+    rng = random.Random(44)
+    item = prose(rng, 40)
+    text = f"{prose(rng, 30)} {item} {prose(rng, 30)}"
+    begin = text.index(item)
+    for shift in (-40, -3, 0, 5, 40):
+        near = (begin + shift, begin + shift + len(item))
+        assert [p for p in decontamination.pieces(item, text, near) if p[2] > 0.9] == [(begin, begin + len(item), 1.0)]
+
+
+def test_only_different_runs_of_an_item_make_a_region(monkeypatch):
+    """A few runs that stand again and again need no edit distance; tables of runs and sorted runs find the same."""
+    rng = random.Random(43)
+    texts = [f"{prose(rng, 30)} {end}" for end in ("\U0001f600 \u4e2d\u6587", "again and again", "more")]
+    docs = pa.array([prose(rng, 25) + " " + t.replace("e", "x", 3) for t in texts] + ["\U0001f600" * 9, "\u4e2d \U0001f600 a"])
+    for rows in (texts, texts[1:]):
+        found = []
+        for table in (1 << 23, 1):
+            monkeypatch.setattr(decontamination, "RUN_TABLE", table, raising=False)
+            got = decontamination.matches(decontamination.Items(list(enumerate(rows))), docs, decontamination.Hasher())
+            found.append(sorted(got))
+        assert found[0] == found[1] and {g[:2] for g in found[0]} == {(i + 3 - len(rows), i) for i in range(len(rows))}
+    items = decontamination.Items([(1, f"{prose(rng, 30)} the the the")])
+    compared = []
+    least = decontamination.Items.least
+    monkeypatch.setattr(decontamination.Items, "least", lambda *a: compared.append(1) or least(*a))
+    assert not decontamination.matches(items, pa.array(["the " * 500]), decontamination.Hasher()) and not compared
+    assert decontamination.matches(items, pa.array(items.texts), decontamination.Hasher()) and compared
+
+
 def test_words_are_kept_once_and_decode_in_batches(monkeypatch):
     """Texts of all kinds against the library, with a table that is emptied again and again."""
     import sentencepiece
