@@ -9,7 +9,7 @@ from corpusloom.catalog import sql as S
 from corpusloom.functions import text as T
 from corpusloom.plans import wiki_admin, wiki_build, wiki_generate
 from corpusloom.plans.wiki_generate import lead_sentences
-from corpusloom.session import pinned
+from corpusloom.session import pinned, written
 from corpusloom.sources import tables, wiki_tables
 
 
@@ -32,11 +32,12 @@ def faulty_generator(title: str, excerpts: list[tuple[int, str]]) -> tuple[str,
 
 
 def generated(spark: SparkSession, folder: str) -> wiki_generate.Generated:
-    titles = tables.documents_dim(spark, folder).select("doc_id", "title")
-    children = pinned(
+    # By version, as the active children lie: by document their texts would be shuffled again.
+    titles = tables.documents_dim(spark, folder).select(F.col("active_version_id").alias("version_id"), "title")
+    children = written(
         wiki_tables.active_children(spark, folder)
         .select("doc_id", "version_id", "child_index", "chunk_id", "kind", "ordinal", "heading_path", "content")
-        .join(titles, "doc_id")
+        .join(titles, "version_id")
     )
     return wiki_generate.generate(children, faulty_generator)
 
@@ -44,9 +45,10 @@ def generated(spark: SparkSession, folder: str) -> wiki_generate.Generated:
 def wiki_generate_claims(spark: SparkSession, folder: str) -> DataFrame:
     """Claims of the versions whose replies are all valid, with the chunks they are bound to."""
     told = generated(spark, folder)
-    rows = told.claims.join(told.sources.drop("doc_id"), ["version_id", "claim_no"])
+    digests = told.claims.select("doc_id", "version_id", "claim_no", T.short_digest(F.col("text")).alias("text_digest"))
+    rows = digests.join(told.sources.drop("doc_id"), ["version_id", "claim_no"])
     return rows.select(
-        "doc_id", "version_id", F.col("claim_no").cast("long").alias("claim_no"), T.short_digest(F.col("text")).alias("text_digest"),
+        "doc_id", "version_id", F.col("claim_no").cast("long").alias("claim_no"), "text_digest",
         F.col("source_no").cast("long").alias("source_no"), "chunk_id", F.col("ordinal").cast("long").alias("ordinal"),
         "content_sha256",
     )

@@ -58,11 +58,11 @@ def _ordered(values: Column) -> Column:
 
 
 def merge_claims(drafts: DataFrame) -> DataFrame:
-    """Merge drafts of a document by merge key: first text, all sources in order.
+    """Merge drafts of a document by merge key: first text, all sources in order. Drafts may bring their `merge_key`.
 
     The collected arrays belong to one document, so they are bounded by its own children.
     """
-    keyed = drafts.withColumn("merge_key", T.merge_key(F.col("text")))
+    keyed = drafts if "merge_key" in drafts.columns else drafts.withColumn("merge_key", T.merge_key(F.col("text")))
     return keyed.groupBy("doc_id", "version_id", "merge_key").agg(
         F.min_by("text", "position").alias("text"),
         F.min("position").alias("position"),

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import replies
+from corpusloom.functions import text as T
 from corpusloom.plans import wiki_build
 from corpusloom.plugins import generate_replies
-from corpusloom.session import pinned
+from corpusloom.session import pinned, written
 
 PLACES = 100_000  # a reply is one bounded string, so a place in it stays far below
 
@@ -46,12 +47,13 @@ def generate(
     `children` is (doc_id, version_id, title, child_index, chunk_id, kind, ordinal, heading_path, content). Every
     reply is checked against the number of children of its version: indices count through the version, not the batch.
     One faulty reply fails its version, with the code of its first faulty batch, and nothing of it is kept. Replies are
-    written before they are read for claims, topics and outcomes, so a generator is asked once.
+    written before they are read for claims, topics and outcomes, so a generator is asked once; merged claims are
+    written for those who read them and their sources.
     """
     counts = children.groupBy("version_id").agg(F.count(F.lit(1)).alias("count"))
     said = generate_replies(children, generator).join(counts, "version_id")
     parsed = replies.parsed(F.col("reply"))
-    said = pinned(said.withColumn("code", replies.reply_error(parsed, F.col("count"))).drop("count"))
+    said = written(said.withColumn("code", replies.reply_error(parsed, F.col("count"))).drop("count"))
     wrong = F.col("code").isNotNull()
     outcomes = pinned(
         said.groupBy("doc_id", "version_id").agg(
@@ -64,7 +66,9 @@ def generate(
     good = said.join(failed, "version_id", "left_anti")
     claims = _drafts(good, replies.reply_claims(parsed), text="text", source_indices="source_indices")
     topics = _drafts(good, replies.reply_topics(parsed), name="name", aliases="aliases", source_indices="source_indices")
-    merged = wiki_build.numbered_claims(wiki_build.merge_claims(claims))
+    # Merging and numbering stay within a version: texts are dealt once, after the key, whose Python would hide that they are.
+    keyed = claims.withColumn("merge_key", T.merge_key(F.col("text"))).repartition("doc_id", "version_id")
+    merged = written(wiki_build.numbered_claims(wiki_build.merge_claims(keyed)).drop("merge_key"))
     kept = wiki_build.merge_topics(topics)
     return Generated(merged, wiki_build.bind_sources(merged, children), kept, outcomes)
 
