@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -11,6 +11,11 @@ from corpusloom.session import broadcast_if_small, pinned
 SHORT_ROWS = 500_000  # rows of one or two short ids that may be sent to every task
 
 
+def packed_digest(digest: Column) -> Column:
+    """The bytes of a hexadecimal SHA-256 in lower case, half as long to move; null for anything else, which no content has."""
+    return F.when(F.rlike(digest, F.lit("^[0-9a-f]{64}$")) & (F.length(digest) == 64), F.unhex(digest))
+
+
 def chunk_digests(chunks: DataFrame) -> DataFrame:
     """Locators with the digest of their content; the text itself is not moved."""
     return chunks.select(
@@ -18,7 +23,7 @@ def chunk_digests(chunks: DataFrame) -> DataFrame:
         F.col("kind").alias("chunk_kind"),
         F.col("ordinal").alias("chunk_ordinal"),
         F.col("chunk_id").alias("current_chunk_id"),
-        T.sha256_hex(F.col("content")).alias("current_sha256"),
+        F.unhex(T.sha256_hex(F.col("content"))).alias("current_sha256"),
     )
 
 
@@ -28,14 +33,14 @@ def source_validity(sources: DataFrame, documents: DataFrame, chunks: DataFrame)
     state = documents.where(~F.col("deleted") & (F.col("status") == "ready")).select(
         "doc_id", F.col("active_version_id").alias("live_version")
     )
-    located = sources.join(
+    located = sources.withColumn("recorded_sha256", packed_digest(F.col("content_sha256"))).join(
         chunk_digests(chunks), ["version_id", "chunk_kind", "chunk_ordinal"], "left"
     ).join(state, "doc_id", "left")
     valid = (F.col("live_version") == F.col("version_id")) & (
-        F.col("current_sha256") == F.col("content_sha256")
+        F.col("current_sha256") == F.col("recorded_sha256")
     )
     return located.withColumn("valid", F.coalesce(valid, F.lit(False))).drop(
-        "live_version", "current_sha256", "current_chunk_id"
+        "live_version", "current_sha256", "recorded_sha256", "current_chunk_id"
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators.ordering import number_rows
 from corpusloom.plans.integrity import displayed_trust
+from corpusloom.session import written
 
 PART_SOURCES = 50
 PART_CLAIMS = 50
@@ -34,15 +35,17 @@ def page_model(
     An entry is a claim with its shown trust state and reason, the number of its sources and up to `part_sources` of
     them; a claim with more sources follows in further entries with a higher `source_part`. A page without claims has
     one row with an empty array. Only ids are numbered; texts and sources meet their place by an equi join.
+    What several steps read is written once, so chunks are cut and compared once and no step holds the shuffles of others.
     """
-    shown = displayed_trust(claims, checked)
-    parts = source_parts(checked, part_sources)
+    pages = written(pages.select("page_id", "slug", "title"))
+    checked = written(checked.select("claim_id", "doc_id", "version_id", "chunk_id", "chunk_ordinal", "valid"))
+    shown = written(displayed_trust(claims, checked).join(pages.select("page_id"), "page_id", "left_semi"))
+    parts = written(source_parts(checked, part_sources))
     part = F.coalesce("source_part", F.lit(0).cast("long"))
     places = (
         shown.select("page_id", "claim_id", "position")
         .join(parts.select("claim_id", "source_part"), "claim_id", "left")
         .withColumn("source_part", part)
-        .join(pages.select("page_id"), "page_id", "left_semi")
     )
     numbered = number_rows(places, ["page_id"], ["position", "claim_id", "source_part"], into="no").drop("page_id", "position")
     none = F.array().cast(parts.schema["sources"].dataType)
