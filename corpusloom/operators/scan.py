@@ -20,6 +20,7 @@ from corpusloom.operators.ordering import top_k
 
 MAX_BLOCK_QUERIES = 2048
 MAX_CELLS = 1_000_000
+PAIR_ROWS = 4096
 SCORE_DIGITS = 6
 MARGIN = 10.0**-SCORE_DIGITS
 
@@ -108,6 +109,20 @@ def best_rows(scores: np.ndarray, eligible: np.ndarray, k: int) -> tuple[np.ndar
     return np.concatenate(rows), np.concatenate(columns)
 
 
+def best_of(columns: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best scores of each query in flat arrays, ties at the cut kept."""
+    counts = np.bincount(columns)
+    if not len(counts) or counts.max() <= k:
+        return np.arange(len(columns))
+    order = np.lexsort((-scores, columns))
+    starts = np.cumsum(counts) - counts
+    owner = columns[order]
+    cut = np.full(len(counts), -np.inf)
+    many = np.flatnonzero(counts > k)
+    cut[many] = scores[order][starts[many] + k - 1]
+    return np.sort(order[scores[order] >= cut[owner]])
+
+
 def rows_to_hold(
     scores: np.ndarray, eligible: np.ndarray, floors: np.ndarray, k: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,9 +164,9 @@ def column_of(batch: Batch, name: str) -> np.ndarray:
     return batch[name].to_numpy()
 
 
-def slices(batches: Iterator[Batch], width: int) -> Iterator[Batch]:
-    """Batches cut so that rows x queries stays below MAX_CELLS, which bounds a task's memory."""
-    rows = max(1, MAX_CELLS // max(width, 1))
+def slices(batches: Iterator[Batch], width: int, rows: int | None = None) -> Iterator[Batch]:
+    """Batches cut to `rows`, by default so that rows x queries stays below MAX_CELLS, which bounds a task's memory."""
+    rows = rows or max(1, MAX_CELLS // max(width, 1))
     for batch in batches:
         if isinstance(batch, pa.RecordBatch):
             yield from (batch.slice(start, rows) for start in range(0, batch.num_rows, rows))
@@ -171,12 +186,16 @@ def scan_top_k(
     max_block_queries: int = MAX_BLOCK_QUERIES,
     extras: dict[str, str] | None = None,
     arrow: bool = False,
+    pairs: bool = False,
 ) -> DataFrame:
     """(query_id, chunk_id, score, position): the k best corpus rows per query.
 
     `kernel_of(block)` builds the scorer of a query block; it maps a batch of corpus rows to a
     scores matrix (rows x queries), an eligibility mask and, for the columns named in `extras`
     (name to type), further matrices that are carried along. With `arrow` a batch is a record batch.
+
+    With `pairs` it maps a batch and the queries' floors to the (row, query) positions that may reach their floor, their
+    rounded scores and the further values, all as flat arrays; queries may bring a `floor` that k of their rows reach.
     """
     types = dict(corpus.dtypes), dict(queries.dtypes)
     schema = f"query_id {types[1]['query_id']}, chunk_id {types[0]['chunk_id']}, score double"
@@ -186,13 +205,20 @@ def scan_top_k(
     def pass_over(block: list[Row]) -> DataFrame:
         kernel = kernel_of(block)
         ids = np.array([row["query_id"] for row in block])
+        given = np.array([row["floor"] if "floor" in row and row["floor"] is not None else -np.inf for row in block])
 
         def scan(batches: Iterator[Batch]) -> Iterator[pd.DataFrame]:
             held: list[pd.DataFrame] = []
-            n_held, floors = 0, np.full(len(block), -np.inf)
-            for batch in slices(batches, len(block)):
-                scores, eligible, *carried = kernel(batch)
-                rows, columns, values = rows_to_hold(scores, eligible, floors, k)
+            n_held, floors = 0, given.copy()
+            for batch in slices(batches, len(block), PAIR_ROWS if pairs else None):
+                if pairs:
+                    rows, columns, values, *carried = kernel(batch, floors)
+                    kept = values >= floors[columns]
+                    rows, columns, values, carried = rows[kept], columns[kept], values[kept], [m[kept] for m in carried]
+                else:
+                    scores, eligible, *carried = kernel(batch)
+                    rows, columns, values = rows_to_hold(scores, eligible, floors, k)
+                    carried = [m[rows, columns] for m in carried]
                 if not len(rows):
                     continue
                 found = pd.DataFrame(
@@ -200,7 +226,7 @@ def scan_top_k(
                         "query_id": ids[columns],
                         "chunk_id": column_of(batch, "chunk_id")[rows],
                         "score": values,
-                        **{name: m[rows, columns] for name, m in zip(extras, carried, strict=True)},
+                        **dict(zip(extras, carried, strict=True)),
                     }
                 )
                 held.append(found)
@@ -208,7 +234,7 @@ def scan_top_k(
                 # Sorting costs more than scoring: rows are held until there are as many again as can be kept.
                 if n_held > 2 * k * len(block):
                     held = [keep_best(pd.concat(held), k)]
-                    n_held, floors = len(held[0]), full_floors(held[0], ids, k)
+                    n_held, floors = len(held[0]), np.maximum(given, full_floors(held[0], ids, k))
             if held:
                 yield keep_best(pd.concat(held), k)
 
